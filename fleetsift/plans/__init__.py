@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ingest",)
+MODULES: tuple[str, ...] = ("ingest", "detect")
 
 
 def load_all() -> None:

@@ -86,7 +86,6 @@ def s05_size_gate(spark: SparkSession, sf: str) -> DataFrame:
     f"' files exceeds the batch limit of {tx.MAX_BATCH_FILES}' AS detail FROM uploads GROUP BY 1 HAVING count(*) > {tx.MAX_BATCH_FILES}",
 )
 def s06_batch_limit(spark: SparkSession, sf: str) -> DataFrame:
-    # Documents and events of one kind form a batch here, so that the limit is reached.
     return ops.over_limit_batches(d.uploads(spark, sf))
 
 

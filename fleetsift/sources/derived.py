@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import text as tx
-from fleetsift.sources.tables import table
+from fleetsift.sources.tables import spread, table
 
 BASE_SQL = (
     "SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS pr, "
@@ -222,8 +222,8 @@ def config_lines_cte(numbered: str = "cfgl") -> str:
         cells = ", ".join(text if cond is None else f"CASE WHEN {cond} THEN {text} END" for cond, text in lines)
         idx = ", ".join(str(i) if cond is None else f"CASE WHEN {cond} THEN {i} END" for i, (cond, _) in enumerate(lines))
         arms.append(
-            f"SELECT k, c, s, pr, list_filter([{cells}], x -> x IS NOT NULL) AS ls, "
-            f"list_filter([{idx}], x -> x IS NOT NULL) AS ix FROM base WHERE pr = '{pr}'"
+            f"SELECT k, c, s, pr, [x FOR x IN [{cells}] IF x IS NOT NULL] AS ls, "
+            f"[x FOR x IN [{idx}] IF x IS NOT NULL] AS ix FROM base WHERE pr = '{pr}'"
         )
     return (
         f"{BASE_CTE}, {numbered} AS (SELECT k, c, s, pr, unnest(ls) AS raw_line, unnest(ix) AS tpl, "
@@ -240,6 +240,7 @@ def device_config(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("pr"),
         F.col("o_orderdate").alias("d"),
     )
+    base = spread(base, "k")
 
     def by_platform(pick) -> Column:
         whole: Column | None = None
@@ -262,7 +263,7 @@ def device_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cfg_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploaded files: content, platform tags, batch."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id"),
         F.encode("text", "UTF-8").alias("content"),
         F.col("text"),
@@ -281,7 +282,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("evt-"), F.col("event_id")).alias("upload_id"),
-        F.concat(F.lit("user-"), F.col("user_id")).alias("batch_id"),
+        F.when(F.col("event_type") == "purchase", "bulk-load").otherwise(F.concat(F.lit("user-"), F.col("user_id"))).alias("batch_id"),
         cut.alias("text"),
     )
     pages = table(spark, sf_dir, "pages").select(
@@ -294,7 +295,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UPLOADS_CTE = """uploads AS (
   SELECT 'doc-' || doc_id AS upload_id, 'batch-' || source AS batch_id, text FROM documents
-  UNION ALL SELECT 'evt-' || event_id, 'user-' || user_id,
+  UNION ALL SELECT 'evt-' || event_id, CASE WHEN event_type = 'purchase' THEN 'bulk-load' ELSE 'user-' || user_id END,
     CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END FROM events
   UNION ALL SELECT 'page-' || page_id, 'batch-pages', html FROM pages)"""
 
@@ -302,8 +303,9 @@ UPLOADS_CTE = """uploads AS (
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: ``doc_id, line_number, text``."""
     return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", F.posexplode(tx.split_lines(F.col("text"))).alias("p", "text"))
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+        .select("doc_id", F.posexplode_outer(tx.split_lines(F.col("text"))).alias("p", "text"))
+        .where(F.col("p").isNotNull())
         .select("doc_id", (F.col("p") + 1).alias("line_number"), "text")
     )
 
