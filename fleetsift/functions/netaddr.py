@@ -7,6 +7,7 @@ expanded with JVM expressions too, so no row leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -83,53 +84,62 @@ def _clear_hex(digits: Column, length: Column, fill: str) -> Column:
     return F.rpad(cut, 32, fill)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _v4_bounds(cidr: Column) -> tuple[Column, Column, Column]:
+    """Number of the first address, block size and prefix length; NULL when not IPv4."""
+    address = v4_long(F.substring_index(cidr, "/", 1))
+    length = prefix_length(cidr, 32)
+    block = F.pow(F.lit(2), F.lit(32) - length).cast("bigint")
+    return address - address % block, block, length
+
+
 def network(cidr: Column) -> Column:
     """``NET`` of CIDR or host text with host bits cleared; NULL when it is not a network."""
-    address = F.regexp_replace(cidr, r"/.*$", "")
-    v4 = v4_long(address)
-    len4 = prefix_length(cidr, 32)
-    block = F.pow(F.lit(2), F.lit(32) - len4).cast("bigint")
-    lo4 = v4 - v4 % block
+    lo4, block, len4 = _v4_bounds(cidr)
     hex32 = lambda n: F.lpad(F.lower(F.hex(n)), 32, "0")
-    d6 = _v6_hex(address)
     len6 = prefix_length(cidr, 128)
-    return F.when(
-        v4.isNotNull() & len4.isNotNull(),
-        F.struct(F.lit(4).alias("ver"), len4.alias("len"), hex32(lo4).alias("lo"), hex32(lo4 + block - 1).alias("hi")),
-    ).when(
-        v4.isNull() & d6.isNotNull() & len6.isNotNull(),
-        F.struct(
-            F.lit(6).alias("ver"), len6.alias("len"), _clear_hex(d6, len6, "0").alias("lo"), _clear_hex(d6, len6, "f").alias("hi")
+    six = let(
+        _v6_hex(F.substring_index(cidr, "/", 1)),
+        lambda d: F.when(
+            d.isNotNull() & len6.isNotNull(),
+            F.struct(F.lit(6).alias("ver"), len6.alias("len"), _clear_hex(d, len6, "0").alias("lo"), _clear_hex(d, len6, "f").alias("hi")),
         ),
     )
+    return F.when(cidr.contains(":"), six).when(
+        lo4.isNotNull(),
+        F.struct(F.lit(4).alias("ver"), len4.alias("len"), hex32(lo4).alias("lo"), hex32(lo4 + block - 1).alias("hi")),
+    )
 
 
 def _v6_text(digits: Column) -> Column:
     """Compressed IPv6 text: the longest run of two or more zero groups becomes ``::``."""
+
+    def compress(plain: Column) -> Column:
+        padded = F.concat(F.lit(":"), plain, F.lit(":"))
+        out = plain
+        for run in range(2, 9):
+            zeros = ":".join(["0"] * run)
+            cut = F.regexp_replace(padded, f"^(.*?):{zeros}:(.*)$", "$1::$2")
+            text = F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", "")
+            out = F.when(padded.contains(f":{zeros}:"), text).otherwise(out)
+        return out
+
     groups = F.transform(
         F.sequence(F.lit(0), F.lit(7)),
         lambda i: F.lower(F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", "")),
     )
-    plain = F.array_join(groups, ":")
-    out = plain
-    for run in range(2, 9):
-        zeros = ":".join(["0"] * run)
-        hit = F.concat(F.lit(":"), plain, F.lit(":")).contains(f":{zeros}:")
-        replaced = F.regexp_replace(
-            F.regexp_replace(F.concat(F.lit(":"), plain, F.lit(":")), f"^(.*?):{zeros}:(.*)$", "$1::$2"), "", ""
-        )
-        text = F.regexp_replace(F.regexp_replace(replaced, "^:(?!:)", ""), "(?<!:):$", "")
-        out = F.when(hit, text).otherwise(out)
-    return out
+    return let(F.array_join(groups, ":"), compress)
 
 
 def cidr_text(cidr: Column) -> Column:
     """Canonical CIDR text, NULL when the input is not a network."""
-    net = network(cidr)
-    lo = net["lo"]
-    v4 = F.conv(F.right(lo, F.lit(8)), 16, 10).cast("bigint")
-    base = F.when(net["ver"] == 4, v4_text(v4)).otherwise(_v6_text(lo))
-    return F.when(net.isNotNull(), F.concat(base, F.lit("/"), net["len"]))
+    lo4, _, len4 = _v4_bounds(cidr)
+    six = let(network(cidr), lambda n: F.when(n.isNotNull(), F.concat(_v6_text(n["lo"]), F.lit("/"), n["len"])))
+    return F.when(cidr.contains(":"), six).when(lo4.isNotNull(), F.concat(v4_text(lo4), F.lit("/"), len4))
 
 
 def wildcard_to_cidr(address: Column, wildcard: Column) -> Column:

@@ -109,3 +109,24 @@ def coverage(fields: DataFrame, keys: list[str]) -> DataFrame:
         F.count("field").alias("declared"), known.alias("determinable"),
         F.when(F.count("field") > 0, known / F.count("field")).otherwise(0.0).alias("coverage"),
     )
+
+
+def merge_flags(rows: DataFrame, keys: list[str], policy: dict[str, str]) -> DataFrame:
+    """Merge policy alone, over boolean observations: map-side combined, any number of rows."""
+    pol = _policy(F.col("field"), policy)
+    agg = rows.groupBy(*keys).agg(F.bool_or("v").alias("hi"), F.bool_and("v").alias("lo"))
+    value = (
+        F.when(F.col("hi") == F.col("lo"), F.col("hi"))
+        .when(pol == "worst_case_true", F.lit(True))
+        .when(pol == "worst_case_false", F.lit(False))
+    )
+    return agg.select(*keys, value.alias("value"), F.when(value.isNotNull(), "present").otherwise("unknown").alias("state"))
+
+
+def attribute_source(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Confidence method by the first pattern, in declaration order, that matched."""
+    first = F.min(F.struct("pattern_ord", "source"))
+    return rows.groupBy(*keys).agg(first.alias("f")).select(
+        *keys, F.col("f.pattern_ord").alias("pattern_ord"),
+        F.when(F.col("f.source") == "admin_trained", "admin_confirmed").otherwise("deterministic").alias("method"),
+    )

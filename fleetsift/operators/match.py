@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.casts import CASTS
+from fleetsift.operators.structures import list_line_ok
 from fleetsift.sources import packs
 
 
@@ -100,13 +101,25 @@ def consumed_by_structure() -> Column:
     return cond
 
 
-def residue(nodes: DataFrame, keys: list[str], consumed: DataFrame | None = None) -> DataFrame:
+def _fires(row: tuple) -> Column:
+    vendor, os_family, _, _, scope, pattern, template, cast, _ = row
+    value = CASTS[cast][1](resolve_capture(F.col("text"), pattern, template))
+    return (
+        (F.col("vendor") == vendor) & (F.col("os_family") == os_family) & in_scope(scope)
+        & F.col("text").rlike(f"^(?:{pattern})") & value.isNotNull()
+    )
+
+
+def residue(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
     """Placed nodes that neither a pattern nor a structure read.
 
-    Patterns and interface blocks are decided in the node's own row; only access lists, which
-    are read all or nothing, need a join (``consumed`` lists their lines).
+    Everything is decided in one pass over the tree: patterns and interface blocks in the
+    node's own row, access lists (read all or nothing) by a window inside their block.
     """
-    left = apply_patterns(nodes.where("placed")).where((F.size("hits") == 0) & ~consumed_by_structure()).drop("hits")
-    if consumed is not None:
-        left = left.join(consumed.select(*keys, "line_number"), [*keys, "line_number"], "left_anti")
-    return left
+    read = consumed_by_structure()
+    for row in patterns:
+        read = read | _fires(row)
+    flagged = nodes.where("placed").select(
+        "*", F.coalesce(read, F.lit(False)).alias("was_read"), F.coalesce(list_line_ok(keys), F.lit(False)).alias("list_ok")
+    )
+    return flagged.where(~F.col("was_read") & ~F.col("list_ok")).drop("was_read", "list_ok")

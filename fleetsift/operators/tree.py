@@ -135,7 +135,7 @@ def build_tree(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def flat_nodes(files: DataFrame, keys: list[str]) -> DataFrame:
     """Set-path syntax without Python: every line that is neither blank nor comment is a root."""
-    lines = files.select(*keys, "os_family", F.posexplode("lines").alias("p", "raw_line"))
+    lines = files.select(*keys, "os_family", F.posexplode_outer("lines").alias("p", "raw_line")).where(F.col("p").isNotNull())
     reason = line_reason(F.col("raw_line"), F.col("os_family"))
     return lines.select(
         *keys,

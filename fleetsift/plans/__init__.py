@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ingest", "detect")
+MODULES: tuple[str, ...] = ("ingest", "detect", "parse")
 
 
 def load_all() -> None:
