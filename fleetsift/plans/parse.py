@@ -299,7 +299,7 @@ def p20_source_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return fo.attribute_source(rows, ["dev"]).select("dev", "method", F.col("pattern_ord").alias("first_pattern"))
 
 
-_RESIDUE = """residue AS (SELECT l.k, l.line_number, trim(l.raw_line) AS text FROM reasoned l WHERE reason IS NULL AND NOT EXISTS
+_RESIDUE = """residue AS (SELECT l.k, l.line_number, CASE WHEN pr = '5-LOW' THEN rtrim(rtrim(trim(l.raw_line), '{;')) ELSE trim(l.raw_line) END AS text FROM reasoned l WHERE reason IS NULL AND NOT EXISTS
    (SELECT 1 FROM facts f WHERE f.k = l.k AND f.line_number = l.line_number)
    AND NOT (pr = '1-URGENT' AND (tpl BETWEEN 8 AND 15 OR (tpl BETWEEN 16 AND 23 AND k % 13 <> 0)))
    AND NOT (pr = '2-HIGH' AND (tpl BETWEEN 11 AND 19 OR tpl BETWEEN 6 AND 10)))"""
