@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ingest", "detect", "parse")
+MODULES: tuple[str, ...] = ("ingest", "detect", "parse", "comply")
 
 
 def load_all() -> None:
