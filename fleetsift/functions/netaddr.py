@@ -26,13 +26,19 @@ NAMED_PORTS = {
 PORT_MIN, PORT_MAX = 0, 65535
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def v4_long(address: Column) -> Column:
     """Dotted quad as a number; NULL for anything else."""
-    parts = F.split(address, r"\.")
-    value = reduce(
-        lambda acc, i: acc * 256 + parts[i].try_cast("bigint"), range(1, 4), parts[0].try_cast("bigint")
-    )
-    return F.when(address.rlike(V4), value)
+
+    def join(parts: Column) -> Column:
+        nums = [parts[i].cast("bigint") for i in range(4)]
+        return ((nums[0] * 256 + nums[1]) * 256 + nums[2]) * 256 + nums[3]
+
+    return F.when(address.rlike(V4), let(F.split(address, r"\."), join))
 
 
 def v4_text(value: Column) -> Column:
@@ -84,23 +90,25 @@ def _clear_hex(digits: Column, length: Column, fill: str) -> Column:
     return F.rpad(cut, 32, fill)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _v4_bounds(cidr: Column) -> tuple[Column, Column, Column]:
-    """Number of the first address, block size and prefix length; NULL when not IPv4."""
-    address = v4_long(F.substring_index(cidr, "/", 1))
+def _v4_net(cidr: Column, build: Callable[[Column, Column, Column], Column]) -> Column:
+    """``build(first address, block size, prefix length)`` of an IPv4 network, else NULL."""
     length = prefix_length(cidr, 32)
     block = F.pow(F.lit(2), F.lit(32) - length).cast("bigint")
-    return address - address % block, block, length
+    parts = F.struct(v4_long(F.substring_index(cidr, "/", 1)).alias("a"), block.alias("b"), length.alias("n"))
+    return let(
+        parts, lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), build(p["a"] - p["a"] % p["b"], p["b"], p["n"]))
+    )
 
 
 def network(cidr: Column) -> Column:
     """``NET`` of CIDR or host text with host bits cleared; NULL when it is not a network."""
-    lo4, block, len4 = _v4_bounds(cidr)
     hex32 = lambda n: F.lpad(F.lower(F.hex(n)), 32, "0")
+    four = _v4_net(
+        cidr,
+        lambda lo, block, n: F.struct(
+            F.lit(4).alias("ver"), n.alias("len"), hex32(lo).alias("lo"), hex32(lo + block - 1).alias("hi")
+        ),
+    )
     len6 = prefix_length(cidr, 128)
     six = let(
         _v6_hex(F.substring_index(cidr, "/", 1)),
@@ -109,10 +117,7 @@ def network(cidr: Column) -> Column:
             F.struct(F.lit(6).alias("ver"), len6.alias("len"), _clear_hex(d, len6, "0").alias("lo"), _clear_hex(d, len6, "f").alias("hi")),
         ),
     )
-    return F.when(cidr.contains(":"), six).when(
-        lo4.isNotNull(),
-        F.struct(F.lit(4).alias("ver"), len4.alias("len"), hex32(lo4).alias("lo"), hex32(lo4 + block - 1).alias("hi")),
-    )
+    return F.when(cidr.contains(":"), six).otherwise(four)
 
 
 def _v6_text(digits: Column) -> Column:
@@ -137,20 +142,20 @@ def _v6_text(digits: Column) -> Column:
 
 def cidr_text(cidr: Column) -> Column:
     """Canonical CIDR text, NULL when the input is not a network."""
-    lo4, _, len4 = _v4_bounds(cidr)
     six = let(network(cidr), lambda n: F.when(n.isNotNull(), F.concat(_v6_text(n["lo"]), F.lit("/"), n["len"])))
-    return F.when(cidr.contains(":"), six).when(lo4.isNotNull(), F.concat(v4_text(lo4), F.lit("/"), len4))
+    four = _v4_net(cidr, lambda lo, _, n: F.concat(v4_text(lo), F.lit("/"), n))
+    return F.when(cidr.contains(":"), six).otherwise(four)
 
 
 def wildcard_to_cidr(address: Column, wildcard: Column) -> Column:
     """CIDR of an address and an inverse mask; NULL unless the mask is contiguous."""
-    addr, wild = v4_long(address), v4_long(wildcard)
-    contiguous = wild.bitwiseAND(wild + 1) == 0
-    size = wild + 1
-    length = F.lit(32) - F.bit_count(wild)
-    return F.when(
-        addr.isNotNull() & contiguous, F.concat(v4_text(addr - addr % size), F.lit("/"), length)
-    )
+
+    def build(p: Column) -> Column:
+        size = p["w"] + 1
+        ok = p["a"].isNotNull() & (p["w"].bitwiseAND(size) == 0)
+        return F.when(ok, F.concat(v4_text(p["a"] - p["a"] % size), F.lit("/"), F.lit(32) - F.bit_count(p["w"])))
+
+    return let(F.struct(v4_long(address).alias("a"), v4_long(wildcard).alias("w")), build)
 
 
 def port_number(token: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ingest", "detect", "parse", "comply")
+MODULES: tuple[str, ...] = ("ingest", "detect", "parse", "comply", "fleet")
 
 
 def load_all() -> None:
