@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,23 +35,34 @@ def apply_order(plan: DataFrame) -> DataFrame:
         F.min("lockout").alias("lockout"), F.min("order_hint").alias("order_hint"), F.first("depends_on").alias("depends_on")
     )
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = set(pdf["snippet_id"])
-        left = {r.snippet_id: {x for x in r.depends_on if x in ids and x != r.snippet_id} for r in pdf.itertuples()}
-        rank = {r.snippet_id: (LOCKOUT_RANK[r.lockout], r.order_hint, r.snippet_id) for r in pdf.itertuples()}
+    packed = distinct.groupBy("device_id").agg(
+        F.collect_list(F.struct("snippet_id", "lockout", "order_hint", "depends_on")).alias("items")
+    )
+
+    def positions(items: list) -> dict[str, int]:
+        ids = {i["snippet_id"] for i in items}
+        left = {i["snippet_id"]: {x for x in i["depends_on"] if x in ids and x != i["snippet_id"]} for i in items}
+        rank = {i["snippet_id"]: (LOCKOUT_RANK[i["lockout"]], i["order_hint"], i["snippet_id"]) for i in items}
         place: dict[str, int] = {}
         while left:
             ready = [s for s, deps in left.items() if not deps - place.keys()]
             if not ready:
-                place = {}
-                break
+                return {}
             chosen = min(ready, key=rank.__getitem__)
             place[chosen] = len(place) + 1
             del left[chosen]
-        return pd.DataFrame({"device_id": pdf["device_id"], "snippet_id": pdf["snippet_id"], "position": [place.get(s) for s in pdf["snippet_id"]]})
+        return place
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for device, items in zip(b["device_id"], b["items"], strict=True):
+                place = positions(items)
+                rows += [(device, i["snippet_id"], place.get(i["snippet_id"])) for i in items]
+            yield pd.DataFrame(rows, columns=["device_id", "snippet_id", "position"]).astype({"position": "float64"})
 
     kind = dict(plan.dtypes)["device_id"]
-    return distinct.groupBy("device_id").applyInPandas(order, f"device_id {kind}, snippet_id string, position double").withColumn(
+    return packed.mapInPandas(order, f"device_id {kind}, snippet_id string, position double").withColumn(
         "position", F.col("position").cast("int")
     )
 
