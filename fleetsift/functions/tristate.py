@@ -18,9 +18,10 @@ def all_true(*parts: Column) -> Column:
 
 def strict_all(outcomes: Column) -> Column:
     """Outcome of an array of nullable booleans: any NULL gives NULL."""
-    return F.when(
-        F.exists(outcomes, lambda o: o.isNull()), F.lit(None).cast("boolean")
-    ).otherwise(F.forall(outcomes, lambda o: o))
+    return F.transform(
+        F.array(outcomes),
+        lambda all_: F.when(F.exists(all_, lambda o: o.isNull()), F.lit(None).cast("boolean")).otherwise(F.forall(all_, lambda o: o)),
+    )[0]
 
 
 def tri_and_agg(flag: Column) -> Column:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions import text as tx
+from fleetsift.session import pin
 from fleetsift.sources import packs
 
 SCORE = "decimal(10,6)"
@@ -21,7 +22,7 @@ HIT_CHARS = 200
 
 
 def with_lines(files: DataFrame, text: str = "text") -> DataFrame:
-    return files.withColumn("lines", tx.split_lines(F.col(text)))
+    return pin(files, "lines", tx.split_lines(F.col(text)))
 
 
 def _compiles(pattern: str) -> bool:
@@ -77,18 +78,16 @@ def score_candidates(files: DataFrame, signatures: Sequence[tuple] = packs.SIGNA
         ),
     )
     kept = F.array_sort(F.filter(scored, lambda c: c["order_by"] < 0))
-    return files.withColumn("scored_packs", kept).withColumn(
-        "candidates",
-        F.transform(
-            "scored_packs",
-            lambda c: F.struct(
-                c["vendor"].alias("vendor"),
-                c["os_family"].alias("os_family"),
-                (-c["order_by"]).cast(SCORE).alias("score"),
-                c["hits"].alias("hits"),
-            ),
+    ranked = F.transform(
+        kept,
+        lambda c: F.struct(
+            c["vendor"].alias("vendor"),
+            c["os_family"].alias("os_family"),
+            (-c["order_by"]).cast(SCORE).alias("score"),
+            c["hits"].alias("hits"),
         ),
-    ).drop("scored_packs")
+    )
+    return pin(files, "candidates", ranked)
 
 
 def explode_candidates(scored: DataFrame, *keys: str) -> DataFrame:

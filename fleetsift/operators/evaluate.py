@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.conditions import condition, describe_all, outcomes
 from fleetsift.functions.tristate import strict_all
+from fleetsift.session import pin
 from fleetsift.sources.rules import BASE_RULES, VERDICTS, Rule
 
 ENGINE_VERSION = "0.1.0"
@@ -76,7 +77,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     Expects the observation columns ``state, unknown_reason, value_type, v_*, evidence_count,
     default_ref``; ``state`` is NULL when the device has no such field.
     """
-    rows = rows.withColumn("outcome", strict_all(outcomes(F.col("conditions")))).withColumn("action", absence_action(F.col("state")))
+    rows = pin(rows, "outcome", strict_all(outcomes(F.col("conditions")))).withColumn("action", absence_action(F.col("state")))
     judged = (F.col("state") == "present") | (F.col("action") == "evaluate")
     proven = (F.coalesce("evidence_count", F.lit(0)) > 0) | F.coalesce(F.col("default_ref") != "", F.lit(False))
     status = (

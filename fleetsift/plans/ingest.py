@@ -8,6 +8,7 @@ from fleetsift.functions import text as tx
 from fleetsift.operators import ingest as ops
 from fleetsift.plans.registry import query
 from fleetsift.sources import derived as d
+from fleetsift.sources.files import expand_archives
 from fleetsift.sources.tables import table
 
 # The gates in SQL form, in the order they are applied.
@@ -45,6 +46,32 @@ def s01_batch_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "s02_archive_expand",
+    "SELECT doc_id, 'a.cfg' AS member, strlen(text) AS size, NULL AS reason FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'sub/b.cfg', 3, NULL FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 "
+    "UNION ALL SELECT doc_id, NULL, NULL, 'archive_unsafe_path' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT doc_id, NULL, strlen(text), NULL FROM documents WHERE doc_id % 5 = 0",
+)
+def s02_archive_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Most documents are zipped with a second member; some archives try to escape their folder."""
+
+    def pack(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            blobs = []
+            for n, text in zip(batch["doc_id"], batch["text"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("../a.cfg" if n % 7 == 0 else "a.cfg", text)
+                    z.writestr("sub/b.cfg", "abc")
+                blobs.append(text.encode() if n % 5 == 0 else out.getvalue())
+            yield batch[["doc_id"]].assign(content=blobs)
+
+    files = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "doc_id long, content binary")
+    return expand_archives(files, "doc_id").select("doc_id", "member", F.length("content").cast("bigint").alias("size"), "reason")
+
+
 @query("s03_decode", "SELECT doc_id, 'utf-8' AS encoding, length(text) AS chars FROM documents WHERE doc_id % 2 = 0 "
        "UNION ALL SELECT doc_id, 'utf-16-le', length(text) FROM documents WHERE doc_id % 2 = 1")
 def s03_decode(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import secrets, shape
 from fleetsift.functions import text as tx
-from fleetsift.operators import detect, hygiene, learn, metrics, packstore
+from fleetsift.operators import detect, hygiene, learn, metrics, packstore, tree
 from fleetsift.plans.comply import FINDINGS_CTE, findings
 from fleetsift.plans.detect import CFG, HITS_CTE, PACK_CTE, RANKED_CTE, SCORES_CTE, _pack_versions, configs, quote
-from fleetsift.plans.parse import FACTS_CTE, FIELDS_CTE, RESOLVED_CTE, resolved_fields
+from fleetsift.plans.parse import REASONED_CTE, FACTS_CTE, FIELDS_CTE, RESOLVED_CTE, resolved_fields
 from fleetsift.plans.registry import query
 from fleetsift.sources import derived as d
 from fleetsift.sources.rules import VERDICTS
@@ -205,6 +205,17 @@ def t18_pattern_generalise(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("doc_id", "line_number", pattern.alias("pattern"))
 
 
+@query(
+    "t19_scope_generalise",
+    f"WITH {CFG}, {REASONED_CTE}, b AS (SELECT k, line_number, last_value(CASE WHEN NOT starts_with(raw_line, ' ') THEN raw_line END IGNORE NULLS) OVER (PARTITION BY k ORDER BY line_number) AS t, raw_line FROM reasoned "
+    f"WHERE reason IS NULL AND pr IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) SELECT k, line_number, '^' || regexp_replace({_ESC}, '\\d+', '\\\\d+', 'g') || '$' AS scope FROM b WHERE starts_with(raw_line, ' ')",
+)
+def t19_scope_generalise(spark: SparkSession, sf: str) -> DataFrame:
+    files = configs(spark, sf).where(F.col("syntax_mode") == "indent")
+    placed = tree.build_tree(files, ["k"]).where(F.col("placed") & (F.size("block_path") > 0))
+    return placed.select("k", "line_number", F.array_join(shape.build_scope(F.col("block_path"), True), " ").alias("scope"))
+
+
 @query("t20_pattern_safety", f"WITH {SIG_CTE} SELECT doc_id, line_number, CASE doc_id % 4 WHEN 0 THEN 'not_anchored' WHEN 1 THEN 'unsafe_construct' WHEN 2 THEN 'does_not_match_own_line' END AS refusal FROM sig WHERE len(ts) BETWEEN 2 AND 24")
 def t20_pattern_safety(spark: SparkSession, sf: str) -> DataFrame:
     """Generalised patterns, spoiled in three ways by document, against their own line."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(cores: int | None = None, app: str = "fleetsift") -> SparkSession:
@@ -26,6 +26,7 @@ def build_session(cores: int | None = None, app: str = "fleetsift") -> SparkSess
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -44,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the reliable checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add ``value`` as a column that later steps read instead of computing it again.
+
+    Spark merges neighbouring projections and pushes filters through them, which copies an
+    expensive expression to every place it is used.  A one-element generator ends that: the value
+    is computed once per row.  The outer form keeps a filter from being inferred from it.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
