@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 # The ingestion limits and thresholds.
@@ -73,3 +76,18 @@ def tokens(text: Column) -> Column:
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
         F.split(stripped, r"(?U)\s+", -1)
     )
+
+
+# Back references and named groups keep their own regex: joining would renumber their groups.
+_OWN_GROUPS = re.compile(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z]")
+
+
+def matches_any(text: Column, patterns: Sequence[str], prefix: str = "") -> Column:
+    """True when any pattern is found, tested with one joined regex where that is safe."""
+    distinct = list(dict.fromkeys(patterns))
+    joined = "|".join(f"(?:{p})" for p in distinct if not _OWN_GROUPS.search(p))
+    found = text.rlike(f"{prefix}(?:{joined})") if joined else F.lit(False)
+    for p in distinct:
+        if _OWN_GROUPS.search(p):
+            found = found | text.rlike(f"{prefix}(?:{p})")
+    return found

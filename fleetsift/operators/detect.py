@@ -35,24 +35,28 @@ def _compiles(pattern: str) -> bool:
 
 def _hit(kind: str, pattern: str, weight: float) -> Column:
     """First hit of one signature as a struct, NULL without one; a bad regex never hits."""
-    null = F.lit(None)
     if not _compiles(pattern):
-        return null
-    if kind == "filename":
-        found = F.col("file_path").rlike(pattern)
-        number, line = null.cast("int"), F.col("file_path")
-    else:
-        at = F.array_position(F.transform("lines", lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
-        found, number, line = at > 0, at, F.element_at("lines", at)
-    return F.when(
-        found,
-        F.struct(
-            F.lit(pattern).alias("pattern"),
-            F.lit(str(weight)).cast(SCORE).alias("weight"),
-            number.alias("line_number"),
-            F.left(line, F.lit(HIT_CHARS)).alias("raw_line"),
-        ),
+        return F.lit(None)
+    fields = lambda number, line: F.struct(
+        F.lit(pattern).alias("pattern"),
+        F.lit(str(weight)).cast(SCORE).alias("weight"),
+        number.alias("line_number"),
+        F.left(line, F.lit(HIT_CHARS)).alias("raw_line"),
     )
+    if kind == "filename":
+        return F.when(F.col("file_path").rlike(pattern), fields(F.lit(None).cast("int"), F.col("file_path")))
+    first = F.try_element_at(F.filter("signal", lambda x: x["t"].rlike(pattern)), F.lit(1))
+    return F.when(first.isNotNull(), fields(first["n"], first["t"]))
+
+
+def signal_lines(patterns: Sequence[str]) -> Column:
+    """Numbered lines that match any of the patterns.
+
+    Most lines match none, so one combined test per line replaces a test per pattern.
+    """
+    usable = [p for p in patterns if _compiles(p)]
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("n"), x.alias("t")))
+    return F.filter(numbered, lambda x: tx.matches_any(x["t"], usable))
 
 
 def score_candidates(files: DataFrame, signatures: Sequence[tuple] = packs.SIGNATURES) -> DataFrame:
@@ -61,6 +65,7 @@ def score_candidates(files: DataFrame, signatures: Sequence[tuple] = packs.SIGNA
     A signature counts once per file, however many lines it hits; decimal weights make the
     sum independent of order.
     """
+    files = pin(files, "signal", signal_lines([p for _, _, kind, p, _ in signatures if kind != "filename"]))
     by_pack: dict[tuple[str, str], list[tuple]] = {}
     for vendor, os_family, kind, pattern, weight in signatures:
         by_pack.setdefault((vendor, os_family), []).append((kind, pattern, weight))
@@ -87,7 +92,7 @@ def score_candidates(files: DataFrame, signatures: Sequence[tuple] = packs.SIGNA
             c["hits"].alias("hits"),
         ),
     )
-    return pin(files, "candidates", ranked)
+    return pin(files, "candidates", ranked).drop("signal")
 
 
 def explode_candidates(scored: DataFrame, *keys: str) -> DataFrame:
@@ -161,12 +166,14 @@ def identity(files: DataFrame, identities: Sequence[tuple] = packs.IDENTITIES, v
     """Add one struct per identity field: value, line number and raw line of the first pattern
     (in declaration order) that captures something, on its first such line."""
 
+    files = pin(files, "signal", signal_lines([p for *_, p in identities]))
+
     def first_capture(pattern: str) -> Column:
         group = 1 if re.compile(pattern).groups else 0
         hits = F.transform(
-            "lines",
-            lambda line, i: F.struct(
-                F.regexp_extract(line, pattern, group).alias("value"), (i + 1).alias("line_number"), line.alias("raw_line")
+            "signal",
+            lambda x: F.struct(
+                F.regexp_extract(x["t"], pattern, group).alias("value"), x["n"].alias("line_number"), x["t"].alias("raw_line")
             ),
         )
         return F.try_element_at(F.filter(hits, lambda h: h["value"] != ""), F.lit(1))
@@ -181,7 +188,7 @@ def identity(files: DataFrame, identities: Sequence[tuple] = packs.IDENTITIES, v
         else:
             value = F.lit(None).cast("struct<value:string,line_number:int,raw_line:string>")
         files = files.withColumn(f"id_{field}", value)
-    return files
+    return files.drop("signal")
 
 
 def syntax_mode(os_family: Column) -> Column:

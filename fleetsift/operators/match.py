@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.casts import CASTS
+from fleetsift.functions.text import matches_any
 from fleetsift.operators.structures import list_line_ok
 from fleetsift.sources import packs
 
@@ -79,8 +80,12 @@ def apply_patterns(nodes: DataFrame, patterns: Sequence[tuple] = packs.PATTERNS)
 
 
 def matches(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
-    """One row per (node, pattern) that fires."""
-    placed = apply_patterns(nodes.where("placed"), patterns)
+    """One row per (node, pattern) that fires.
+
+    One combined test drops the many nodes that no pattern can match before any is tried.
+    """
+    likely = nodes.where(F.col("placed") & matches_any(F.col("text"), [row[5] for row in patterns], "^"))
+    placed = apply_patterns(likely, patterns)
     # The outer form keeps Spark from inferring a filter that would evaluate every pattern again.
     rows = placed.select(*keys, "line_number", "raw_line", F.explode_outer("hits").alias("m")).where(F.col("m").isNotNull())
     return rows.select(

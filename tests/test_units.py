@@ -224,3 +224,8 @@ def test_head_state_order(spark):
     head = lambda seq, h, n: spark.createDataFrame([(1, seq, h, n)], "chain_id int, last_seq int, last_hash string, record_count int")
     state = lambda h: ledger.head_state(log, h).first().state
     assert [state(head(*x)) for x in ((2, "h1", 2), (0, "h0", 1), (1, "x", 2), (1, "h1", 3), (1, "h1", 2))] == ["truncated", "lagging", "hash_mismatch", "count_mismatch", "consistent"]
+
+
+def test_combined_patterns_keep_back_references(spark):
+    patterns = [r"^(a)b", r"^(x)(y)\2$"]
+    assert column(spark, ["ab", "xyy", "xyx", "zz"], lambda c: tx.matches_any(c, patterns)) == [True, True, False, False]
