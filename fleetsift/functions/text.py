@@ -82,12 +82,26 @@ def tokens(text: Column) -> Column:
 _OWN_GROUPS = re.compile(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z]")
 
 
+def _anchored(pattern: str) -> bool:
+    """Starts at the line start in every branch: a leading ``^`` and no ``|`` outside a group."""
+    bare = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = inner
+    return bare.startswith("^") and "|" not in bare
+
+
 def matches_any(text: Column, patterns: Sequence[str], prefix: str = "") -> Column:
-    """True when any pattern is found, tested with one joined regex where that is safe."""
-    distinct = list(dict.fromkeys(patterns))
-    joined = "|".join(f"(?:{p})" for p in distinct if not _OWN_GROUPS.search(p))
-    found = text.rlike(f"{prefix}(?:{joined})") if joined else F.lit(False)
-    for p in distinct:
-        if _OWN_GROUPS.search(p):
-            found = found | text.rlike(f"{prefix}(?:{p})")
+    """True when any pattern is found, tested with one joined regex where that is safe.
+
+    Patterns that are anchored are joined behind one ``^``, so the search gives up at once on
+    every position but the first.
+    """
+    groups: dict[str, list[str]] = {}
+    for p in dict.fromkeys(patterns):
+        own = bool(_OWN_GROUPS.search(p))
+        groups.setdefault(p if own else ("^" if prefix or _anchored(p) else ""), []).append(p)
+    found = F.lit(False)
+    for key, members in groups.items():
+        start = "^" if key == "^" else prefix
+        found = found | text.rlike(f"{start}(?:{'|'.join(f'(?:{p})' for p in members)})")
     return found

@@ -229,3 +229,4 @@ def test_head_state_order(spark):
 def test_combined_patterns_keep_back_references(spark):
     patterns = [r"^(a)b", r"^(x)(y)\2$"]
     assert column(spark, ["ab", "xyy", "xyx", "zz"], lambda c: tx.matches_any(c, patterns)) == [True, True, False, False]
+    assert column(spark, ["zb", "a", "za"], lambda c: tx.matches_any(c, [r"^a|b", r"^q"])) == [True, True, False]
