@@ -51,7 +51,8 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, id_col: str =
         # Written before it is joined: the numbers given to the groups must not change when a task runs again.
         shared = shared_table(shared.select("_gid", "_chunk", F.monotonically_increasing_id().alias("_next")), f"radix-groups-{level}")
         ended = F.octet_length("_rest") == 0
-        split = state.join(shared, ["_gid", "_chunk"], "left").select(
+        # Merged at every size: the number of groups grows with the corpus, and so does what would be broadcast.
+        split = state.join(shared.hint("merge"), ["_gid", "_chunk"], "left").select(
             *own,
             F.when(F.col("_next").isNull(), "alone").when(ended, "equal").otherwise("open").alias("_state"),
             F.col("_next").alias("_gid"),
@@ -70,7 +71,7 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, id_col: str =
     groups = done.filter("_gid is not null").groupBy("_level", "_gid").agg(first_of.alias("_first"), F.count("*").alias("_n"))
     keep = F.when(F.col("_first").isNull(), F.col("_id")).otherwise(F.col("_first.i"))
     points = F.when(F.col("_first").isNull(), F.col("_points")).otherwise(-F.col("_first.p"))
-    return done.join(groups, ["_level", "_gid"], "left").select(
+    return done.join(groups.hint("merge"), ["_level", "_gid"], "left").select(
         F.col("_id").alias(id_col),
         *[F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(carry)],
         keep.alias("keep_id"),
