@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetsift.llm import exact, mixing, packing, simhash
+from fleetsift.llm import exact, langid, mixing, packing, simhash
 from fleetsift.llm.common import documents
 from fleetsift.plans.registry import query
 
@@ -62,6 +62,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
