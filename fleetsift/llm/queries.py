@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetsift.llm import exact, langid, mixing, packing, simhash
+from fleetsift.llm import exact, langid, mixing, packing, secrets, simhash, tokens
 from fleetsift.llm.common import documents
 from fleetsift.plans.registry import query
 
@@ -68,6 +68,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[F.size(f"found.{r.name}").cast("long").alias(f"n_{r.name}") for r in secrets.BASE],
+        F.sha2(secrets.joined("found", secrets.BASE), 256).alias("base_sha256"),
+        secrets.joined("found", secrets.BASE + secrets.MORE).alias("spans"),
+    )
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
