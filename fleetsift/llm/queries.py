@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetsift.llm import exact, langid, mixing, packing, secrets, simhash, tokens
+from fleetsift.llm import exact, langid, mixing, packing, pii, secrets, simhash, tokens
 from fleetsift.llm.common import documents
 from fleetsift.plans.registry import query
 
@@ -68,6 +68,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir)).withColumn("base", F.filter("found", lambda s: s["strict"]))
+    return found.select(
+        "doc_id",
+        *[_count_kind(i).alias(f"n_{pii.KINDS[i]}") for i in range(4)],
+        F.sha2(F.array_join(F.transform("base", _kind_and_place), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", _kind_and_place), ",").alias("spans"),
+    )
+
+
+def _kind_and_place(span: F.Column) -> F.Column:
+    return F.concat_ws(":", F.array(*[F.lit(k) for k in pii.KINDS])[span["kind"]], span["start"], span["end"])
+
+
+def _count_kind(kind: int) -> F.Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
