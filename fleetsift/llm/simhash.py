@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = shared_table(fingerprints(docs, id_col, text), "simhash")
     classes = shared_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    linked = components(fingerprint_links(classes, distance), "simhash-components")
+    linked = components(shared_table(fingerprint_links(classes, distance), "simhash-links"), "simhash-components")
     roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = roots.join(ids, "root").select("fp", "component_id")
