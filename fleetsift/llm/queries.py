@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetsift.llm import exact, langid, mixing, packing, pii, secrets, simhash, substring, tokens
+from fleetsift.llm import exact, graph, langid, mixing, packing, pii, secrets, simhash, substring, tokens
 from fleetsift.llm.common import documents
 from fleetsift.plans.registry import query
 
@@ -19,6 +19,11 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+@query("op1_embedding_near_dedup")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
