@@ -193,7 +193,7 @@ NO_LANGUAGE = "und"
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its calibrated probability; (``und``, 1.0) for a null text or one without a letter.
 
-    Whole texts are read and no other column plays a part.  Ties go to the first language by name.
+    Whole texts are read and no other column plays a part; one that has the name of an added column is replaced.  Ties go to the first language by name.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus
 
@@ -208,8 +208,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             out.append((m.languages[int(p.argmax())], float(p.max())))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    found = docs.withColumn("_found", run(F.col(text)))
-    return found.select(*docs.columns, F.col("_found.lang").alias(names[0]), F.col("_found.score").alias(names[1]))
+    found = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("_row"), run(F.col(text)).alias("_found"))
+    return found.select("_row.*", F.col("_found.lang").alias(names[0]), F.col("_found.score").alias(names[1]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -220,5 +220,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the labelled rows that are not held out and predict every row; an empty or unlabelled table predicts ``und``."""
     if docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).isEmpty():
-        return docs.select("*", F.lit(NO_LANGUAGE).alias(names[0]), F.lit(0.0).alias(names[1]))
+        return docs.select(*[c for c in docs.columns if c not in names], F.lit(NO_LANGUAGE).alias(names[0]), F.lit(0.0).alias(names[1]))
     return predict(docs, train(docs, ~held_out(id_col), id_col, text, lang), text, names)
