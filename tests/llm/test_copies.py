@@ -102,7 +102,7 @@ def vectors(seed: int = 0) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("shard", [120, 4096])
+@pytest.mark.parametrize("shard", [120, 8192])
 def test_embedding_links(spark, shard):
     rows = vectors()
     ok = lambda v, y: v is not None and y is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
@@ -117,6 +117,6 @@ def test_embedding_links(spark, shard):
     want = sorted((r[0], int(n.sum()), c, r[0] == c) for r, n, c in zip(rows, near, component, strict=True))
     assert len(got) == len(want) and all(g[0] == w[0] and g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g[1] for g in got) >= (0.9 if shard == 120 else 0.999) * sum(w[1] for w in want)
-    if shard == 4096:
+    if shard == 8192:
         assert got == want
     assert graph.near_vectors(df.limit(0)).count() == 0
