@@ -54,46 +54,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vector width mismatch"))).otherwise(product)
 
 
-def top_candidates(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+def top_candidates(queries: DataFrame, index: DataFrame, k: int = TOP_K, salts: int | None = None) -> DataFrame:
     """Exact best ``k`` index entries of every query: ``query_id, rank, field, text, score``.
 
-    Queries and index are packed into blocks of bounded size.  Each pair of blocks meets by an
-    equi-join on the block number and yields only the best ``k`` of each query, so neither all
-    pairs nor a whole side is ever held; block winners are then merged per query.
+    ``queries``: query_id, vector and, if an entry is to be left out, ``skip``: the text of that entry; nothing else is.
+    The index, a dimension, is dealt to blocks of bounded size by the whole entry.  Queries are packed inside their own tasks; each pack meets every
+    block once, spread over ``salts`` copies of the block, and only the best ``k`` of each query leave a meeting.  The work is every
+    query against every entry, as the question asks; ties go to the lower field, then text.
     """
     blocks = max(1, math.ceil(index.count() / BLOCK_ROWS))
-    chunks = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    packed_index = index.groupBy(F.pmod(F.hash("text"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("field", "text", "vector")).alias("entries")
-    )
-    packed_queries = (
-        queries.groupBy(F.pmod(F.hash("query_id"), F.lit(chunks)).alias("chunk"))
-        .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
+    salts = salts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if "skip" not in queries.columns:
+        queries = queries.withColumn("skip", F.lit(None).cast(dict(index.dtypes)["text"]))
+    entries = index.groupBy(F.pmod(F.xxhash64("field", "text", "vector"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("field", "text", "vector")).alias("entries"))
+    entries = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), QUERY_ROWS):
+                yield pd.DataFrame({"asked": [batch.iloc[at : at + QUERY_ROWS].to_dict("records")]})
+
+    kinds, text_kind = dict(queries.dtypes)["query_id"], dict(index.dtypes)["text"]
+    asked = queries.select("query_id", "vector", "skip").mapInPandas(pack, f"asked array<struct<query_id:{kinds},vector:{dict(queries.dtypes)['vector']},skip:{text_kind}>>")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("asked.query_id"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for asked, entries in zip(batch["asked"], batch["entries"], strict=True):
-                q = np.array([np.asarray(a["vector"], dtype=np.float64) for a in asked])
-                e = np.array([np.asarray(x["vector"], dtype=np.float64) for x in entries])
-                scores = q @ e.T
-                ids = [a["query_id"] for a in asked]
-                fields = np.array([x["field"] for x in entries])
-                texts = np.array([x["text"] for x in entries])
-                # A line is never suggested to itself; ties go to the lower field, then text.
-                scores[np.array(ids)[:, None] == texts[None, :]] = -np.inf
+            for questions, answers in zip(batch["asked"], batch["entries"], strict=True):
+                scores = np.array([np.asarray(a["vector"], dtype=np.float64) for a in questions]) @ np.array([np.asarray(x["vector"], dtype=np.float64) for x in answers]).T
+                fields, texts = (np.array([x[c] for x in answers]) for c in ("field", "text"))
                 tie = np.argsort(np.lexsort((texts, fields)))
                 rows = []
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((tie, -scores[i]))[:k]
-                    rows += [(qid, fields[j], texts[j], scores[i, j]) for j in order if np.isfinite(scores[i, j])]
+                for i, asked_one in enumerate(questions):
+                    order = np.lexsort((tie, -scores[i]))
+                    if not pd.isna(asked_one["skip"]):
+                        order = order[texts[order] != asked_one["skip"]]
+                    rows += [(asked_one["query_id"], fields[j], texts[j], scores[i, j]) for j in order[:k]]
                 yield pd.DataFrame(rows, columns=["query_id", "field", "text", "score"])
 
-    kinds = dict(queries.dtypes)["query_id"]
-    winners = packed_queries.join(packed_index, "block").select("asked", "entries").mapInPandas(
-        best, f"query_id {kinds}, field string, text {dict(index.dtypes)['text']}, score double"
-    )
+    winners = asked.join(entries, ["block", "salt"]).select("asked", "entries").mapInPandas(best, f"query_id {kinds}, field string, text {text_kind}, score double")
     merged = winners.groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "field", "text"))), 1, k).alias("best")
     )
@@ -150,59 +149,59 @@ def top3_hit() -> Column:
 # ---- calibration -----------------------------------------------------------------------
 
 
-def _pool(blocks: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
-    """Pool adjacent violators over (first score, weight, value sum) blocks in score order."""
-    out: list[list[float]] = []
+def _pool(kept: list[list[float]], blocks: Iterator[tuple[float, float, float]]) -> list[list[float]]:
+    """Pool neighbours whose means do not rise: ``kept`` and ``blocks`` are (first score, weight, value sum) in score order."""
     for score, weight, total in blocks:
-        out.append([score, weight, total])
-        while len(out) > 1 and out[-2][2] * out[-1][1] > out[-1][2] * out[-2][1]:
-            _, w, t = out.pop()
-            out[-1][1] += w
-            out[-1][2] += t
-    return [tuple(b) for b in out]
+        kept.append([score, weight, total])
+        while len(kept) > 1 and kept[-2][2] * kept[-1][1] >= kept[-1][2] * kept[-2][1]:
+            _, w, t = kept.pop()
+            kept[-1][1] += w
+            kept[-1][2] += t
+    return kept
 
 
 def fit_steps(observations: DataFrame) -> DataFrame:
-    """Isotonic step table ``threshold, probability, weight`` of (score, was_correct, id) rows.
+    """Isotonic step table ``threshold, probability, weight`` of (score, was_correct) rows.
 
-    Each range partition pools its own rows; only the pooled blocks, a tiny fraction, are pooled
-    again across partitions.  Pooling is associative, so the result is that of one serial pass.
-    A block keeps its first score.  Refusal below the sample floors is an error.
+    Observations are counted by score first, each range of scores is pooled by itself, and the steps left are pooled once more.
+    Pooling is associative, so the result is that of one serial pass; steps of equal probability are one step.  Steps rise strictly and are
+    fractions of whole counts, so that ``m`` observations leave in the order of ``m ** (2/3)`` of them at most: that is what meets in
+    the last task.  A step keeps its first score.  Refusal below the sample floors is an error.
     """
-    n, pos = observations.agg(F.count("*"), F.count_if("was_correct")).first()
-    if n < MIN_SAMPLES or pos < MIN_POSITIVES:
-        raise ValueError(f"refusing to fit a calibrator on {n} observations, {pos} of them correct")
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[float, float, float]] = []
-        for b in batches:
-            kept = _pool(kept + list(zip(b["score"], np.ones(len(b)), b["was_correct"].astype(float), strict=True)))
-        yield pd.DataFrame([(i, *k) for i, k in enumerate(kept)], columns=["i", "threshold", "weight", "total"])
+    counted = observations.groupBy("score").agg(F.count("*").cast("double").alias("weight"), F.count_if("was_correct").cast("double").alias("total"))
+    n, pos = counted.agg(F.sum("weight"), F.sum("total")).first()
+    if (n or 0) < MIN_SAMPLES or pos < MIN_POSITIVES:
+        raise ValueError(f"refusing to fit a calibrator on {n or 0:.0f} observations, {pos or 0:.0f} of them correct")
 
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[float, float, float]] = []
+    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[list[float]] = []
         for b in batches:
-            kept = _pool(kept + list(zip(b["threshold"], b["weight"], b["total"], strict=True)))
-        yield pd.DataFrame([(s, t / w, w) for s, w, t in kept], columns=["threshold", "probability", "weight"])
+            kept = _pool(kept, zip(b["score"], b["weight"], b["total"], strict=True))
+        yield pd.DataFrame(kept, columns=["score", "weight", "total"], dtype=float)
 
-    parts = observations.sparkSession.sparkContext.defaultParallelism
-    ranged = observations.select("score", "was_correct", "id").repartitionByRange(parts, "score", "id").sortWithinPartitions("score", "id")
-    blocks = ranged.mapInPandas(local, "i long, threshold double, weight double, total double")
-    return blocks.coalesce(1).sortWithinPartitions("threshold", "i").mapInPandas(final, "threshold double, probability double, weight double")
+    schema = "score double, weight double, total double"
+    ranges = counted.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pool, schema)
+    # An exchange, not a coalesce: pooling by range keeps its own tasks.
+    steps = ranges.repartition(1).sortWithinPartitions("score").mapInPandas(pool, schema)
+    return steps.select(F.col("score").alias("threshold"), (F.col("total") / F.col("weight")).alias("probability"), "weight")
 
 
-def calibrated(scores: DataFrame, steps: DataFrame) -> DataFrame:
+def calibrated(scores: DataFrame, steps: DataFrame, cells: int = 256) -> DataFrame:
     """Step lookup: the last threshold at or below the score, the first value below all of them.
 
-    The step table is as small as the fit made it, so it is carried as one sorted array per row
-    set instead of a range join.
+    Scores from -1 to 1 are cut into ``2 * cells`` cells (what lies beyond falls into the outer ones).  A cell holds its own steps and the one that
+    reaches into it, and rows meet their cell by an equi-join.
     """
-    table = steps.agg(F.array_sort(F.collect_list(F.struct("threshold", "probability"))).alias("steps"), F.lit(1).alias("one"))
-    rows = scores.withColumn("one", F.lit(1)).join(table, "one").drop("one")
+    cell = lambda c: F.least(F.greatest(F.floor(c * cells), F.lit(-cells)), F.lit(cells)).cast("int")
+    own = steps.groupBy(cell(F.col("threshold")).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("threshold", "probability"))).alias("steps"))
+    every = steps.sparkSession.range(-cells, cells + 1).select(F.col("id").cast("int").alias("cell")).join(own, "cell", "left")
+    before = W.partitionBy(F.lit(1)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # over the cells only
+    after = W.partitionBy(F.lit(1)).orderBy("cell").rowsBetween(W.currentRow, W.unboundedFollowing)
+    carried = F.coalesce(F.last("steps", ignorenulls=True).over(before)[F.size(F.last("steps", ignorenulls=True).over(before)) - 1]["probability"], F.first("steps", ignorenulls=True).over(after)[0]["probability"])
+    table = every.withColumn("carried", carried)
     under = F.filter("steps", lambda s: s["threshold"] <= F.col("score"))
-    return rows.withColumn(
-        "probability", F.coalesce(F.try_element_at(under, F.lit(-1))["probability"], F.try_element_at("steps", F.lit(1))["probability"])
-    ).drop("steps")
+    found = F.coalesce(F.try_element_at(under, F.lit(-1))["probability"], F.col("carried"))
+    return scores.withColumn("cell", cell(F.col("score"))).join(table, "cell").withColumn("probability", found).drop("cell", "steps", "carried")
 
 
 def reliability(observations: DataFrame, bins: int = 10) -> DataFrame:

@@ -115,7 +115,8 @@ TOP_CTE = """sc AS (SELECT a.vec_id AS query_id, 'f' || b.label AS field, b.vec_
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     e = d.table(spark, sf, "embeddings")
     index = e.select(F.concat(F.lit("f"), "label").alias("field"), F.col("vec_id").alias("text"), F.col("embedding").alias("vector"))
-    return learn.top_candidates(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), index)
+    # Each vector asks about all others: its own entry is left out by name.
+    return learn.top_candidates(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("skip")), index)
 
 
 @query("t11_top_k", f"WITH {TOP_CTE} SELECT query_id, rank, field, text, round(score, 6) AS score FROM top")
@@ -287,19 +288,27 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Score and correctness of every shown candidate."""
     labels = d.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("f"), "label").alias("truth"))
     return candidates(spark, sf).join(labels, "query_id").select(
-        F.concat_ws("-", "query_id", "rank").alias("id"), "score", (F.col("field") == F.col("truth")).alias("was_correct")
+        F.concat_ws("-", "query_id", "rank").alias("id"), F.round("score", 9).alias("score"), (F.col("field") == F.col("truth")).alias("was_correct")
     )
 
 
-@query("t24_calibrator_fit")
+# Isotonic regression by its max-min form: over all runs of scores that hold a score, the greatest of the least means.
+PAV_CTE = f"""{TOP_CTE}, ob AS (SELECT query_id || '-' || rank AS id, round(score, 9) AS score, ql = bl AS ok FROM top), g AS (SELECT score, count(*) AS w, count(*) FILTER (ok) AS t, row_number() OVER (ORDER BY score) AS i FROM ob GROUP BY 1),
+  cum AS (SELECT i, score, w, sum(w) OVER (ORDER BY i) AS cw, sum(t) OVER (ORDER BY i) AS ct, t FROM g),
+  runs AS (SELECT a.i AS a, b.i AS b, (b.ct - a.ct + a.t)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE AS mean FROM cum a JOIN cum b ON b.i >= a.i),
+  low AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM runs), iso AS (SELECT i, max(m) AS probability FROM low GROUP BY 1),
+  st AS (SELECT min(score) AS threshold, probability, sum(w)::DOUBLE AS weight FROM iso JOIN g USING (i) GROUP BY probability)"""
+
+
+@query("t24_calibrator_fit", f"WITH {PAV_CTE} SELECT round(threshold, 6) AS threshold, probability, weight FROM st")
 def t24_calibrator_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.fit_steps(outcomes(spark, sf))
+    return learn.fit_steps(outcomes(spark, sf)).withColumn("threshold", F.round("threshold", 6))
 
 
-@query("t25_calibrated_lookup")
+@query("t25_calibrated_lookup", f"WITH {PAV_CTE} SELECT id, round(ob.score, 6) AS score, probability FROM ob JOIN g USING (score) JOIN iso USING (i)")
 def t25_calibrated_lookup(spark: SparkSession, sf: str) -> DataFrame:
     obs = outcomes(spark, sf)
-    return learn.calibrated(obs, learn.fit_steps(obs)).select("id", "score", "probability")
+    return learn.calibrated(obs, learn.fit_steps(obs)).select("id", F.round("score", 6).alias("score"), "probability")
 
 
 _BINS = "CASE " + " ".join(f"WHEN score >= {i * 0.1!r}::DOUBLE AND score {'<=' if i == 9 else '<'} {(i + 1) * 0.1!r}::DOUBLE THEN {i}" for i in range(10)) + " END"
