@@ -67,12 +67,12 @@ def apply_order(plan: DataFrame) -> DataFrame:
     )
 
 
-def cycles(edges: DataFrame, max_length: int = 50) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """Dependency cycles, each once, as a path from its smallest id.
 
     First everything that cannot lie on a cycle is peeled away: nodes without an incoming or an
     outgoing edge, round by round.  Paths then grow only inside that core, from the smallest id.
-    An error is raised when a path reaches ``max_length`` without closing.
+    A path visits no node twice, so that rounds end at the latest with the number of nodes in the core.
     """
     core = cut_lineage(edges.where(F.col("src") != F.col("dst")).distinct())
     size = core.count()
@@ -86,7 +86,7 @@ def cycles(edges: DataFrame, max_length: int = 50) -> DataFrame:
     paths = core.where(F.col("dst") > F.col("src")).select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     step = core.select(F.col("src").alias("last"), F.col("dst").alias("nxt"))
     found = None
-    for _ in range(max_length):
+    while True:
         grown = paths.join(step, "last")
         closed = grown.where(F.col("nxt") == F.col("first")).select(F.concat("path", F.array("first")).alias("path"))
         found = closed if found is None else found.unionByName(closed)
@@ -95,7 +95,6 @@ def cycles(edges: DataFrame, max_length: int = 50) -> DataFrame:
         )
         if paths.isEmpty():
             return found.select(F.array_join("path", " -> ").alias("cycle"))
-    raise ValueError(f"a dependency path is longer than {max_length}")
 
 
 def consistency(snippets: DataFrame) -> DataFrame:

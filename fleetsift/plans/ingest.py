@@ -24,7 +24,8 @@ _REASON = f"""CASE WHEN over_limit THEN 'batch_limit_exceeded'
   WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > {tx.MAX_FILE_BYTES} THEN 'too_large'
   WHEN {_PRINTABLE} < {tx.MIN_PRINTABLE} THEN 'binary_content'
   WHEN regexp_full_match(text, '\\s*') THEN 'empty'
-  WHEN ({_SNIFF}) = 'json' AND NOT json_valid(text) THEN 'malformed_json' END"""
+  WHEN ({_SNIFF}) = 'json' AND NOT json_valid(text) THEN 'malformed_json'
+  WHEN ({_SNIFF}) = 'xml' AND broken THEN 'malformed_xml' END"""
 _CHECKED = f"""{d.UPLOADS_CTE}, over_b AS (SELECT batch_id FROM uploads GROUP BY 1 HAVING count(*) > {tx.MAX_BATCH_FILES}),
 checked AS (SELECT u.upload_id, u.batch_id, u.text, {_REASON} AS reason
   FROM (SELECT x.*, o.batch_id IS NOT NULL AS over_limit FROM uploads x LEFT JOIN over_b o USING (batch_id)) u)"""
@@ -48,11 +49,11 @@ def s01_batch_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s02_archive_expand",
-    "SELECT doc_id, 'a.cfg' AS member, strlen(text) AS size, NULL AS reason FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'sub/b.cfg', 3, NULL FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 "
+    "SELECT doc_id, 'a.cfg' AS member, CASE WHEN doc_id % 11 > 1 THEN strlen(text) END AS size, CASE WHEN doc_id % 11 <= 1 THEN 'undecodable' END AS reason FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'sub/b.cfg', 3, NULL FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 "
     "UNION ALL SELECT doc_id, NULL, NULL, 'archive_unsafe_path' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT doc_id, NULL, strlen(text), NULL FROM documents WHERE doc_id % 5 = 0",
 )
 def s02_archive_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Most documents are zipped with a second member; some archives try to escape their folder."""
+    """Most documents are zipped with a second member; some archives try to escape their folder, some have a damaged or an encrypted member."""
 
     def pack(batches):
         import io
@@ -63,9 +64,17 @@ def s02_archive_expand(spark: SparkSession, sf: str) -> DataFrame:
             for n, text in zip(batch["doc_id"], batch["text"], strict=True):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w") as z:
-                    z.writestr("../a.cfg" if n % 7 == 0 else "a.cfg", text)
+                    z.writestr("../a.cfg" if n % 7 == 0 else "a.cfg", text, zipfile.ZIP_DEFLATED if n % 11 == 0 else zipfile.ZIP_STORED)
                     z.writestr("sub/b.cfg", "abc")
-                blobs.append(text.encode() if n % 5 == 0 else out.getvalue())
+                    first = z.infolist()[0]
+                blob = bytearray(out.getvalue())
+                if n % 11 == 0:
+                    at = first.header_offset + 30 + len(first.filename)
+                    blob[at : at + 2] = b"\xff\xff"
+                elif n % 11 == 1:
+                    for at in (first.header_offset + 6, blob.index(b"PK\x01\x02") + 8):
+                        blob[at] |= 1
+                blobs.append(text.encode() if n % 5 == 0 else bytes(blob))
             yield batch[["doc_id"]].assign(content=blobs)
 
     files = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "doc_id long, content binary")
@@ -130,7 +139,7 @@ def s07_format_sniff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("s07_xml_wellformed")
+@query("s07_xml_wellformed", f"WITH {d.UPLOADS_CTE} SELECT upload_id, NOT broken AS wellformed FROM uploads WHERE ({_SNIFF}) = 'xml'")
 def s07_xml_wellformed(spark: SparkSession, sf: str) -> DataFrame:
     return ops.xml_wellformed(d.uploads(spark, sf), "upload_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import secrets, shape
 from fleetsift.functions import text as tx
-from fleetsift.operators import detect, hygiene, learn, metrics, packstore, tree
+from fleetsift.operators import detect, hygiene, learn, metrics, packstore, reads, tree
 from fleetsift.plans.comply import FINDINGS_CTE, findings
 from fleetsift.plans.detect import CFG, HITS_CTE, PACK_CTE, RANKED_CTE, SCORES_CTE, _pack_versions, configs, quote
 from fleetsift.plans.parse import REASONED_CTE, FACTS_CTE, FIELDS_CTE, RESOLVED_CTE, resolved_fields
@@ -54,9 +54,9 @@ def t05_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return learn.clusters(lines(spark, sf))
 
 
-@query("t06_cluster_rank", f"WITH {_CLUSTERS} SELECT cluster_id, size, file_count FROM cl ORDER BY size DESC, file_count DESC, signature LIMIT 100")
+@query("t06_cluster_rank", f"WITH {_CLUSTERS} SELECT cluster_id, size, file_count FROM cl")
 def t06_cluster_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return learn.clusters(lines(spark, sf)).orderBy(*learn.cluster_order()).limit(100).select("cluster_id", "size", "file_count")
+    return reads.listing(learn.clusters(lines(spark, sf)), learn.cluster_order()).select("cluster_id", "size", "file_count")
 
 
 @query("t07_confirmable", f"WITH {_CLUSTERS} SELECT cluster_id, size FROM cl WHERE is_confirmable")
@@ -82,8 +82,7 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split_lines(spark: SparkSession, sf: str) -> DataFrame:
     split = F.when(F.col("lang") == "en", "dev").when(F.col("lang") == "fr", "eval").otherwise("holdout")
-    docs = d.table(spark, sf, "documents").select("doc_id", split.alias("split"))
-    return d.doc_lines(spark, sf).join(docs, "doc_id").select(F.trim("text").alias("text"), "split").where(F.col("text") != "")
+    return d.doc_lines(spark, sf, keep=("lang",)).select(F.trim("text").alias("text"), split.alias("split")).where(F.col("text") != "")
 
 
 @query("t08_example_index", f"WITH {INDEX_CTE} SELECT text, field, origin, source FROM idx")
@@ -153,12 +152,11 @@ def t14_queue_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "t15_queue_view",
-    f"WITH {SIG_CTE} SELECT s.doc_id, s.line_number, s.signature FROM sig s JOIN documents USING (doc_id) WHERE source = 'src7' ORDER BY doc_id, line_number LIMIT 5000",
+    f"WITH {SIG_CTE} SELECT s.doc_id, s.line_number, s.signature FROM sig s JOIN documents USING (doc_id) WHERE source = 'src7'",
 )
 def t15_queue_view(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.table(spark, sf, "documents").where(F.col("source") == "src7").select("doc_id")
-    rows = lines(spark, sf).join(docs, "doc_id", "left_semi").orderBy("doc_id", "line_number").limit(5000)
-    return rows.select("doc_id", "line_number", shape.signature(F.col("text")).alias("signature"))
+    mine = d.doc_lines_secret(spark, sf, F.col("source") == "src7")
+    return reads.listing(mine, ("doc_id", "line_number")).select("doc_id", "line_number", shape.signature(F.col("text")).alias("signature"))
 
 
 DEC_CTE = f"""{TOP_CTE}, shown AS (SELECT query_id, list({{'r': CASE WHEN query_id % 11 = 0 THEN 1 ELSE rank END, 'f': field}} ORDER BY rank) AS shown FROM sug GROUP BY 1),

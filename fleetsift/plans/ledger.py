@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import text as tx
-from fleetsift.operators import ledger as lg, packstore, quality as dq, remediation as rm
+from fleetsift.operators import detect, ledger as lg, packstore, quality as dq, reads, remediation as rm
 from fleetsift.operators.ingest import line_cache
 from fleetsift.operators.scan import dense_sequence
 from fleetsift.plans.comply import FINDINGS_CTE, devices, findings
-from fleetsift.plans.detect import PACK_CTE, quote
+from fleetsift.plans.detect import CFG, HITS_CTE, PACK_CTE, RANKED_CTE, SCORES_CTE, configs, quote
 from fleetsift.plans.fleet import KIND_CTE, entries
 from fleetsift.plans.registry import query
 from fleetsift.operators import acl
@@ -108,10 +108,10 @@ def l07_range_verify(spark: SparkSession, sf: str) -> DataFrame:
     return lg.verify(tampered(spark, sf), start=10, end=40)
 
 
-@query("l08_log_query", f"WITH RECURSIVE {CHAIN_CTE} SELECT chain_id, seq, action FROM log WHERE action = 'click' AND actor_type = 'human' AND ts >= TIMESTAMP '2024-01-02' ORDER BY chain_id, seq LIMIT 100 OFFSET 20")
+@query("l08_log_query", f"WITH RECURSIVE {CHAIN_CTE} SELECT chain_id, seq, action FROM log WHERE action = 'click' AND actor_type = 'human' AND ts >= TIMESTAMP '2024-01-02'")
 def l08_log_query(spark: SparkSession, sf: str) -> DataFrame:
     rows = records(spark, sf).where((F.col("action") == "click") & (F.col("actor_type") == "human") & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp")))
-    return rows.orderBy("chain_id", "seq").offset(20).limit(100).select("chain_id", "seq", "action")
+    return reads.listing(rows, ("chain_id", "seq")).select("chain_id", "seq", "action")
 
 
 @query("l09_model_actor", "SELECT event_id FROM events WHERE event_type = 'error'")
@@ -130,10 +130,11 @@ def l10_chain_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- reads -----------------------------------------------------------------------------
 
-@query("q01_files_by_owner", "SELECT doc_id, source FROM documents d WHERE source = 'src7' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) ORDER BY doc_id DESC LIMIT 100")
+@query("q01_files_by_owner", "SELECT doc_id, source FROM documents d WHERE source = 'src7' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def q01_files_by_owner(spark: SparkSession, sf: str) -> DataFrame:
     owned = d.table(spark, sf, "labels").where(F.col("quality") == 1).select("doc_id")
-    return d.table(spark, sf, "documents").where(F.col("source") == "src7").join(owned, "doc_id", "left_semi").orderBy(F.col("doc_id").desc()).limit(100).select("doc_id", "source")
+    found = reads.files_of_owner(d.table(spark, sf, "documents").select("doc_id", "source"), owned, "src7")
+    return reads.listing(found, (F.col("doc_id").desc(),))
 
 
 @query("q02_line_window", f"WITH {d.DOC_LINES_CTE}, t AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM cfg_line) SELECT * FROM t WHERE line_number BETWEEN 3 AND 7")
@@ -151,9 +152,9 @@ def _named(spark: SparkSession, sf: str) -> DataFrame:
     return devices(spark, sf).withColumn("hostname", F.when(F.col("n") % 6 != 0, F.concat(F.lit("host-"), "n")))
 
 
-@query("q03_devices_by_name", f"WITH {_DEVQ} SELECT device_id, hostname FROM named ORDER BY hostname NULLS LAST, device_id LIMIT 1000")
+@query("q03_devices_by_name", f"WITH {_DEVQ} SELECT device_id, hostname FROM named")
 def q03_devices_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    return _named(spark, sf).orderBy(F.asc_nulls_last("hostname"), "device_id").limit(1000).select("device_id", "hostname")
+    return reads.listing(_named(spark, sf), (F.asc_nulls_last("hostname"), "device_id")).select("device_id", "hostname")
 
 
 @query("q04_first_owner", "SELECT o_custkey AS file_id, arg_min(o_orderkey % 5, o_orderkey) AS owner_id FROM orders GROUP BY 1")
@@ -161,17 +162,18 @@ def q04_first_owner(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("file_id")).agg(F.min_by(F.col("o_orderkey") % 5, "o_orderkey").alias("owner_id"))
 
 
-@query("q05_runs_list", "SELECT o_orderkey AS audit_id FROM orders WHERE o_custkey % 5 = 2 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200")
+@query("q05_runs_list", "SELECT o_orderkey AS audit_id FROM orders WHERE o_custkey % 5 = 2")
 def q05_runs_list(spark: SparkSession, sf: str) -> DataFrame:
     mine = d.table(spark, sf, "orders").where(F.col("o_custkey") % 5 == 2)
-    return mine.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(200).select(F.col("o_orderkey").alias("audit_id"))
+    return reads.listing(mine, (F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).select(F.col("o_orderkey").alias("audit_id"))
 
 
 _LATEST = "latest AS (SELECT o_custkey AS n, max(o_orderkey) FILTER (o_orderdate = md) AS audit_id FROM orders JOIN (SELECT o_custkey, max(o_orderdate) AS md FROM orders GROUP BY 1) USING (o_custkey) GROUP BY 1)"
 
 
 def _latest(spark: SparkSession, sf: str) -> DataFrame:
-    return d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("n")).agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select("n", F.col("m.o_orderkey").alias("audit_id"))
+    runs = d.table(spark, sf, "orders").select(F.col("o_custkey").alias("device"), F.col("o_orderdate").alias("ran_at"), F.col("o_orderkey").alias("audit_id"))
+    return reads.latest_runs(runs).withColumnRenamed("device", "n")
 
 
 @query("q06_latest_run", f"WITH {_LATEST} SELECT n, audit_id FROM latest")
@@ -198,28 +200,23 @@ def q09_device_search(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, sf).where(hit).select("device_id")
 
 
-@query("q10_visibility", "SELECT s_suppkey AS user_id, o_orderkey AS audit_id FROM supplier JOIN orders ON o_custkey % 50 = s_suppkey WHERE s_suppkey BETWEEN 1 AND 49")
+@query("q10_visibility", "SELECT s_suppkey AS user_id, o_orderkey AS audit_id FROM supplier JOIN orders ON o_custkey % 50 = s_suppkey OR s_suppkey = 3")
 def q10_visibility(spark: SparkSession, sf: str) -> DataFrame:
-    users = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") == 0).alias("admin")).where(F.col("user_id").between(1, 49))
-    runs = d.table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("user_id"), F.col("o_orderkey").alias("audit_id"))
-    return runs.join(users.where(~F.col("admin")), "user_id").select("user_id", "audit_id")
+    users = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") == 3).alias("admin"))
+    runs = d.table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("owner_id"), F.col("o_orderkey").alias("audit_id"))
+    return reads.visible_runs(users, runs)
 
 
 @query("q11_batch_summary", "SELECT o_custkey AS batch_id, count(*) FILTER (o_orderstatus <> 'P') AS accepted, count(*) FILTER (o_orderstatus = 'F') AS duplicate, count(*) FILTER (o_orderstatus = 'P') AS rejected, count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 4 = 0) AS unidentified FROM orders GROUP BY 1")
 def q11_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     s, k = F.col("o_orderstatus"), F.col("o_orderkey")
-    return d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("batch_id")).agg(
-        F.count_if(s != "P").alias("accepted"), F.count_if(s == "F").alias("duplicate"), F.count_if(s == "P").alias("rejected"), F.count_if((s != "P") & (k % 4 == 0)).alias("unidentified")
-    )
+    status = F.when(s == "P", "rejected").when(s == "F", "duplicate").otherwise("ingested")
+    return reads.batch_summary(d.table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id"), status.alias("status"), (k % 4 != 0).alias("identified")))
 
 
-@query("q12_unidentified", "SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' AND o_orderkey % 4 = 0")
+@query("q12_unidentified", f"WITH {CFG}, {HITS_CTE}, {SCORES_CTE}, {RANKED_CTE} SELECT k, outcome FROM decided WHERE outcome <> 'detected'")
 def q12_unidentified(spark: SparkSession, sf: str) -> DataFrame:
-    from fleetsift.operators import detect
-    from fleetsift.plans.detect import configs
-
-    seen = detect.detect(configs(spark, sf).where((F.col("pr") == "3-MEDIUM")))
-    return seen.where(F.col("outcome") != "detected").select("k")
+    return detect.detect(configs(spark, sf)).where(F.col("outcome") != "detected").select("k", "outcome")
 
 
 # ---- quality ---------------------------------------------------------------------------
@@ -371,10 +368,10 @@ def s22_evidence_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.rehydrate(sinks.evidence_pointers(_cited(spark, sf)), hashed, line_cache(lines)).select("finding_id", "ordinal", "text")
 
 
-@query("s24_training_examples", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0 ORDER BY conv_id, turn LIMIT 100")
+@query("s24_training_examples", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0")
 def s24_training_examples(spark: SparkSession, sf: str) -> DataFrame:
     c = d.table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % 3 != 0))
-    return c.orderBy("conv_id", "turn").limit(100).select("conv_id", "turn", "text")
+    return reads.listing(c, ("conv_id", "turn")).select("conv_id", "turn", "text")
 
 
 # ---- remediation and report ------------------------------------------------------------

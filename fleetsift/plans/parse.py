@@ -220,7 +220,7 @@ def p14_cast_cidr(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("10."), F.col("l_partkey") % 256, F.lit("."), F.col("l_suppkey") % 256, F.lit("."), F.col("l_linenumber") * 37 % 256,
         F.lit("/"), F.col("l_partkey") % 36,
     )
-    return d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).select(
+    return d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey").select(
         "*", casts.cast_cidr(raw).alias("cidr")
     )
 
@@ -420,7 +420,7 @@ def x03_wildcard_cidr(spark: SparkSession, sf: str) -> DataFrame:
     masks = ("0.0.0.0", "0.0.0.255", "0.0.255.255", "0.0.0.3", "0.0.0.254", "0.0.255.0", "255.255.255.255")
     wild = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("l_linenumber"))
     addr = F.concat(F.lit("10."), F.col("l_partkey") % 256, F.lit("."), F.col("l_suppkey") % 256, F.lit("."), F.col("l_linenumber"))
-    rows = d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    rows = d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey")
     return rows.select("*", st.wildcard_to_cidr(addr, wild).alias("cidr"))
 
 
@@ -467,7 +467,7 @@ def x08_port_parse(spark: SparkSession, sf: str) -> DataFrame:
     token = F.when(F.col("l_linenumber") == 6, name).otherwise(number)
     low = st.port_number(token)
     got = st.port_interval(op, low, F.least(low + 10, F.lit(65535)))
-    rows = d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    rows = d.spread(d.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), "l_orderkey")
     return rows.select("*", F.when(got.isNotNull(), F.concat_ws("-", got["lo"].cast("string"), got["hi"].cast("string"))).alias("port"))
 
 

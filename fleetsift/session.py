@@ -2,13 +2,14 @@
 
 * ``build_session`` is for local runs and tests; on a cluster the session comes
   from the submitter and only its settings are read.
-* ``checkpoint_dir`` honours ``spark.checkpoint.dir`` and falls back to a local
-  folder only when the session names none.
+* ``checkpoint_dir`` honours ``spark.checkpoint.dir``.  Only a session that runs in one process gets a folder of its own when
+  it names none; on a cluster that is an error, since executors do not share local folders.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,6 +26,7 @@ def build_session(cores: int | None = None, app: str = "fleetsift") -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "8g"))
+        .config("spark.fleetsift.spread", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -37,7 +39,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetsift-ckpt-"))
+    if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="fleetsift-ckpt-")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 

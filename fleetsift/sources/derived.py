@@ -273,7 +273,7 @@ def cfg_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads of three kinds: prose, JSON (cut short for error events) and web pages."""
+    """Uploads of three kinds: prose, JSON (cut short for error events) and web pages wrapped as XML (cut short for every third)."""
     docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("upload_id"),
         F.concat(F.lit("batch-"), F.col("source")).alias("batch_id"),
@@ -285,28 +285,35 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", "bulk-load").otherwise(F.concat(F.lit("user-"), F.col("user_id"))).alias("batch_id"),
         cut.alias("text"),
     )
+    # Every third page lacks its closing tag; the others are well-formed whatever they hold.
+    body = F.regexp_replace(F.regexp_replace("html", _NOT_XML, ""), "]]>", "")
+    closing = F.when(F.col("page_id") % 3 == 0, "").otherwise("</page>")
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id")).alias("upload_id"),
         F.lit("batch-pages").alias("batch_id"),
-        F.col("html").alias("text"),
+        F.concat(F.lit("<page><![CDATA["), body, F.lit("]]>"), closing).alias("text"),
     )
     return docs.unionByName(events).unionByName(pages)
 
 
-UPLOADS_CTE = """uploads AS (
-  SELECT 'doc-' || doc_id AS upload_id, 'batch-' || source AS batch_id, text FROM documents
+_NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+UPLOADS_CTE = f"""uploads AS (
+  SELECT 'doc-' || doc_id AS upload_id, 'batch-' || source AS batch_id, text, false AS broken FROM documents
   UNION ALL SELECT 'evt-' || event_id, CASE WHEN event_type = 'purchase' THEN 'bulk-load' ELSE 'user-' || user_id END,
-    CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END FROM events
-  UNION ALL SELECT 'page-' || page_id, 'batch-pages', html FROM pages)"""
+    CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END, false FROM events
+  UNION ALL SELECT 'page-' || page_id, 'batch-pages', '<page><![CDATA[' || replace(regexp_replace(html, '{_NOT_XML}', '', 'g'), ']]>', '') || ']]>' || CASE WHEN page_id % 3 = 0 THEN '' ELSE '</page>' END,
+    page_id % 3 = 0 FROM pages)"""
 
 
-def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the documents: ``doc_id, line_number, text``."""
+def doc_lines(spark: SparkSession, sf_dir: str, where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of the documents for which ``where`` holds: ``doc_id, line_number, text`` and the columns ``keep`` of their document."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if where is None else docs.where(where)
     return (
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-        .select("doc_id", F.posexplode_outer(tx.split_lines(F.col("text"))).alias("p", "text"))
+        spread(docs.select("doc_id", "text", *keep), "doc_id")
+        .select("doc_id", *keep, F.posexplode_outer(tx.split_lines(F.col("text"))).alias("p", "text"))
         .where(F.col("p").isNotNull())
-        .select("doc_id", (F.col("p") + 1).alias("line_number"), "text")
+        .select("doc_id", (F.col("p") + 1).alias("line_number"), "text", *keep)
     )
 
 
@@ -317,7 +324,7 @@ DOC_LINES_CTE = f"""cfg_line AS (SELECT doc_id, unnest(generate_series(1, len(ls
 
 
 # Secrets variant: every document line gets the keyword lines appended by its own number.
-def doc_lines_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_lines_secret(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     n, d = F.col("line_number"), F.col("doc_id")
     tail = (
         F.when((d + n) % 7 == 0, F.concat(F.lit(" secret 5 abc"), n))
@@ -327,7 +334,7 @@ def doc_lines_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((d + n) % 7 == 4, F.concat(F.lit(" domain-name site"), n, F.when(d % 2 == 0, ".example").otherwise(".corp")))
         .otherwise("")
     )
-    return doc_lines(spark, sf_dir).select("doc_id", "line_number", F.concat("text", tail).alias("text"))
+    return doc_lines(spark, sf_dir, where).select("doc_id", "line_number", F.concat("text", tail).alias("text"))
 
 
 SECRET_LINES_CTE = f"""{DOC_LINES_CTE}, sec_line AS (SELECT doc_id, line_number, text || CASE (doc_id + line_number) % 7

@@ -32,6 +32,7 @@ def expand_archives(files: DataFrame, key: str = "file_path") -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import zipfile
+        import zlib
         from pathlib import PurePosixPath
 
         def unsafe(name: str) -> bool:
@@ -51,14 +52,24 @@ def expand_archives(files: DataFrame, key: str = "file_path") -> DataFrame:
                 return "archive_compression_bomb"
             return "archive_too_large" if any(e.file_size > tx.MAX_FILE_BYTES for e in entries) else None
 
+        # What a damaged, encrypted or oddly packed file raises.
+        DAMAGE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError)
+
+        def member(archive: zipfile.ZipFile, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+            """Content, or the reason why there is none: one bad member costs no other."""
+            try:
+                return archive.read(entry), None
+            except DAMAGE:
+                return None, "undecodable"
+
         for batch in batches:
             for k, blob in zip(batch[key], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(blob)) as archive:
                         entries = [e for e in archive.infolist() if not e.is_dir()]
                         reason = guard(entries)
-                        rows = [(k, None, None, reason)] if reason else [(k, e.filename, archive.read(e), None) for e in entries]
-                except zipfile.BadZipFile:
+                        rows = [(k, None, None, reason)] if reason else [(k, e.filename, *member(archive, e)) for e in entries]
+                except DAMAGE:
                     rows = [(k, None, None, "undecodable")]
                 yield pd.DataFrame(rows, columns=[key, "member", "content", "reason"])
 
@@ -69,9 +80,18 @@ def expand_archives(files: DataFrame, key: str = "file_path") -> DataFrame:
     return plain.unionByName(packed)
 
 
-def ingest_files(files: DataFrame) -> DataFrame:
-    """Bytes to checked uploads: size gate, decoding, text gates, content address."""
+def ingest_files(files: DataFrame, batch_limit: int | None = None) -> DataFrame:
+    """Bytes to checked uploads: batch limit, size gate, decoding, text gates, content address.
+
+    With a ``batch_limit`` the files of a batch (column ``batch_id``) are counted after expansion, and every file of a batch above it is
+    refused; a bulk load leaves it out.
+    """
     members = expand_archives(files)
+    if batch_limit is not None:
+        batches = files.select("file_path", "batch_id")
+        counted = members.select("file_path").join(batches, "file_path")
+        over = batches.join(ingest.over_limit_batches(counted, batch_limit).select("batch_id"), "batch_id", "left_semi").select("file_path", F.lit("batch_limit_exceeded").alias("over"))
+        members = members.join(over, "file_path", "left").withColumn("reason", F.coalesce("over", "reason")).drop("over")
     decoded = ingest.decode(members)
     size = F.length("content")
     reason = F.coalesce(F.col("reason"), ingest.size_reason(size), ingest.text_reason(F.col("text")))

@@ -10,12 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition on ``keys`` when the scan yields fewer tasks than there are cores.
+    """Hash-partition on ``keys`` if the session says so (``spark.fleetsift.spread`` is ``true``), else ``df`` itself.
 
-    Heavy per-row work over a file with one row group would otherwise run in one task.  A scan
-    that already splits into enough tasks is returned as it is, so large inputs pay nothing.
+    A small file with one row group is read by one task; a local session deals it out to all cores.  A cluster reads its own many
+    splits and leaves the setting alone: no shuffle is added there, at no size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df.repartition(*keys) if keys and df.sparkSession.conf.get("spark.fleetsift.spread", "false") == "true" else df

@@ -7,6 +7,7 @@ content address, and appends the rest, so a replayed batch adds nothing twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,17 +24,20 @@ def landing_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_batch(batch: DataFrame, target: str) -> None:
-    """Gate, detect and append the new files of one micro-batch."""
+    """Gate, detect and append the new files of one micro-batch; refused ones go to ``<target>-rejects`` with their reason."""
     spark = batch.sparkSession
     checked = ingest_files(batch)
+    checked.where(F.col("reason").isNotNull()).select("file_path", "member", "file_id", "reason").write.mode("append").parquet(f"{target}-rejects")
     seen = detect.detect(detect.with_lines(checked.where(F.col("reason").isNull())))
     stored = seen.select("file_path", "member", "file_id", "text", "outcome", "detected_vendor", "detected_os").withColumn(
         "upload_id", F.concat_ws("!", "file_path", "member")
     )
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    known = None
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
         known = spark.read.parquet(target).select("file_id")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known = None
     fresh = duplicate_status(stored, known).where(F.col("status") == "ingested").drop("status")
     fresh.write.mode("append").parquet(target)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Row, functions as F
 
 from fleetsift.functions import conditions as cond, netaddr, secrets, shape
 from fleetsift.functions import text as tx
-from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, remediation, scan, tree
+from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, reads, remediation, scan, tree
 from fleetsift.sources import files, sinks
 from fleetsift.streaming import landing
 
@@ -138,7 +138,7 @@ def test_acl_kinds_match_brute_force(spark):
 def test_isotonic_fit_equals_serial_pooling(spark):
     rng = random.Random(3)
     data = sorted((round(rng.random(), 4) + i * 1e-7, rng.random() < 0.5, i) for i in range(400))
-    blocks = learn._pool([(s, 1.0, float(c)) for s, c, _ in data])
+    blocks = learn._pool([], [(s, 1.0, float(c)) for s, c, _ in data])
     df = spark.createDataFrame([(s, c, i) for s, c, i in data], "score double, was_correct boolean, id int").repartition(7)
     steps = [(r.threshold, round(r.probability, 9)) for r in learn.fit_steps(df).collect()]
     assert steps == [(s, round(t / w, 9)) for s, w, t in blocks]
@@ -146,6 +146,44 @@ def test_isotonic_fit_equals_serial_pooling(spark):
     assert [round(r.probability, 9) for r in lookups] == [steps[0][1], steps[-1][1]]
 
 
+def test_lookup_takes_the_last_step_below(spark):
+    rng = random.Random(4)
+    steps = sorted({round(rng.uniform(-0.9, 0.9), 3) for _ in range(30)})
+    table = spark.createDataFrame([(t, i / 100, 1.0) for i, t in enumerate(steps)], "threshold double, probability double, weight double")
+    asked = [-2.0, -1.0, 1.0, 2.0, *steps, *(rng.uniform(-1, 1) for _ in range(300))]
+    got = {r.score: r.probability for r in learn.calibrated(spark.createDataFrame([(x,) for x in asked], "score double"), table, cells=16).collect()}
+    assert got == {x: max([0.0, *(i / 100 for i, t in enumerate(steps) if t <= x)]) for x in asked}
+
+
+def test_fit_and_lookup_plans_spread(spark):
+    df = spark.createDataFrame([(i / 400, i % 3 == 0, i) for i in range(400)], "score double, was_correct boolean, id int")
+    plan = learn.calibrated(df, learn.fit_steps(df))._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_equal_text_ranks_first_unless_it_is_named(spark):
+    index = spark.createDataFrame([("ntp_servers", "ntp server x", [1.0, 0.0]), ("ssh_version", "ip ssh", [0.0, 1.0])], "field string, text string, vector array<float>")
+    asked = spark.createDataFrame([("ntp server x", [1.0, 0.0])], "query_id string, vector array<float>")
+    assert [(r.field, r.score) for r in learn.top_candidates(asked, index).orderBy("rank").collect()] == [("ntp_servers", 1.0), ("ssh_version", 0.0)]
+    named = asked.withColumn("skip", F.lit("ntp server x"))
+    assert [r.field for r in learn.top_candidates(named, index).collect()] == ["ssh_version"]
+
+
+def test_admins_see_every_run(spark):
+    users = spark.createDataFrame([(1, False), (2, False), (9, True)], "user_id int, admin boolean")
+    runs = spark.createDataFrame([(1, "a"), (1, "b"), (7, "c"), (9, "d")], "owner_id int, audit_id string")
+    got = sorted(map(tuple, reads.visible_runs(users, runs).collect()))
+    assert got == [(1, "a"), (1, "b"), (9, "a"), (9, "b"), (9, "c"), (9, "d")]
+    assert reads.visible_runs(users.where("not admin"), runs).count() == 2
+
+
+def test_xml_and_batch_limit(spark):
+    bodies = [b"<a><b/></a>", b"<a><b></a>", b"plain text"]
+    df = spark.createDataFrame([(str(i), bytearray(b), "x" if i < 2 else "y") for i, b in enumerate(bodies)], "file_path string, content binary, batch_id string")
+    assert [r.reason for r in files.ingest_files(df).orderBy("file_path").collect()] == [None, "malformed_xml", None]
+    assert [r.reason for r in files.ingest_files(df, batch_limit=1).orderBy("file_path").collect()] == ["batch_limit_exceeded", "batch_limit_exceeded", None]
+
+
 def test_fit_refuses_small_samples(spark):
     df = spark.createDataFrame([(0.1, True, i) for i in range(10)], "score double, was_correct boolean, id int")
     with pytest.raises(ValueError, match="refusing"):
