@@ -153,10 +153,10 @@ def _sample(docs: DataFrame, id_col: str, text: str, lang: str, per_language: in
         for b in batches:
             rows = [(h, y, *bag(x, dims)) for h, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True) if has_letter(x)]
             h, y, at, tf = zip(*rows, strict=True) if rows else ([], [], [], [])
-            arrays = [pa.array(h, pa.int64()), pa.array(y, pa.string()), pa.array(list(at), pa.list_(pa.int64())), pa.array(list(tf), pa.list_(pa.float64()))]
+            arrays = [pa.array(h, pa.int64()), pa.array(y, pa.string()), pa.array(list(at), pa.list_(pa.int32())), pa.array(list(tf), pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["h", "lang", "at", "tf"])
 
-    bags = near.select("_h", lang, text).mapInArrow(run, "h long, lang string, at array<long>, tf array<double>").toPandas()
+    bags = near.select("_h", lang, text).mapInArrow(run, "h long, lang string, at array<int>, tf array<float>").toPandas()
     return bags.sort_values(["lang", "h"]).groupby("lang", sort=True).head(per_language).reset_index(drop=True)
 
 
@@ -177,7 +177,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "t
     rows = []
     for at, tf, k in zip(bags["at"], bags["tf"], bags["lang"], strict=True):
         at = np.asarray(at, np.int64)
-        rows.append((at, np.asarray(tf) * idf[at] * SCALE, number[k]))
+        rows.append((at, np.asarray(tf, np.float64) * idf[at] * SCALE, number[k]))
     fit, held = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 10], [r for i, r in enumerate(rows) if i % 5 == 0 or len(rows) < 10]
     w = ftrl(fit, dims, len(languages), alpha, beta, l1, l2, epochs)
     logits = np.array([x @ w[at] + w[dims] for at, x, _ in held])
@@ -197,16 +197,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        m, out = shipped.value, []
-        for t in texts:
+    @F.arrow_udf("lang string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        m, names_, scores = shipped.value, [], []
+        for x in texts:  # one text at a time as a Python string
+            t = x.as_py()
             if not has_letter(t):
-                out.append((NO_LANGUAGE, 1.0))
+                names_.append(NO_LANGUAGE)
+                scores.append(1.0)
                 continue
             p = m.scores(t)
-            out.append((m.languages[int(p.argmax())], float(p.max())))
-        return pd.DataFrame(out, columns=["lang", "score"])
+            names_.append(m.languages[int(p.argmax())])
+            scores.append(float(p.max()))
+        return pa.StructArray.from_arrays([pa.array(names_, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     found = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("_row"), run(F.col(text)).alias("_found"))
     return found.select("_row.*", F.col("_found.lang").alias(names[0]), F.col("_found.score").alias(names[1]))

@@ -24,7 +24,7 @@ from fleetsift.llm.common import shared_table
 from fleetsift.operators.scan import dense_sequence
 
 #: Units kept per Python worker before the memory is emptied, and the longest unit that is kept.
-CACHE_UNITS, CACHE_CHARS = 1 << 20, 48
+CACHE_UNITS, CACHE_CHARS = 1 << 18, 48
 #: A space between two characters that are not white space: no token of a byte-level BPE spans the place before it.
 _SAFE_SPACE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]| \Z")
