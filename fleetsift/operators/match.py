@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.casts import CASTS
 from fleetsift.functions.text import matches_any
+from fleetsift.operators import structures as st
 from fleetsift.operators.structures import list_line_ok
 from fleetsift.sources import packs
 
@@ -115,11 +116,34 @@ def _fires(row: tuple) -> Column:
     )
 
 
+def filters_read(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per file, the Junos filters that were read in full (``kept``) and the prefix lists that their ``set`` lines name (``used``)."""
+    own = nodes.where(F.col("vendor") == "juniper")
+    flat, lists = st.set_clauses(own, keys), st.prefix_lists(own, keys)
+    built = st.junos_lists(flat.unionByName(st.brace_clauses(own, keys)), lists, keys)
+    kept = built.where(F.col("failure").isNull()).groupBy(*keys).agg(F.collect_set("acl_name").alias("kept"))
+    named = flat.where(F.col("keyword").endswith("prefix-list") & (F.size("values") == 1)).groupBy(*keys).agg(F.collect_set(F.struct("acl_name", F.col("values")[0].alias("list"))).alias("named"))
+    used = F.transform(F.filter("named", lambda x: F.array_contains("kept", x["acl_name"])), lambda x: x["list"])
+    return kept.join(named, keys, "left").select(*keys, "kept", F.coalesce(used, F.array().cast("array<string>")).alias("used"))
+
+
+def _read_by_filter() -> Column:
+    """Lines of kept filters, and ``set`` lines of prefix lists that those resolve through."""
+    in_kept = lambda pattern: F.array_contains("kept", F.regexp_extract("text", pattern, 1))
+    flat = (F.size("block_path") == 0) & F.col("text").rlike(st.SET_TERM) & in_kept(st.SET_TERM)
+    resolved = F.col("text").rlike(st.SET_PREFIX) & F.array_contains("used", F.regexp_extract("text", st.SET_PREFIX, 1))
+    header = r"^filter (\S+)$"
+    inside = F.array_contains("block_path", "firewall") & F.exists(
+        F.concat("block_path", F.array("text")), lambda p: p.rlike(header) & F.array_contains("kept", F.regexp_extract(p, header, 1))
+    )
+    return F.coalesce(flat | resolved | inside, F.lit(False))
+
+
 def residue(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
     """Placed nodes that neither a pattern nor a structure read.
 
-    Everything is decided in one pass over the tree: patterns and interface blocks in the
-    node's own row, access lists (read all or nothing) by a window inside their block.
+    Patterns and interface blocks are decided in the node's own row, indented access lists (read all or nothing) by a window
+    inside their block, Junos filters by the names that their file's filters were kept under.
     """
     read = consumed_by_structure()
     for row in patterns:
@@ -127,4 +151,7 @@ def residue(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs
     flagged = nodes.where("placed").select(
         "*", F.coalesce(read, F.lit(False)).alias("was_read"), F.coalesce(list_line_ok(keys), F.lit(False)).alias("list_ok")
     )
-    return flagged.where(~F.col("was_read") & ~F.col("list_ok")).drop("was_read", "list_ok")
+    left = flagged.where(~F.col("was_read") & ~F.col("list_ok")).drop("was_read", "list_ok")
+    juniper = left.where(F.col("vendor") == "juniper").join(filters_read(nodes, keys), keys, "left")
+    open_ = juniper.where(~_read_by_filter()).drop("kept", "used")
+    return left.where(F.col("vendor") != "juniper").unionByName(open_)

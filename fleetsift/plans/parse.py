@@ -299,10 +299,16 @@ def p20_source_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return fo.attribute_source(rows, ["dev"]).select("dev", "method", F.col("pattern_ord").alias("first_pattern"))
 
 
-_RESIDUE = """residue AS (SELECT l.k, l.line_number, CASE WHEN pr = '5-LOW' THEN rtrim(rtrim(trim(l.raw_line), '{;')) ELSE trim(l.raw_line) END AS text FROM reasoned l WHERE reason IS NULL AND NOT EXISTS
-   (SELECT 1 FROM facts f WHERE f.k = l.k AND f.line_number = l.line_number)
+_BRACE_TEXTS = [text.strip("' {") for _, text in d.JUNOS_BRACE]
+_FILTER_AT = _BRACE_TEXTS.index("filter PROTECT")
+_FILTER_END = len(d.JUNOS_BRACE) - 4  # its closing brace; those of its two parents and a stray one follow
+_RESIDUE = f"""read_lines AS (SELECT DISTINCT k, line_number FROM facts),
+  residue AS (SELECT l.k, l.line_number, CASE WHEN pr = '5-LOW' THEN rtrim(rtrim(trim(l.raw_line), '{{;')) ELSE trim(l.raw_line) END AS text FROM reasoned l ANTI JOIN read_lines f ON f.k = l.k AND f.line_number = l.line_number
+   WHERE reason IS NULL
    AND NOT (pr = '1-URGENT' AND (tpl BETWEEN 8 AND 15 OR (tpl BETWEEN 16 AND 23 AND k % 13 <> 0)))
-   AND NOT (pr = '2-HIGH' AND (tpl BETWEEN 11 AND 19 OR tpl BETWEEN 6 AND 10)))"""
+   AND NOT (pr = '2-HIGH' AND (tpl BETWEEN 11 AND 19 OR tpl BETWEEN 6 AND 10))
+   AND NOT (pr = '4-NOT SPECIFIED' AND k % 13 <> 0 AND (starts_with(raw_line, 'set firewall family inet filter PROTECT ') OR (starts_with(raw_line, 'set policy-options prefix-list MGMT '))))
+   AND NOT (pr = '5-LOW' AND k % 13 <> 0 AND tpl BETWEEN {_FILTER_AT} AND {_FILTER_END}))"""
 
 
 def residue_lines(spark: SparkSession, sf: str) -> DataFrame:
