@@ -2,7 +2,7 @@
 
 An entry can cover another only if its source and destination networks contain the other's,
 so candidates are found by equality: each inner entry is masked to the prefix lengths that
-occur in its list and looked up by (list, protocol key, source prefix, destination prefix).
+occur in its list and looked up by (list, protocol key, source prefix, destination prefix, aligned run of ports).
 Entries are first reduced to distinct shapes with their lowest sequence number per action,
 which is all the classification needs; repeated entries therefore cost nothing, and a list that
 holds a third of all rows is spread over its prefixes by the join key.
@@ -106,9 +106,21 @@ def _proto_keys(inner: bool) -> Column:
     return F.array_distinct(F.array_compact(keys))
 
 
+def _port_level() -> Column:
+    """Least ``n`` for which the destination ports of a shape fit a run of ``2 ** n``."""
+    span = F.col("dp_hi") - F.col("dp_lo")
+    return F.when(span <= 0, 0).when(span > 0, F.length(F.bin(span)))
+
+
+def _port_block(port: Column, level: Column) -> Column:
+    return F.floor(port / F.pow(F.lit(2), level)).cast("int")
+
+
 def _outer_keys(outer: DataFrame, *sides: str) -> DataFrame:
-    """Outer shapes exploded to one row per protocol key and network combination."""
-    out = outer.withColumn("pk", F.explode(_proto_keys(False)))
+    """Outer shapes exploded to one row per protocol key, network combination and aligned port run (two at most) that they touch."""
+    level = _port_level()
+    runs = F.array_distinct(F.array(_port_block(F.col("dp_lo"), level), _port_block(F.col("dp_hi"), level)))
+    out = outer.withColumn("pk", F.explode(_proto_keys(False))).withColumn("port_level", level).withColumn("port_key", F.explode(runs))
     for side in sides:
         out = out.withColumn(f"{side}_net", F.explode(side)).withColumn(f"{side}_key", _mask(F.col(f"{side}_net"), F.col(f"{side}_net.len")))
         out = out.withColumn(f"{side}_form", F.struct(F.col(f"{side}_net.ver").alias("ver"), F.col(f"{side}_net.len").alias("len"))).drop(f"{side}_net")
@@ -118,20 +130,20 @@ def _outer_keys(outer: DataFrame, *sides: str) -> DataFrame:
 def _candidates(inner: DataFrame, outer: DataFrame, *sides: str) -> DataFrame:
     """(inner, outer) shape pairs whose anchor networks nest on the given sides.
 
-    The anchor of an inner address is its first network.  Only prefix forms that occur in the
-    list are tried, so an inner shape is expanded by the few lengths its list uses.
+    The anchor of an inner address is its first network, that of its destination ports the lowest one.  Only prefix forms and port
+    run lengths that occur in the list are tried, so an inner shape is expanded by the few its list uses.
     """
     keyed = _outer_keys(outer, *sides)
     forms = [f"{s}_form" for s in sides]
-    asked = inner.withColumn("pk", F.explode(_proto_keys(True)))
-    if sides:
-        used = keyed.groupBy("acl_id").agg(F.collect_set(F.struct(*forms)).alias("forms"))
-        asked = asked.join(used, "acl_id").withColumn("form", F.explode("forms")).drop("forms")
-        for s in sides:
-            anchor, form = F.col(s)[0], F.col(f"form.{s}_form")
-            asked = asked.where((form["ver"] == anchor["ver"]) & (form["len"] <= anchor["len"])).withColumn(f"{s}_key", _mask(anchor, form["len"]))
-        asked = asked.drop("form")
-    on = ["acl_id", "pk", *[f"{s}_key" for s in sides]]
+    used = keyed.groupBy("acl_id").agg(F.collect_set(F.struct("port_level", *forms)).alias("forms"))
+    asked = inner.withColumn("pk", F.explode(_proto_keys(True))).join(used, "acl_id").withColumn("form", F.explode("forms")).drop("forms")
+    asked = asked.where(F.col("form.port_level") >= _port_level()).withColumn("port_level", F.col("form.port_level"))
+    asked = asked.withColumn("port_key", _port_block(F.col("dp_lo"), F.col("port_level")))
+    for s in sides:
+        anchor, form = F.col(s)[0], F.col(f"form.{s}_form")
+        asked = asked.where((form["ver"] == anchor["ver"]) & (form["len"] <= anchor["len"])).withColumn(f"{s}_key", _mask(anchor, form["len"]))
+    asked = asked.drop("form")
+    on = ["acl_id", "pk", "port_level", "port_key", *[f"{s}_key" for s in sides]]
     i = asked.select(*on, F.col("shape").alias("i"), *[F.col(c).alias(f"i_{c}") for c in SHAPE])
     o = keyed.select(*on, F.col("shape").alias("o"), *[F.col(c).alias(f"o_{c}") for c in SHAPE], *FIRSTS)
     return i.join(o, on)
@@ -155,14 +167,16 @@ def _resolved() -> Column:
     return F.col("src").isNotNull() & F.col("dst").isNotNull()
 
 
-def shape_cover(distinct: DataFrame) -> DataFrame:
+def shape_cover(distinct: DataFrame, once: bool = True) -> DataFrame:
     """Covering pairs of resolved shapes: ``acl_id, i, o, first_*``.
 
-    An outer shape with several networks may meet an anchor twice; pairs are made distinct.
+    An outer shape with several networks may meet an anchor twice; pairs are made distinct unless the caller only takes
+    minima, which repeats leave alone.
     """
     rows = distinct.where(_resolved())
     pairs = _candidates(rows.select("acl_id", "shape", *SHAPE), rows, "src", "dst").where(_residual("src", "dst"))
-    return pairs.select("acl_id", "i", "o", "first_permit", "first_deny", "first_seq").distinct()
+    pairs = pairs.select("acl_id", "i", "o", "first_permit", "first_deny", "first_seq")
+    return pairs.distinct() if once else pairs
 
 
 def unresolved_above(distinct: DataFrame) -> DataFrame:
@@ -213,7 +227,7 @@ def classify(entries: DataFrame, distinct: DataFrame | None = None) -> DataFrame
     """
     live = active(entries)
     distinct = shapes(live) if distinct is None else distinct
-    best = shape_cover(distinct).groupBy("acl_id", F.col("i").alias("shape")).agg(
+    best = shape_cover(distinct, once=False).groupBy("acl_id", F.col("i").alias("shape")).agg(
         F.min("first_permit").alias("permit_seq"), F.min("first_deny").alias("deny_seq")
     )
     undecided = unresolved_above(distinct).withColumnRenamed("i", "shape")

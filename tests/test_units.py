@@ -135,6 +135,17 @@ def test_acl_kinds_match_brute_force(spark):
     assert got == brute_kinds(model)
 
 
+def test_any_to_any_entries_are_told_apart_by_port(spark):
+    """Fifty thousand entries that differ by port only: pairs would be 1.25 billion."""
+    df = spark.range(50_000).select(
+        F.lit(1).alias("acl_id"), F.col("id").cast("int").alias("seq"), F.lit("permit").alias("action"), F.lit("tcp").alias("proto"), F.lit(6).alias("proto_num"), F.lit("any").alias("src_kind"), F.lit("any").alias("dst_kind"),
+        F.array().cast("array<string>").alias("none"), F.lit(0).alias("sp_lo"), F.lit(65535).alias("sp_hi"), F.col("id").cast("int").alias("dp_lo"), F.when(F.col("id") == 7, 9).otherwise(F.col("id")).cast("int").alias("dp_hi"),
+        F.lit(False).alias("established"), F.lit(False).alias("disabled"),
+    )
+    ready = df.withColumn("src", acl.networks(F.col("src_kind"), F.col("none"))).withColumn("dst", acl.networks(F.col("dst_kind"), F.col("none")))
+    assert sorted((r.seq, r.kind) for r in acl.classify(ready).where("kind is not null").collect()) == [(8, "redundant"), (9, "redundant")]
+
+
 def test_isotonic_fit_equals_serial_pooling(spark):
     rng = random.Random(3)
     data = sorted((round(rng.random(), 4) + i * 1e-7, rng.random() < 0.5, i) for i in range(400))
