@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetsift.operators.scan import bucketed_lag
 
@@ -18,6 +18,11 @@ def canonical_ts(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def canonical_json(text: Column) -> Column:
+    """Keys sorted at every level, no white space, other scripts kept as they are; what is not JSON (``NaN``, say) is an error."""
+    return F.to_json(F.parse_json(text))
+
+
 def payload_hash() -> Column:
     """Hash of the stored payload text; the text is never rendered again."""
     return F.sha2(F.encode("payload_json", "UTF-8"), 256)
@@ -54,7 +59,7 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
     All hashing that does not depend on order is done in the JVM.  What is left is one digest per
     record, which is serial inside a chain by definition: records arrive sorted and stream through
-    with one hash of state per chain, so a chain never has to fit in memory.
+    with one hash of state per chain, so a chain never has to fit in memory.  All columns travel along: one shuffle.
     """
     rows = records.withColumn("payload_hash", payload_hash())
     before, after = _json_ends()
@@ -63,26 +68,28 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     if heads is not None:
         rows = rows.join(heads.select("chain_id", "last_hash"), "chain_id", "left")
         start = F.coalesce("last_hash", F.lit(GENESIS))
-    rows = rows.withColumn("start", start).select("chain_id", "seq", "before", "after", "start")
-    kinds = dict(rows.dtypes)
+    rows = rows.withColumn("start", start).select(*records.columns, "payload_hash", "before", "after", "start")
+    kept = [c for c in rows.columns if c not in ("before", "after", "start")]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         chain, prev = None, ""
         for b in batches:
             prevs, hashes = [], []
-            for cid, before_, after_, start_ in zip(b["chain_id"], b["before"], b["after"], b["start"], strict=True):
+            own = [b.column(rows_at).to_pylist() for rows_at in places]
+            for cid, before_, after_, start_ in zip(*own, strict=True):
                 if cid != chain:
                     chain, prev = cid, start_
                 prevs.append(prev)
                 prev = hashlib.sha256((before_ + prev + after_).encode()).hexdigest()
                 hashes.append(prev)
-            yield pd.DataFrame({"chain_id": b["chain_id"], "seq": b["seq"], "prev_hash": prevs, "entry_hash": hashes})
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*kept, "prev_hash", "entry_hash"])
 
+    places = [rows.columns.index(c) for c in ("chain_id", "before", "after", "start")]
     ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
-    linked = ordered.mapInPandas(fold, f"chain_id {kinds['chain_id']}, seq {kinds['seq']}, prev_hash string, entry_hash string")
-    return records.withColumn("payload_hash", payload_hash()).withColumn("hash_algo", F.lit(ALGO)).join(linked, ["chain_id", "seq"])
+    schema = T.StructType([*ordered.select(*kept).schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return ordered.mapInArrow(fold, schema).withColumn("hash_algo", F.lit(ALGO))
 
 
 def heads_of(log: DataFrame) -> DataFrame:
@@ -94,16 +101,14 @@ def heads_of(log: DataFrame) -> DataFrame:
 def verify(log: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
     """One row per failure: ``chain_id, seq, kind``.
 
-    The previous record is found on the whole log before the range is cut, so a range is anchored
-    by its predecessor.  Recomputed hashes are plain columns; only the neighbour lookup shuffles.
+    A range is cut, together with the record right before it, before neighbours are looked up: it is anchored by that record if
+    the log has it.  Recomputed hashes are plain columns; only the neighbour lookup shuffles.
     """
-    seen = bucketed_lag(log, "chain_id", "seq", ["seq", "entry_hash"])
-    if start or end is not None:
-        seen = seen.where(F.col("seq") >= start) if end is None else seen.where(F.col("seq").between(start, end))
-        if start:
-            direct = F.col("prev_seq") == start - 1
-            first = F.col("prev_seq") < start
-            seen = seen.withColumn("prev_entry_hash", F.when(~first | direct, F.col("prev_entry_hash"))).withColumn("prev_seq", F.when(~first | direct, F.col("prev_seq")))
+    if start:
+        log = log.where(F.col("seq") >= start - 1)
+    if end is not None:
+        log = log.where(F.col("seq") <= end)
+    seen = bucketed_lag(log, "chain_id", "seq", ["seq", "entry_hash"]).where(F.col("seq") >= start)
     kinds = F.array_compact(
         F.array(
             F.when(F.col("prev_seq").isNotNull() & (F.col("seq") != F.col("prev_seq") + 1), "deleted_record"),
@@ -117,8 +122,8 @@ def verify(log: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
     return seen.select("chain_id", "seq", F.explode_outer(kinds).alias("kind")).where(F.col("kind").isNotNull())
 
 
-def unanchored(log: DataFrame, start: int) -> DataFrame:
-    """Chains whose range starts without its predecessor in the log."""
+def anchors(log: DataFrame, start: int) -> DataFrame:
+    """Per chain, whether a range from ``start`` has its predecessor in the log."""
     return log.groupBy("chain_id").agg(F.bool_or(F.col("seq") == start - 1).alias("anchored"))
 
 

@@ -385,10 +385,14 @@ def h07_domain_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "h08_contamination",
-    f"WITH {INDEX_CTE} SELECT text, origin FROM idx WHERE text IN (SELECT text FROM dl WHERE split <> 'dev') AND text NOT IN (SELECT text FROM dl WHERE split = 'dev')",
+    f"WITH {INDEX_CTE}, all_idx AS (SELECT text, origin FROM idx UNION ALL SELECT trim(text), 'd' || doc_id FROM cfg_line WHERE line_number = 1 AND doc_id % 7 = 0 AND trim(text) <> '') "
+    "SELECT text, origin FROM all_idx WHERE text IN (SELECT text FROM dl WHERE split <> 'dev') AND text NOT IN (SELECT text FROM dl WHERE split = 'dev')",
 )
 def h08_contamination(spark: SparkSession, sf: str) -> DataFrame:
-    return hygiene.contaminated(_index(spark, sf), _split_lines(spark, sf)).select("text", "origin")
+    """The index, and first lines of some documents of every split that somebody took for examples."""
+    first = d.doc_lines(spark, sf, F.col("doc_id") % 7 == 0).where((F.col("line_number") == 1) & (F.trim("text") != ""))
+    index = _index(spark, sf).select("text", "origin").unionByName(first.select(F.trim("text").alias("text"), F.concat(F.lit("d"), "doc_id").alias("origin")))
+    return hygiene.contaminated(index, _split_lines(spark, sf)).select("text", "origin")
 
 
 _MAN_CTE = f"""man AS (SELECT 'd' || (doc_id % 5) || '/' || doc_id AS path, {_SPLIT} AS split, source AS vendor, CASE WHEN doc_id % 13 = 0 THEN 'stale' ELSE sha256(text) END AS sha, CASE WHEN doc_id % 17 <> 0 THEN 'team' END AS authored_by FROM documents WHERE doc_id % 19 <> 0

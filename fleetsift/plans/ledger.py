@@ -66,6 +66,19 @@ def l02_payload_hash(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "events").withColumnRenamed("props", "payload_json").select("event_id", lg.payload_hash().alias("payload_hash"))
 
 
+@query(
+    "l02_canonical_json",
+    """SELECT event_id, '{"a":{"b":"é' || user_id || '","y":null},"k":[' || user_id || ',"2",true],"z":' || event_id || '}' AS canonical,
+    sha256('{"a":{"b":"é' || user_id || '","y":null},"k":[' || user_id || ',"2",true],"z":' || event_id || '}') AS payload_hash FROM events""",
+)
+def l02_canonical_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads written with their keys in any order and with white space."""
+    e = d.table(spark, sf, "events")
+    raw = F.concat(F.lit('{ "z": '), "event_id", F.lit(', "k" : ['), "user_id", F.lit(', "2", true],\n "a": {"y": null, "b": "é'), "user_id", F.lit('"} }'))
+    rows = e.select("event_id", lg.canonical_json(raw).alias("payload_json"))
+    return rows.select("event_id", F.col("payload_json").alias("canonical"), lg.payload_hash().alias("payload_hash"))
+
+
 @query("l03_entry_hash", f"WITH RECURSIVE {CHAIN_CTE} SELECT event_id, sha256(a || payload_hash || '\",\"prev_hash\":\"' || repeat('0', 64) || z) AS entry_hash FROM part")
 def l03_entry_hash(spark: SparkSession, sf: str) -> DataFrame:
     rows = records(spark, sf).withColumn("payload_hash", lg.payload_hash()).withColumn("prev_hash", F.lit(lg.GENESIS))
@@ -108,6 +121,11 @@ def l07_range_verify(spark: SparkSession, sf: str) -> DataFrame:
     return lg.verify(tampered(spark, sf), start=10, end=40)
 
 
+@query("l07_unanchored", f"WITH RECURSIVE {TAMPER_CTE} SELECT chain_id, bool_or(seq = 9) AS anchored FROM bad GROUP BY 1")
+def l07_unanchored(spark: SparkSession, sf: str) -> DataFrame:
+    return lg.anchors(tampered(spark, sf), 10)
+
+
 @query("l08_log_query", f"WITH RECURSIVE {CHAIN_CTE} SELECT chain_id, seq, action FROM log WHERE action = 'click' AND actor_type = 'human' AND ts >= TIMESTAMP '2024-01-02'")
 def l08_log_query(spark: SparkSession, sf: str) -> DataFrame:
     rows = records(spark, sf).where((F.col("action") == "click") & (F.col("actor_type") == "human") & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp")))

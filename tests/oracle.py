@@ -69,7 +69,7 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
     a, b = rows_of(df.columns, got), rows_of(want_cols, want)
     stat = f"n={len(a)} spark {t1 - t0:.1f}s duck {t2 - t1:.1f}s"
     if a == b:
-        return True, stat + ("" if a else " EMPTY")
+        return bool(a), stat + ("" if a else " EMPTY: nothing was compared")
     sa, sb = set(a), set(b)
     return False, (
         f"{stat} want n={len(b)} cols={sorted(df.columns)}\n   only spark: {sorted(sa - sb)[:3]}\n"
