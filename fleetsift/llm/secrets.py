@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.llm.common import empty_if_null, shared_table
 from fleetsift.llm.trigrams import NOTHING, trigram_query
+from fleetsift.session import pin
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,9 @@ def rule_spans(text: Column, rule: Rule) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
     """Inverted index (trigram, key) over the lower-cased texts, for the trigrams that rules ask for."""
-    low = F.lower(F.col(text))
-    return docs.select(F.col(key), F.explode(F.filter(F.array(*[F.lit(t) for t in wanted]), lambda t: F.contains(low, t))).alias("trigram")).distinct()
+    low = pin(docs.select(key, text), "_low", F.lower(F.col(text)))  # once per text, not once per trigram
+    there = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in wanted]))
+    return low.select(F.col(key), F.explode(there).alias("trigram")).distinct()
 
 
 def candidates(index: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
