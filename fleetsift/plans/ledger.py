@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import text as tx
@@ -12,6 +14,7 @@ from fleetsift.plans.comply import FINDINGS_CTE, devices, findings
 from fleetsift.plans.detect import CFG, HITS_CTE, PACK_CTE, RANKED_CTE, SCORES_CTE, configs, quote
 from fleetsift.plans.fleet import KIND_CTE, entries
 from fleetsift.plans.registry import query
+from fleetsift.session import checkpoint_dir
 from fleetsift.operators import acl
 from fleetsift.sources import derived as d, sinks
 from fleetsift.sources.literals import Literal
@@ -386,10 +389,42 @@ def s22_evidence_rehydrate(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.rehydrate(sinks.evidence_pointers(_cited(spark, sf)), hashed, line_cache(lines)).select("finding_id", "ordinal", "text")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s20_run_sink", f"WITH {FINDINGS_CTE} SELECT finding_id, rule_id, status, o_orderkey AS audit_id, o_orderdate AS run_date FROM finding JOIN orders ON o_orderkey = n")
+def s20_run_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs and their findings, written by date and read back."""
+    runs = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("audit_id"), F.col("o_orderdate").alias("run_date"), F.col("o_custkey").alias("started_by"))
+    found = findings(spark, sf).withColumn("audit_id", F.regexp_extract("device_id", r"(\d+)$", 1).cast("bigint"))
+    path = _folder(spark, "runs")
+    sinks.save_run(runs.withColumn("run_date", F.date_trunc("month", "run_date").cast("date")), found.select("finding_id", "rule_id", "status", "audit_id").join(
+        runs.select("audit_id", F.date_trunc("month", "run_date").cast("date").alias("run_date")), "audit_id"), path)
+    dates = runs.select("audit_id", F.col("run_date").alias("day"))
+    return spark.read.parquet(f"{path}/finding").join(dates, "audit_id").select("finding_id", "rule_id", "status", "audit_id", F.col("day").alias("run_date"))
+
+
+@query(
+    "s23_residue_sink",
+    f"WITH {d.DOC_LINES_CTE} SELECT doc_id AS file_id, line_number, text FROM cfg_line WHERE CASE WHEN doc_id % 2 = 1 THEN line_number % 3 = 0 ELSE doc_id % 4 = 0 AND line_number % 5 = 0 END",
+)
+def s23_residue_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """All files parsed once, every second one again: some then have other unknown lines, some have none."""
+    lines = d.doc_lines(spark, sf).withColumnRenamed("doc_id", "file_id")
+    files = d.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"))
+    path, n, line = _folder(spark, "residue"), F.col("file_id"), F.col("line_number")
+    sinks.replace_residue(lines.where(line % 3 == 0), files, path, 1)
+    sinks.replace_residue(lines.where((n % 4 == 0) & (line % 5 == 0)), files.where(n % 2 == 0), path, 2)
+    return sinks.current_residue(spark, path).select("file_id", "line_number", "text")
+
+
 @query("s24_training_examples", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0")
 def s24_training_examples(spark: SparkSession, sf: str) -> DataFrame:
     c = d.table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % 3 != 0))
-    return reads.listing(c, ("conv_id", "turn")).select("conv_id", "turn", "text")
+    path, day = _folder(spark, "examples"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 7).cast("int"))
+    sinks.append_examples(c.select("conv_id", "turn", "text", day.alias("decided_on")), path)
+    return reads.listing(spark.read.parquet(path), ("conv_id", "turn")).select("conv_id", "turn", "text")
 
 
 # ---- remediation and report ------------------------------------------------------------

@@ -237,11 +237,12 @@ def test_archive_guards(spark):
 def test_sinks_replace_and_refuse(spark, tmp_path):
     path = str(tmp_path / "residue")
     rows = lambda pairs: spark.createDataFrame(pairs, "file_id string, line_number int, text string")
-    sinks.replace_residue(rows([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]), path, 2)
-    sinks.replace_residue(rows([("a", 9, "new")]), path, 2)
-    got = sorted((r.file_id, r.line_number) for r in spark.read.parquet(path).collect())
-    assert got == [("a", 9), ("b", 1)]
-    header = spark.createDataFrame([Row(audit_id="r1", n=1)])
+    files_ = lambda *ids: spark.createDataFrame([(i,) for i in ids], "file_id string")
+    sinks.replace_residue(rows([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("c", 4, "w")]), files_("a", "b", "c"), path, 1)
+    sinks.replace_residue(rows([("a", 9, "new")]), files_("a", "c"), path, 2)
+    got = sorted((r.file_id, r.line_number) for r in sinks.current_residue(spark, path).collect())
+    assert got == [("a", 9), ("b", 1)]  # c has no unknown line left
+    header = spark.createDataFrame([Row(audit_id="r1", run_date="2024-01-01", n=1)])
     with pytest.raises(ValueError, match="no findings"):
         sinks.save_run(header, header.where("false"), str(tmp_path / "runs"))
     sinks.save_run(header, header, str(tmp_path / "runs"))
