@@ -20,12 +20,35 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
-@query("op1_embedding_near_dedup")
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(u, v) AS (SELECT u, v FROM link UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM link GROUP BY u) l ON l.u = e.vec_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) c ON c.u = e.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", OP1_SQL)
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-@query("op2_substring_dedup")
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS j FROM late),
+words AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS j, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(gone.j) AS n, string_agg(word, ' ' ORDER BY j) FILTER (gone.j IS NULL) AS body FROM words LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir))
 
@@ -98,7 +121,28 @@ def _count_kind(kind: int) -> F.Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-@query("op8_secret_scan")
+def _rule_sql(kind: int, rule: secrets.Rule) -> str:
+    """A rule's matches and the text between them; runs of digits begin where the one before ends, so that no look-behind is needed."""
+    pattern = "'" + rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, {kind} AS kind, '{rule.name}' AS name, {rule.least} AS least, string_split_regex(t, {pattern}) AS gaps, "
+        f"regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {rule.group}) AS groups FROM d"
+    )
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(secrets.BASE + secrets.MORE))}),
+u AS (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM m),
+v AS (SELECT doc_id, kind, name, list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS s, length(hits[i]) AS n FROM u WHERE length(groups[i]) >= least),
+w AS (SELECT doc_id, kind, s, name || ':' || s::BIGINT || ':' || (s + n)::BIGINT AS span FROM v)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op8_secret_scan", OP8_SQL)
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     return found.select(
