@@ -421,7 +421,7 @@ def c32_device_options(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MAP_CTE = """ref AS (SELECT 'rule-' || (l_orderkey % 500) AS rule_id, ['nist', 'cis', 'stig'][(l_linenumber % 3 + 1)::INT] AS framework,
-   ['AC-12', 'AC-13', '1.2.8', 'CISC-ND-001210', 'nope'][(l_partkey % 5 + 1)::INT] AS control_id FROM lineitem WHERE l_returnflag = 'R'),
+   ['AC-12', 'AC-13', '1.2.8', 'CISC-ND-001210', 'nope'][(l_partkey % 5 + 1)::INT] AS control_id FROM lineitem),
    gap AS (SELECT DISTINCT 'rule-' || (l_orderkey % 500) AS rule_id, ['nist', 'cis', 'stig'][(l_linenumber % 3 + 1)::INT] AS framework FROM lineitem WHERE l_discount > 0.09 AND l_tax < 0.01)"""
 
 
@@ -437,7 +437,7 @@ def c33_mapping_validity(spark: SparkSession, sf: str) -> DataFrame:
     rule = F.concat(F.lit("rule-"), F.col("l_orderkey") % 500).alias("rule_id")
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c + 1).cast("int"))
     framework = pick(("nist", "cis", "stig"), F.col("l_linenumber") % 3).alias("framework")
-    refs = li.where(F.col("l_returnflag") == "R").select(rule, framework, pick(("AC-12", "AC-13", "1.2.8", "CISC-ND-001210", "nope"), F.col("l_partkey") % 5).alias("control_id"))
+    refs = li.select(rule, framework, pick(("AC-12", "AC-13", "1.2.8", "CISC-ND-001210", "nope"), F.col("l_partkey") % 5).alias("control_id"))
     gaps = li.where((F.col("l_discount") > 0.09) & (F.col("l_tax") < 0.01)).select(rule, framework).distinct()
     return fw.mapping_problems(refs, gaps)
 
