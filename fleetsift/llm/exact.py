@@ -68,14 +68,15 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, id_col: str =
         level += 1
     done = reduce(DataFrame.unionByName, left)
     first_of = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i")))
-    groups = done.filter("_gid is not null").groupBy("_level", "_gid").agg(first_of.alias("_first"), F.count("*").alias("_n"))
-    keep = F.when(F.col("_first").isNull(), F.col("_id")).otherwise(F.col("_first.i"))
-    points = F.when(F.col("_first").isNull(), F.col("_points")).otherwise(-F.col("_first.p"))
-    return done.join(groups.hint("merge"), ["_level", "_gid"], "left").select(
-        F.col("_id").alias(id_col),
-        *[F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(carry)],
-        keep.alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_id").eqNullSafe(keep) & (F.col("_points") == points)).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
+    equal = done.filter("_gid is not null")
+    # A table, so that both sides of the join are plain exchanges and a hot group can be split.
+    groups = shared_table(equal.groupBy("_level", "_gid").agg(first_of.alias("_first"), F.count("*").alias("_n")), "radix-equal")
+
+    def result(rows: DataFrame, keep: F.Column, size: F.Column, stays: F.Column) -> DataFrame:
+        own = [F.col(f"_carry.c{i}").alias(c) for i, c in enumerate(carry)]
+        return rows.select(F.col("_id").alias(id_col), *own, keep.alias("keep_id"), size.cast("long").alias("group_size"), stays.alias("kept"), F.col("_sha").alias("text_sha256"))
+
+    keep = F.col("_first.i")
+    joined = equal.join(groups.hint("merge"), ["_level", "_gid"])
+    alone = result(done.filter("_gid is null"), F.col("_id"), F.lit(1), F.lit(True))
+    return alone.unionByName(result(joined, keep, F.col("_n"), F.col("_id").eqNullSafe(keep) & (F.col("_points") == -F.col("_first.p"))))
