@@ -48,11 +48,6 @@ def v4_text(value: Column) -> Column:
     )
 
 
-def v4_mask(length: Column) -> Column:
-    """Netmask of a prefix length, as a number."""
-    return F.lit(4294967296) - F.expr("CAST(1 AS BIGINT)") * F.pow(F.lit(2), F.lit(32) - length).cast("bigint")
-
-
 def prefix_length(cidr: Column, host_length: int) -> Column:
     """Length after the slash, the host length without one, NULL when out of range."""
     tail = F.regexp_extract(cidr, r"/(\d{1,3})$", 1)

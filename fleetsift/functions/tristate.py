@@ -24,20 +24,6 @@ def strict_all(outcomes: Column) -> Column:
     )[0]
 
 
-def tri_and_agg(flag: Column) -> Column:
-    """Aggregate form of ``all_true``."""
-    return (
-        F.when(F.bool_or(~flag), F.lit(False))
-        .when(F.count_if(flag.isNull()) > 0, F.lit(None).cast("boolean"))
-        .otherwise(F.lit(True))
-    )
-
-
-def strict_all_agg(flag: Column) -> Column:
-    """Aggregate form of ``strict_all``."""
-    return F.when(F.count_if(flag.isNull()) > 0, F.lit(None).cast("boolean")).otherwise(F.bool_and(flag))
-
-
 def rate(part: Column, whole: Column) -> Column:
     """A share that is NULL, never zero, when the population is empty."""
     return F.when(whole != 0, part / whole)

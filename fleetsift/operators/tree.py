@@ -191,7 +191,3 @@ def in_block(prefix: list[str]) -> Column:
     """Nodes whose path starts with the given headers."""
     want = F.array(*[F.lit(p) for p in prefix])
     return F.slice("block_path", 1, len(prefix)) == want
-
-
-def descendants_of(line: Column) -> Column:
-    return F.array_contains("path_lines", line)

@@ -360,7 +360,7 @@ def c26_control_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c27_refs_for_device",
-    f"WITH {FINDINGS_CTE}, {COVER_CTE.split('),', 1)[1].strip() if False else COVER_CTE[len(DEV_CTE) + 2:]}, {REFS_CTE} SELECT p.device_id, p.rule_id, string_agg(r.framework || ' ' || r.control_id, ',' ORDER BY r.framework, r.control_id) AS refs "
+    f"WITH {FINDINGS_CTE}, {COVER_CTE[len(DEV_CTE) + 2:]}, {REFS_CTE} SELECT p.device_id, p.rule_id, string_agg(r.framework || ' ' || r.control_id, ',' ORDER BY r.framework, r.control_id) AS refs "
     "FROM pairs p JOIN refs r USING (rule_id) JOIN cover c ON c.device_id = p.device_id AND c.framework = r.framework AND c.coverage = 'covered' GROUP BY ALL",
 )
 def c27_refs_for_device(spark: SparkSession, sf: str) -> DataFrame:
