@@ -120,3 +120,22 @@ def test_embedding_links(spark, shard):
     if shard == 8192:
         assert got == want
     assert graph.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("shard", "rows"), [(20, 400), (64, 500)])
+def test_embedding_links_of_a_split_label_are_whole(spark, shard, rows):
+    """Overlap by default: a near-equal group many times a shard, groups across cells, isolated pairs and one direction in many lengths."""
+    rng = np.random.default_rng(shard)
+    ball = rng.normal(size=8) + rng.normal(size=(rows // 2, 8)) * 0.06
+    base = rng.normal(size=(rows // 4, 8))
+    line = rng.normal(size=8) * np.arange(1, rows // 8 + 1)[:, None]
+    x = np.concatenate([ball, base, base + rng.normal(size=base.shape) * 0.05, line])
+    x = np.concatenate([x, x[:3]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    ids = [int(i) for i in rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    classes = graph.near_vectors(df, graph.Settings(shard=shard))
+    want = sorted(zip(ids, near.sum(axis=1).tolist(), brute_components(ids, near), strict=True))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in classes.collect()) == want
