@@ -88,7 +88,9 @@ FROM q JOIN p ON p.j = q.j AND p.i = (nth // 64) % share
 
 @query("op4_pfair_mixing", OP4_SQL)
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+    """By the thousandths that the SQL has; more sources than those, which the SQL has no result for, by their exact weights."""
+    docs = documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.mix(docs, period=1000 if docs.select("source").distinct().limit(1001).count() <= 1000 else None)
 
 
 @query("op5_exact_dedup", OP5_SQL)

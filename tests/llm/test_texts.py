@@ -127,6 +127,26 @@ def test_mix(spark):
         mixing.mix(awkward(spark, rows), period=2)
 
 
+def test_mix_keeps_the_given_weights(spark):
+    """By default: sources far below a thousandth, and more than a thousand sources; each stays within a block of its unrounded target."""
+    def lags(df, target, block):
+        got = df.collect()
+        assert sorted(r.position for r in got) == list(range(len(got)))
+        assert {(r.doc_id, r.source) for r in got if r.epoch == 0} == {tuple(r) for r in docs.collect()}
+        of = {r.slot: r.source for r in got}
+        whole = sum(target.values())
+        for k, w in target.items():
+            done = np.cumsum([of[s] == k for s in range(len(of))])
+            assert (abs(done - w / whole * np.arange(1, len(of) + 1)) < 1 + 1e-9).all()
+        return Counter(r.source for r in got)
+
+    docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(900)] + [(900, "rare"), (901, None)], "doc_id long, source string")
+    tally = lags(mixing.mix(docs, {"s0": 1.0, "s1": 0.7, "s2": 0.3, "rare": 0.0009, "": 0.1}, block=1), {"s0": 1.0, "s1": 0.7, "s2": 0.3, "rare": 0.0009, None: 0.1}, 1)
+    assert tally["rare"] <= 0.0009 / 2.1009 * sum(tally.values()) + 1
+    docs = spark.createDataFrame([(i, f"web{min(i, 1100)}") for i in range(1200)], "doc_id long, source string")
+    lags(mixing.mix(docs, block=2), {f"web{i}": 1.0 if i < 1100 else 100**0.8 for i in range(1101)}, 2)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(9001, None, None), (9002, "12 !?", "en"), (9003, "", "en"), (9004, "É" * 300_000, None), (None, "the and of", "en")], "doc_id long, text string, lang string")
