@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fleetsift.functions import shape
+from fleetsift.session import cut_lineage
 
 TOP_K = 3
 BLOCK_ROWS = 4096
@@ -163,45 +166,106 @@ def _pool(kept: list[list[float]], blocks: Iterator[tuple[float, float, float]])
 def fit_steps(observations: DataFrame) -> DataFrame:
     """Isotonic step table ``threshold, probability, weight`` of (score, was_correct) rows.
 
-    Observations are counted by score first, each range of scores is pooled by itself, and the steps left are pooled once more.
-    Pooling is associative, so the result is that of one serial pass; steps of equal probability are one step.  Steps rise strictly and are
-    fractions of whole counts, so that ``m`` observations leave in the order of ``m ** (2/3)`` of them at most: that is what meets in
-    the last task.  A step keeps its first score.  Refusal below the sample floors is an error.
+    Observations are counted by score, every range of scores is pooled in its own task, and then neighbouring ranges whose border violates the order are
+    pooled two by two, round after round, until all borders rise.  A pooled step stays in the range of its first score, so a task never holds more than two
+    ranges, and a range all of whose steps went to its neighbour is gone: a run of falling ranges halves each round.  Pooling is associative, so the result
+    is that of one serial pass; steps of equal probability are one step.  Refusal below the sample floors is an error.
     """
     counted = observations.groupBy("score").agg(F.count("*").cast("double").alias("weight"), F.count_if("was_correct").cast("double").alias("total"))
     n, pos = counted.agg(F.sum("weight"), F.sum("total")).first()
     if (n or 0) < MIN_SAMPLES or pos < MIN_POSITIVES:
         raise ValueError(f"refusing to fit a calibrator on {n or 0:.0f} observations, {pos or 0:.0f} of them correct")
 
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pool_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[list[float]] = []
         for b in batches:
             kept = _pool(kept, zip(b["score"], b["weight"], b["total"], strict=True))
-        yield pd.DataFrame(kept, columns=["score", "weight", "total"], dtype=float)
+        yield _steps_frame(kept, [TaskContext.get().partitionId()] * len(kept))
 
-    schema = "score double, weight double, total double"
-    ranges = counted.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pool, schema)
-    # An exchange, not a coalesce: pooling by range keeps its own tasks.
-    steps = ranges.repartition(1).sortWithinPartitions("score").mapInPandas(pool, schema)
-    return steps.select(F.col("score").alias("threshold"), (F.col("total") / F.col("weight")).alias("probability"), "weight")
+    steps = cut_lineage(counted.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pool_range, _STEPS))
+    while pairs := _violating_pairs(steps):
+        dealt = steps.join(steps.sparkSession.createDataFrame(pairs, "range int, pair int"), "range", "left")
+        moved = dealt.where(F.col("pair").isNotNull()).repartition("pair").sortWithinPartitions("pair", "score").mapInPandas(_pool_pairs, _STEPS)
+        steps = cut_lineage(dealt.where(F.col("pair").isNull()).select("range", "score", "weight", "total").unionByName(moved))
+    return steps.select(F.col("score").alias("threshold"), (F.col("total") / F.col("weight")).alias("probability"), "weight").orderBy("threshold")
 
 
-def calibrated(scores: DataFrame, steps: DataFrame, cells: int = 256) -> DataFrame:
-    """Step lookup: the last threshold at or below the score, the first value below all of them.
+_STEPS = "range int, score double, weight double, total double"
 
-    Scores from -1 to 1 are cut into ``2 * cells`` cells (what lies beyond falls into the outer ones).  A cell holds its own steps and the one that
-    reaches into it, and rows meet their cell by an equi-join.
+
+def _steps_frame(kept: list[list[float]], ranges: list[int]) -> pd.DataFrame:
+    return pd.DataFrame(kept, columns=["score", "weight", "total"], dtype=float).assign(range=pd.array(ranges, "int32"))[["range", "score", "weight", "total"]]
+
+
+def _pool_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pool the two ranges of each pair; ``range`` follows the first score of a step."""
+    kept: list[list[float]] = []
+    owner: dict[float, int] = {}
+    pair = None
+    for b in batches:
+        for p, r, *step in zip(b["pair"], b["range"], b["score"], b["weight"], b["total"], strict=True):
+            if p != pair and kept:
+                yield _steps_frame(kept, [owner[k[0]] for k in kept])
+                kept, owner = [], {}
+            pair, owner[step[0]] = p, r
+            kept = _pool(kept, iter([tuple(step)]))
+    if kept:
+        yield _steps_frame(kept, [owner[k[0]] for k in kept])
+
+
+def _violating_pairs(steps: DataFrame) -> list[tuple[int, int]]:
+    """(range, pair) of neighbours whose border does not rise, each range in one pair at most; a row for each range of scores reaches the driver."""
+    ends = steps.groupBy("range").agg(
+        F.min("score").alias("start"), F.min_by(F.struct("weight", "total"), "score").alias("first"), F.max_by(F.struct("weight", "total"), "score").alias("last")
+    )
+    found = sorted(ends.collect(), key=lambda r: r.start)
+    pairs: list[tuple[int, int]] = []
+    free = 0
+    for i in range(1, len(found)):
+        low, high = found[i - 1].last, found[i].first
+        if i - 1 >= free and low.total * high.weight >= high.total * low.weight:
+            pairs += [(found[i - 1].range, i), (found[i].range, i)]
+            free = i + 1
+    return pairs
+
+
+def calibrated(scores: DataFrame, steps: DataFrame, cells: int = 32, salts: int = 8) -> DataFrame:
+    """Step lookup: the last threshold at or below the score, the first value below all of them, null for a null score.
+
+    Scores and steps are dealt out by ``cells`` between the scores' own quantiles and merged there in order: one shuffle, and each task hands the last step on from
+    row to row.  A cell is salted, so that one score held by many rows spreads; steps, which are few, go to every salt, led by the step that reaches into the cell.
     """
-    cell = lambda c: F.least(F.greatest(F.floor(c * cells), F.lit(-cells)), F.lit(cells)).cast("int")
-    own = steps.groupBy(cell(F.col("threshold")).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("threshold", "probability"))).alias("steps"))
-    every = steps.sparkSession.range(-cells, cells + 1).select(F.col("id").cast("int").alias("cell")).join(own, "cell", "left")
+    quantiles = scores.agg(F.percentile_approx("score", [i / cells for i in range(1, cells)])).first()[0] or []  # a number for each cell
+    bounds = sorted({b for b in quantiles if b == b})
+    cell = lambda c: sum(((c >= b).cast("int") for b in bounds), F.lit(0))
+    cut = steps.select(cell(F.col("threshold")).alias("cell"), F.col("threshold").alias("at"), "probability")
+    own = cut.groupBy("cell").agg(F.min_by("probability", "at").alias("low"), F.max_by("probability", "at").alias("high"))
+    every = steps.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("cell")).join(own, "cell", "left")
     before = W.partitionBy(F.lit(1)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # over the cells only
     after = W.partitionBy(F.lit(1)).orderBy("cell").rowsBetween(W.currentRow, W.unboundedFollowing)
-    carried = F.coalesce(F.last("steps", ignorenulls=True).over(before)[F.size(F.last("steps", ignorenulls=True).over(before)) - 1]["probability"], F.first("steps", ignorenulls=True).over(after)[0]["probability"])
-    table = every.withColumn("carried", carried)
-    under = F.filter("steps", lambda s: s["threshold"] <= F.col("score"))
-    found = F.coalesce(F.try_element_at(under, F.lit(-1))["probability"], F.col("carried"))
-    return scores.withColumn("cell", cell(F.col("score"))).join(table, "cell").withColumn("probability", found).drop("cell", "steps", "carried")
+    carried = F.coalesce(F.last("high", ignorenulls=True).over(before), F.first("low", ignorenulls=True).over(after))
+    led = cut.unionByName(every.select("cell", F.lit(None).cast("double").alias("at"), carried.alias("probability")))
+    none = F.lit(None).cast(scores.select(F.struct("*").alias("r")).schema["r"].dataType)
+    led = led.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", F.lit(0).alias("kind"), "probability", none.alias("row"))
+    asked = scores.where(F.col("score").isNotNull()).select(
+        cell(F.col("score")).alias("cell"), F.pmod(F.xxhash64(*scores.columns), F.lit(salts)).cast("int").alias("salt"), F.col("score").alias("at"),
+        F.lit(1).alias("kind"), F.lit(None).cast("double").alias("probability"), F.struct(*scores.columns).alias("row"),
+    )
+    merged = led.unionByName(asked).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "at", "kind")
+    found = merged.mapInArrow(_hand_on, merged.schema).select("row.*", "probability")
+    return found.unionByName(scores.where(F.col("score").isNull()).withColumn("probability", F.lit(None).cast("double")))
+
+
+def _hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 get the probability of the last row of kind 0 before them; every cell begins with one."""
+    held = np.nan
+    for b in batches:
+        kind, value = b.column("kind").to_numpy(zero_copy_only=False), b.column("probability").to_numpy(zero_copy_only=False)
+        last = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), -1))
+        value = np.where(last >= 0, value[np.maximum(last, 0)], held)
+        held = value[-1] if len(value) else held
+        filled = b.set_column(b.schema.get_field_index("probability"), "probability", pa.array(value, pa.float64()))
+        yield filled.filter(pa.array(kind == 1))
 
 
 def reliability(observations: DataFrame, bins: int = 10) -> DataFrame:

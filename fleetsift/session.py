@@ -26,7 +26,7 @@ def build_session(cores: int | None = None, app: str = "fleetsift") -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "8g"))
-        .config("spark.fleetsift.spread", "true")
+        .config("spark.fleetsift.spread", str(n))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

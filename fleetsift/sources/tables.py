@@ -10,9 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition on ``keys`` if the session says so (``spark.fleetsift.spread`` is ``true``), else ``df`` itself.
+    """Hash-partition on ``keys`` into as many parts as ``spark.fleetsift.spread`` says; ``df`` itself where that is unset.
 
-    A small file with one row group is read by one task; a local session deals it out to all cores.  A cluster reads its own many
-    splits and leaves the setting alone: no shuffle is added there, at no size.
+    A small file with one row group is read by one task; a local session deals it out to all cores.  The number is given, since adaptive execution
+    would merge small partitions again.  A cluster reads its own many splits and leaves the setting alone: no shuffle is added there, at no size.
     """
-    return df.repartition(*keys) if keys and df.sparkSession.conf.get("spark.fleetsift.spread", "false") == "true" else df
+    parts = int(df.sparkSession.conf.get("spark.fleetsift.spread", "0"))
+    return df.repartition(parts, *keys) if keys and parts else df

@@ -13,7 +13,7 @@ from pyspark.sql import Row, functions as F
 from fleetsift.functions import conditions as cond, netaddr, secrets, shape
 from fleetsift.functions import text as tx
 from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, reads, remediation, scan, tree
-from fleetsift.sources import files, sinks
+from fleetsift.sources import files, sinks, tables
 from fleetsift.streaming import landing
 
 
@@ -172,6 +172,44 @@ def test_fit_and_lookup_plans_spread(spark):
     assert "Coalesce 1" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_fit_merges_ranges_pairwise(spark):
+    """A million separable rows are one step below and one above; falling scores merge range by range into one; no task ever gets all."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1_000_000).select((F.col("id") / 1_000_000).alias("score"), (F.col("id") >= 400_000).alias("was_correct"))
+        assert [(r.threshold, r.probability, r.weight) for r in learn.fit_steps(rows).collect()] == [(0.0, 0.0, 400_000.0), (0.4, 1.0, 600_000.0)]
+        falling = spark.range(100_000).select((F.col("id") / 100_000).alias("score"), (F.col("id") < 30_000).alias("was_correct"))
+        assert [(r.threshold, r.probability, r.weight) for r in learn.fit_steps(falling).collect()] == [(0.0, 0.3, 100_000.0)]
+        rng = random.Random(9)
+        data = [(round(rng.random() ** 2, 3), rng.random()) for _ in range(20_000)]
+        mixed = spark.createDataFrame([(s, r < s * (1 - s) * 3) for s, r in data], "score double, was_correct boolean")
+        serial = learn._pool([], [(s, float(n), float(c)) for s, n, c in sorted((r.score, r.n, r.c) for r in mixed.groupBy("score").agg(F.count("*").alias("n"), F.count_if("was_correct").alias("c")).collect())])
+        assert [(r.threshold, r.weight) for r in learn.fit_steps(mixed).collect()] == [(s, w) for s, w, _ in serial]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_lookup_spreads_a_common_score(spark):
+    steps = spark.createDataFrame([(0.0, 0.1, 1.0), (0.5, 0.7, 1.0)], "threshold double, probability double, weight double")
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 0.5).when(F.col("id") == 0, F.lit(None)).otherwise(F.col("id") / 3000).cast("double").alias("score"))
+    got = learn.calibrated(rows, steps)
+    assert {(r.id, r.probability) for r in got.collect()} == {(i, None if i == 0 else 0.7 if i % 3 or i >= 1500 else 0.1) for i in range(3000)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be merged again
+    try:
+        assert got.where("score = 0.5").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert learn.calibrated(rows.limit(0), steps).collect() == []
+
+
+def test_spread_keeps_its_number_of_tasks(spark):
+    wide = tables.spread(spark.range(100).withColumn("k", F.col("id") % 50), "k")
+    assert wide.mapInArrow(lambda batches: batches, wide.schema).groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.fleetsift.spread")) == 4
+
+
 def test_equal_text_ranks_first_unless_it_is_named(spark):
     index = spark.createDataFrame([("ntp_servers", "ntp server x", [1.0, 0.0]), ("ssh_version", "ip ssh", [0.0, 1.0])], "field string, text string, vector array<float>")
     asked = spark.createDataFrame([("ntp server x", [1.0, 0.0])], "query_id string, vector array<float>")
