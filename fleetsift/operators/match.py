@@ -1,4 +1,4 @@
-"""Field patterns over tree nodes: scoped matching, capture, cast, residue."""
+"""Field patterns over tree nodes: scoped matching, capture, cast."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.casts import CASTS
 from fleetsift.functions.text import matches_any
-from fleetsift.operators import structures as st
-from fleetsift.operators.structures import list_line_ok
 from fleetsift.sources import packs
 
 
@@ -72,86 +70,26 @@ def _match(order: int, row: tuple) -> Column:
     )
 
 
-def apply_patterns(nodes: DataFrame, patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
-    """Add ``hits``: one struct per pattern that fires on the node and whose value can be cast.
+_HITS = (
+    "array<struct<pattern_ord:int,pattern_id:string,field:string,cast:string,source:string,raw_capture:string,v_bool:boolean,v_long:bigint,v_str:string>>"
+)
 
-    The dimension is unrolled into literal regexes: no join, no shuffle, one compile each.
+
+def hits(patterns: Sequence[tuple] = packs.PATTERNS) -> Column:
+    """One struct per pattern that fires on the node and whose value can be cast, NULL where no pattern can match.
+
+    The dimension is unrolled into literal regexes: no join, no shuffle, one compile each.  One combined test drops the many nodes that no
+    pattern can match before any is tried.
     """
-    return nodes.withColumn("hits", F.array_compact(F.array(*[_match(i, p) for i, p in enumerate(patterns)])))
+    if not patterns:
+        return F.lit(None).cast(_HITS)
+    likely = matches_any(F.col("text"), [row[5] for row in patterns], "^")
+    return F.when(likely, F.array_compact(F.array(*[_match(i, p) for i, p in enumerate(patterns)])).cast(_HITS))
 
 
 def matches(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
-    """One row per (node, pattern) that fires.
-
-    One combined test drops the many nodes that no pattern can match before any is tried.
-    """
-    likely = nodes.where(F.col("placed") & matches_any(F.col("text"), [row[5] for row in patterns], "^"))
-    placed = apply_patterns(likely, patterns)
+    """One row per (node, pattern) that fires."""
+    placed = nodes.where(F.col("placed")).withColumn("hits", hits(patterns))
     # The outer form keeps Spark from inferring a filter that would evaluate every pattern again.
     rows = placed.select(*keys, "line_number", "raw_line", F.explode_outer("hits").alias("m")).where(F.col("m").isNotNull())
-    return rows.select(
-        *keys, "line_number", "raw_line", "m.*"
-    )
-
-
-def consumed_by_structure() -> Column:
-    """Nodes an interface block reads: its header, and the child lines it understands."""
-    cond: Column = F.lit(False)
-    for (vendor, os_family), spec in packs.INTERFACES.items():
-        here = (F.col("vendor") == vendor) & (F.col("os_family") == os_family)
-        parent = F.try_element_at("block_path", F.lit(-1))
-        child = F.lit(False)
-        for key in ("description", "ip_address", "shutdown", "no_shutdown", "applied"):
-            child = child | F.col("text").rlike(spec[key])
-        cond = cond | (here & (F.col("text").rlike(spec["block"]) | (F.coalesce(parent.rlike(spec["block"]), F.lit(False)) & child)))
-    return cond
-
-
-def _fires(row: tuple) -> Column:
-    vendor, os_family, _, _, scope, pattern, template, cast, _ = row
-    value = CASTS[cast][1](resolve_capture(F.col("text"), pattern, template))
-    return (
-        (F.col("vendor") == vendor) & (F.col("os_family") == os_family) & in_scope(scope)
-        & F.col("text").rlike(f"^(?:{pattern})") & value.isNotNull()
-    )
-
-
-def filters_read(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Per file, the Junos filters that were read in full (``kept``) and the prefix lists that their ``set`` lines name (``used``)."""
-    own = nodes.where(F.col("vendor") == "juniper")
-    flat, lists = st.set_clauses(own, keys), st.prefix_lists(own, keys)
-    built = st.junos_lists(flat.unionByName(st.brace_clauses(own, keys)), lists, keys)
-    kept = built.where(F.col("failure").isNull()).groupBy(*keys).agg(F.collect_set("acl_name").alias("kept"))
-    named = flat.where(F.col("keyword").endswith("prefix-list") & (F.size("values") == 1)).groupBy(*keys).agg(F.collect_set(F.struct("acl_name", F.col("values")[0].alias("list"))).alias("named"))
-    used = F.transform(F.filter("named", lambda x: F.array_contains("kept", x["acl_name"])), lambda x: x["list"])
-    return kept.join(named, keys, "left").select(*keys, "kept", F.coalesce(used, F.array().cast("array<string>")).alias("used"))
-
-
-def _read_by_filter() -> Column:
-    """Lines of kept filters, and ``set`` lines of prefix lists that those resolve through."""
-    in_kept = lambda pattern: F.array_contains("kept", F.regexp_extract("text", pattern, 1))
-    flat = (F.size("block_path") == 0) & F.col("text").rlike(st.SET_TERM) & in_kept(st.SET_TERM)
-    resolved = F.col("text").rlike(st.SET_PREFIX) & F.array_contains("used", F.regexp_extract("text", st.SET_PREFIX, 1))
-    header = r"^filter (\S+)$"
-    inside = F.array_contains("block_path", "firewall") & F.exists(
-        F.concat("block_path", F.array("text")), lambda p: p.rlike(header) & F.array_contains("kept", F.regexp_extract(p, header, 1))
-    )
-    return F.coalesce(flat | resolved | inside, F.lit(False))
-
-
-def residue(nodes: DataFrame, keys: list[str], patterns: Sequence[tuple] = packs.PATTERNS) -> DataFrame:
-    """Placed nodes that neither a pattern nor a structure read.
-
-    Patterns and interface blocks are decided in the node's own row, indented access lists (read all or nothing) by a window
-    inside their block, Junos filters by the names that their file's filters were kept under.
-    """
-    read = consumed_by_structure()
-    for row in patterns:
-        read = read | _fires(row)
-    flagged = nodes.where("placed").select(
-        "*", F.coalesce(read, F.lit(False)).alias("was_read"), F.coalesce(list_line_ok(keys), F.lit(False)).alias("list_ok")
-    )
-    left = flagged.where(~F.col("was_read") & ~F.col("list_ok")).drop("was_read", "list_ok")
-    juniper = left.where(F.col("vendor") == "juniper").join(filters_read(nodes, keys), keys, "left")
-    open_ = juniper.where(~_read_by_filter()).drop("kept", "used")
-    return left.where(F.col("vendor") != "juniper").unionByName(open_)
+    return rows.select(*keys, "line_number", "raw_line", "m.*")

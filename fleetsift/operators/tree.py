@@ -8,6 +8,8 @@ reads instead of self-joins.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,123 +18,121 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetsift.functions import text as tx
 from fleetsift.sources import packs
 
-NODE_COLUMNS = (
-    "line_number int, raw_line string, placed boolean, reason string, text string, depth int, "
-    "parent_line int, block_path array<string>, path_lines array<int>"
+NODE = (
+    "struct<line_number:int,raw_line:string,placed:boolean,reason:string,text:string,depth:int,"
+    "parent_line:int,block_path:array<string>,path_lines:array<int>>"
 )
-
-
-def build_tree(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes and unplaced lines of every file.
-
-    ``files`` needs ``keys``, ``os_family``, ``syntax_mode`` and ``lines``.  Every source line
-    comes out exactly once, placed in the tree or with the reason why not.
-    """
-    prefixes, literals = packs.COMMENT_PREFIXES, packs.LITERAL_BLOCKS
-
-    def indent_rows(lines: list[str], os_family: str) -> Iterator[tuple]:
-        import re
-
-        openers = [(re.compile(p), g) for p, g in literals.get(os_family, [])]
-        marks = tuple(prefixes.get(os_family, []))
-        stack: list[tuple[int, str, int]] = []
-        stop: str | None = None
-        body: list[tuple[int, str]] = []
-        for number, raw in enumerate(lines, 1):
-            stripped = raw.strip()
+_NODE_TYPES = [
+    ("line_number", pa.int32()), ("raw_line", pa.string()), ("placed", pa.bool_()), ("reason", pa.string()), ("text", pa.string()),
+    ("depth", pa.int32()), ("parent_line", pa.int32()), ("block_path", pa.list_(pa.string())), ("path_lines", pa.list_(pa.int32())),
+]
+#: What a line classifier says of a line: why it is no node, or its text and how far in it stands.
+Verdict = tuple[str | None, str, int]
+
+
+def classify_indent(lines: list[str], marks: tuple[str, ...], openers: list[tuple[re.Pattern, int]]) -> list[Verdict]:
+    """Indentation is the depth; a literal block runs to the line that its opener names, or swallows the rest of the file."""
+    found: list[Verdict] = []
+    while len(found) < len(lines):
+        raw = lines[len(found)]
+        text = raw.strip()
+        if not text:
+            found.append(("blank line", "", 0))
+        elif marks and text.startswith(marks):
+            found.append(("comment", "", 0))
+        else:
+            found.append((None, text, len(raw) - len(raw.lstrip())))
+            stop = next((m.group(g) for rx, g in openers if (m := rx.match(text))), None)
             if stop is not None:
-                body.append((number, raw))
-                if stripped == stop:
-                    yield from ((n, r, False, "literal block body", None, None, None, None, None) for n, r in body)
-                    stop, body = None, []
-                continue
-            if not stripped or (marks and raw.lstrip().startswith(marks)):
-                yield number, raw, False, "comment" if stripped else "blank line", None, None, None, None, None
-                continue
-            width = len(raw) - len(raw.lstrip())
-            while stack and stack[-1][0] >= width:
-                stack.pop()
-            parent = stack[-1][2] if stack else None
-            yield number, raw, True, None, stripped, len(stack), parent, [s[1] for s in stack], [s[2] for s in stack]
-            stack.append((width, stripped, number))
-            for rx, group in openers:
-                hit = rx.match(stripped)
-                if hit:
-                    stop = hit.group(group)
-                    break
-        yield from ((n, r, False, "unterminated literal block", None, None, None, None, None) for n, r in body)
-
-    def brace_rows(lines: list[str], os_family: str) -> Iterator[tuple]:
-        marks = tuple(prefixes.get(os_family, []))
-        stack: list[tuple[str, int]] = []
-        in_comment = False
-        for number, raw in enumerate(lines, 1):
-            stripped = raw.strip()
-            text, reason = "", None
-            if in_comment:
-                reason, in_comment = "block comment", "*/" not in stripped
-            elif stripped.startswith("/*"):
-                reason, in_comment = "block comment", "*/" not in stripped[2:]
-            elif marks and stripped.startswith(marks):
-                reason = "comment"
-            elif stripped in ("}", "};"):
-                reason = "block terminator" if stack else "unmatched closing brace"
-                stack = stack[:-1]
-            else:
-                text = stripped.split("##", 1)[0].rstrip()
-                if text.endswith(("{", ";")):
-                    text = text[:-1].rstrip()
-                reason = None if text else "blank line"
-            if reason is not None:
-                yield number, raw, False, reason, None, None, None, None, None
-                continue
-            parent = stack[-1][1] if stack else None
-            yield number, raw, True, None, text, len(stack), parent, [s[0] for s in stack], [s[1] for s in stack]
-            if stripped.endswith("{"):
-                stack.append((text, number))
-
-    def flat_rows(lines: list[str], os_family: str) -> Iterator[tuple]:
-        marks = tuple(prefixes.get(os_family, []))
-        for number, raw in enumerate(lines, 1):
-            stripped = raw.strip()
-            if not stripped or (marks and stripped.startswith(marks)):
-                yield number, raw, False, "comment" if stripped else "blank line", None, None, None, None, None
-            else:
-                yield number, raw, True, None, stripped, 0, None, [], []
-
-    builders = {"indent": indent_rows, "brace": brace_rows, "set_path": flat_rows}
-    wide = files.select(*keys, "os_family", "syntax_mode", "lines")
-    key_types = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", os_family string, " + NODE_COLUMNS
-    node_types = [
-        pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(),
-        pa.list_(pa.string()), pa.list_(pa.int32()),
-    ]
-    names = [c.split(" ")[0] for c in NODE_COLUMNS.split(", ")]
+                end = next((i for i in range(len(found), len(lines)) if lines[i].strip() == stop), None)
+                inside = len(lines) - len(found) if end is None else end + 1 - len(found)
+                found += [("unterminated literal block" if end is None else "literal block body", "", 0)] * inside
+    return found
+
+
+def classify_brace(lines: list[str], marks: tuple[str, ...], openers: list) -> list[Verdict]:
+    """Open blocks are the depth; a line that opens one counts itself out."""
+    found: list[Verdict] = []
+    depth, commented = 0, False
+    for raw in lines:
+        line = raw.strip()
+        if commented or line.startswith("/*"):
+            commented = "*/" not in (line if commented else line[2:])
+            found.append(("block comment", "", 0))
+        elif marks and line.startswith(marks):
+            found.append(("comment", "", 0))
+        elif line in ("}", "};"):
+            found.append(("block terminator" if depth else "unmatched closing brace", "", 0))
+            depth = max(0, depth - 1)
+        else:
+            text = re.sub(r"\s*[{;]$", "", line.partition("##")[0].rstrip())
+            found.append((None, text, depth) if text else ("blank line", "", 0))
+            depth += bool(text) and line.endswith("{")
+    return found
+
+
+def classify_flat(lines: list[str], marks: tuple[str, ...], openers: list) -> list[Verdict]:
+    """Every line that says something is a root."""
+    texts = [raw.strip() for raw in lines]
+    return [("blank line", "", 0) if not t else ("comment", "", 0) if marks and t.startswith(marks) else (None, t, 0) for t in texts]
+
+
+CLASSIFIERS = {"indent": classify_indent, "brace": classify_brace, "set_path": classify_flat}
+
+
+def stack_walk(lines: list[str], verdicts: list[Verdict]) -> Iterator[tuple]:
+    """Node rows of a file: a line hangs from the nearest line above it that stands less far in."""
+    texts: list[str] = []
+    numbers: list[int] = []
+    places: list[int] = []
+    for number, (raw, (reason, text, place)) in enumerate(zip(lines, verdicts, strict=True), 1):
+        if reason is not None:
+            yield number, raw, False, reason, None, None, None, None, None
+            continue
+        keep = bisect_left(places, place)  # places rise along the stack
+        del texts[keep:], numbers[keep:], places[keep:]
+        yield number, raw, True, None, text, keep, numbers[-1] if numbers else None, texts.copy(), numbers.copy()
+        texts.append(text)
+        numbers.append(number)
+        places.append(place)
+
+
+def walk_files(files: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per file: ``keys``, ``os_family`` and ``nodes``, an array with every source line exactly once, placed in the tree or with the reason why not.
+
+    ``files`` needs ``keys``, ``os_family``, ``syntax_mode`` and ``lines``; an unknown mode is read as indented.
+    """
+    marks = {k: tuple(v) for k, v in packs.COMMENT_PREFIXES.items()}
+    literals = packs.LITERAL_BLOCKS
+    carried = list(dict.fromkeys([*keys, "os_family"]))
+    wide = files.select(*carried, "syntax_mode", "lines")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.select(*carried).schema.fields) + f", nodes array<{NODE}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        openers = {k: [(re.compile(p), g) for p, g in v] for k, v in literals.items()}
         for batch in batches:
-            key_cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
-            rows, owner = [], []
-            os_col = batch.column(batch.schema.get_field_index("os_family")).to_pylist()
-            modes = batch.column(batch.schema.get_field_index("syntax_mode")).to_pylist()
-            line_col = batch.column(batch.schema.get_field_index("lines"))
-            for i in range(batch.num_rows):
-                got = list(builders.get(modes[i], indent_rows)(line_col[i].as_py(), os_col[i]))
-                rows.extend(got)
-                owner.extend([i] * len(got))
+            families, modes = batch.column("os_family").to_pylist(), batch.column("syntax_mode").to_pylist()
+            rows, ends, begun = [], [0], 0
+            for i, (family, mode, lines) in enumerate(zip(families, modes, batch.column("lines"), strict=True)):
+                said = lines.as_py()
+                rows.extend(stack_walk(said, CLASSIFIERS.get(mode, classify_indent)(said, marks.get(family, ()), openers.get(family, []))))
+                ends.append(len(rows))
                 # Keep the emitted batch bounded whatever the batch of files holds.
                 if len(rows) > 100_000 or i == batch.num_rows - 1:
-                    take = pa.array(owner, pa.int64())
-                    out = [c.take(take) for c in key_cols] + [pa.array(os_col).take(take).cast(pa.string())]
-                    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                    out += [pa.array(c, t) for c, t in zip(cols, node_types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(out, names=[*keys, "os_family", *names])
-                    rows, owner = [], []
+                    columns = zip(*rows, strict=True) if rows else [()] * len(_NODE_TYPES)
+                    made = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _NODE_TYPES, strict=True)], names=[n for n, _ in _NODE_TYPES])
+                    kept = [batch.column(c).slice(begun, i + 1 - begun) for c in carried]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)], names=[*carried, "nodes"])
+                    rows, ends, begun = [], [0], i + 1
 
     return wide.mapInArrow(run, schema)
 
 
+def build_tree(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes and unplaced lines of every file, a row each."""
+    return walk_files(files, keys).select(*keys, *(["os_family"] if "os_family" not in keys else []), F.inline("nodes"))
+
+
 def flat_nodes(files: DataFrame, keys: list[str]) -> DataFrame:
     """Set-path syntax without Python: every line that is neither blank nor comment is a root."""
     lines = files.select(*keys, "os_family", F.posexplode_outer("lines").alias("p", "raw_line")).where(F.col("p").isNotNull())

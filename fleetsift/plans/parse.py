@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import casts, secrets
@@ -311,8 +313,19 @@ _RESIDUE = f"""read_lines AS (SELECT DISTINCT k, line_number FROM facts),
    AND NOT (pr = '5-LOW' AND k % 13 <> 0 AND tpl BETWEEN {_FILTER_AT} AND {_FILTER_END}))"""
 
 
+FILE = ["k", "vendor", "os_family"]
+
+
+def model(spark: SparkSession, sf: str, patterns: Sequence[tuple] = (), **only: str) -> DataFrame:
+    """Models of the files, of those of one platform or syntax alone if asked; others are left out before their trees are built."""
+    files = configs(spark, sf)
+    for column, value in only.items():
+        files = files.where(F.col(column) == value)
+    return st.file_model(files, FILE, patterns)
+
+
 def residue_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return match.residue(nodes(spark, sf), KEYS)
+    return st.residue(model(spark, sf, packs.PATTERNS), FILE)
 
 
 @query("p21_residue", f"WITH {CFG}, {REASONED_CTE}, {FACTS_CTE}, {_RESIDUE} SELECT k, line_number, text FROM residue")
@@ -342,7 +355,7 @@ IFACE_CTE = """ifaces AS (
 
 
 def ifaces(spark: SparkSession, sf: str) -> DataFrame:
-    return st.interfaces(nodes(spark, sf), ["k", "vendor", "os_family"])
+    return st.interfaces(model(spark, sf), FILE)
 
 
 @query("x01_interfaces", f"WITH {d.BASE_CTE}, {IFACE_CTE} SELECT k, name, description, addresses, enabled, applied FROM ifaces")
@@ -398,20 +411,13 @@ def _entry_view(entries: DataFrame) -> DataFrame:
     )
 
 
-def block_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return st.block_lists(nodes(spark, sf), ["k", "vendor", "os_family"])
-
-
-def junos_lists(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    files = configs(spark, sf).where(F.col("syntax_mode") == mode)
-    all_nodes = tree.build_tree(files, ["k"])
-    clauses = (st.set_clauses if mode == "set_path" else st.brace_clauses)(all_nodes, ["k"])
-    return st.junos_lists(clauses, st.prefix_lists(all_nodes, ["k"]), ["k"])
+def entries(spark: SparkSession, sf: str, **only: str) -> DataFrame:
+    return _entry_view(st.list_entries(st.access_lists(model(spark, sf, **only), FILE), ["k"]))
 
 
 @query("x02_ios_entries", f"WITH {d.BASE_CTE} {IOS_ENTRIES}")
 def x02_ios_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _entry_view(st.list_entries(block_lists(spark, sf).where(F.col("os_family") == "ios"), ["k"]))
+    return entries(spark, sf, os_family="ios")
 
 
 @query(
@@ -432,17 +438,17 @@ def x03_wildcard_cidr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x04_nxos_entries", f"WITH {d.BASE_CTE} {NXOS_ENTRIES}")
 def x04_nxos_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _entry_view(st.list_entries(block_lists(spark, sf).where(F.col("os_family") == "nxos"), ["k"]))
+    return entries(spark, sf, os_family="nxos")
 
 
 @query("x05_junos_set_filters", f"WITH {d.BASE_CTE} {_junos_entries('4-NOT SPECIFIED')}")
 def x05_junos_set_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return _entry_view(st.list_entries(junos_lists(spark, sf, "set_path"), ["k"]))
+    return entries(spark, sf, syntax_mode="set_path")
 
 
 @query("x06_junos_brace_filters", f"WITH {d.BASE_CTE} {_junos_entries('5-LOW')}")
 def x06_junos_brace_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return _entry_view(st.list_entries(junos_lists(spark, sf, "brace"), ["k"]))
+    return entries(spark, sf, syntax_mode="brace")
 
 
 @query(
@@ -450,7 +456,7 @@ def x06_junos_brace_filters(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {d.BASE_CTE} SELECT k, 'MGMT' AS name, '198.51.100.0/24 192.0.2.' || (k % 250) || '/32' AS members FROM base WHERE pr IN ('4-NOT SPECIFIED', '5-LOW')",
 )
 def x07_prefix_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return st.prefix_lists(nodes(spark, sf), ["k"]).select("k", "name", F.array_join("members", " ").alias("members"))
+    return st.prefix_lists(model(spark, sf), FILE).select("k", "name", F.array_join("members", " ").alias("members"))
 
 
 _PORT_OPS = ("eq", "lt", "gt", "neq", "range", "eq", "any")
@@ -482,7 +488,7 @@ def x08_port_parse(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {d.BASE_CTE} SELECT k, count(*) AS entries, string_agg(dst_port, ',' ORDER BY seq) AS ports FROM ({_junos_entries('4-NOT SPECIFIED')} UNION ALL {_junos_entries('5-LOW')}) GROUP BY k",
 )
 def x09_multi_port(spark: SparkSession, sf: str) -> DataFrame:
-    both = _entry_view(st.list_entries(junos_lists(spark, sf, "set_path").unionByName(junos_lists(spark, sf, "brace")), ["k"]))
+    both = entries(spark, sf, vendor="juniper")
     ports = F.transform(F.array_sort(F.collect_list(F.struct("seq", "dst_port"))), lambda x: x["dst_port"])
     return both.groupBy("k").agg(F.count("*").alias("entries"), F.array_join(ports, ",").alias("ports"))
 
@@ -494,10 +500,7 @@ def x09_multi_port(spark: SparkSession, sf: str) -> DataFrame:
     "WHERE ((pr = '4-NOT SPECIFIED' AND tpl = 12) OR (pr = '5-LOW' AND tpl = 41)) AND k % 13 = 0",
 )
 def x10_all_or_nothing(spark: SparkSession, sf: str) -> DataFrame:
-    failures = st.list_failures(block_lists(spark, sf), ["k"])
-    for mode in ("set_path", "brace"):
-        failures = failures.unionByName(st.list_failures(junos_lists(spark, sf, mode), ["k"]))
-    return failures
+    return st.list_failures(st.access_lists(model(spark, sf), FILE), ["k"])
 
 
 @query(
@@ -506,9 +509,7 @@ def x10_all_or_nothing(spark: SparkSession, sf: str) -> DataFrame:
     "UNION ALL SELECT k, 'MGMT-IN', 'mgmt0:in' FROM base WHERE pr = '2-HIGH'",
 )
 def x11_bindings(spark: SparkSession, sf: str) -> DataFrame:
-    keys = ["k", "vendor", "os_family"]
-    all_nodes = nodes(spark, sf)
-    bound = st.bindings(st.block_lists(all_nodes, keys).where(F.col("failure").isNull()), st.interfaces(all_nodes, keys), keys)
+    bound = st.bindings(model(spark, sf, vendor="cisco"), FILE)  # the platforms whose interfaces name lists
     text = F.array_join(F.transform("applied_to", lambda b: F.concat_ws(":", b["interface"], b["direction"])), ",")
     return bound.select("k", "acl_name", F.coalesce(text, F.lit("")).alias("applied_to"))
 
@@ -648,11 +649,7 @@ def n06_unknown_lines(spark: SparkSession, sf: str) -> DataFrame:
     "CASE WHEN b.pr = '1-URGENT' AND b.k % 13 = 0 THEN 'EDGE-IN' WHEN b.pr IN ('1-URGENT', '2-HIGH') THEN '' END AS acl_failures, ra.residue_lines FROM base b LEFT JOIN fa USING (k) LEFT JOIN ia USING (k) LEFT JOIN ra USING (k)",
 )
 def n07_device_document(spark: SparkSession, sf: str) -> DataFrame:
-    dev = lambda df: df.withColumn("device_id", F.concat(F.lit("dev-"), "k"))
-    identity = d.device_config(spark, sf).select("device_id", "vendor", "os_family")
-    doc = normalise.device_document(
-        identity, dev(parsed_fields(spark, sf)), dev(block_lists(spark, sf)), dev(ifaces(spark, sf)), dev(residue_lines(spark, sf))
-    )
+    doc = normalise.device_document(st.file_model(configs(spark, sf), ["device_id", "vendor", "os_family"], packs.PATTERNS))
     pairs = F.transform(
         F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["state"], F.lit(":"), F.coalesce(e["value"]["value"], F.lit("")))
     )

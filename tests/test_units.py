@@ -12,9 +12,12 @@ from pyspark.sql import Row, functions as F
 
 from fleetsift.functions import conditions as cond, netaddr, secrets, shape
 from fleetsift.functions import text as tx
-from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, reads, remediation, scan, tree
-from fleetsift.sources import files, sinks, tables
+from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, reads, remediation, scan, structures, tree
+from fleetsift.plans import load_all
+from fleetsift.plans.registry import QUERIES
+from fleetsift.sources import files, packs, sinks, tables
 from fleetsift.streaming import landing
+from tests.conftest import SF
 
 
 def column(spark, values, fn, kind="string"):
@@ -98,6 +101,100 @@ def test_literal_block_and_nested_indent(spark):
     assert rows[2].block_path == ["interface a", "ip x"] and rows[2].path_lines == [1, 2] and rows[5].reason == "literal block body"
 
 
+def test_brace_and_flat_lines(spark):
+    brace = "a {\n  b x;\n  c {\n    d;\n  }\n  /* e\n f */\n}\n}\n## g\n"
+    df = detect.with_lines(spark.createDataFrame([(1, "junos", "brace", brace), (2, "junos", "set_path", "set a\n\n set b"), (3, "junos", "brace", "")], "k int, os_family string, syntax_mode string, text string"))
+    rows = {(r.k, r.line_number): r for r in tree.build_tree(df, ["k"]).collect()}
+    assert [(rows[1, n].text, rows[1, n].depth, rows[1, n].parent_line) for n in (1, 2, 3, 4)] == [("a", 0, None), ("b x", 1, 1), ("c", 1, 1), ("d", 2, 3)]
+    assert [rows[1, n].reason for n in range(5, 11)] == ["block terminator", "block comment", "block comment", "block terminator", "unmatched closing brace", "blank line"]
+    assert [(rows[2, n].text, rows[2, n].depth) for n in (1, 3)] == [("set a", 0), ("set b", 0)] and rows[2, 2].reason == "blank line"
+    assert len(rows) == 13 and [r.k for r in tree.walk_files(df, ["k"]).where("size(nodes) = 0").collect()] == [3]
+
+
+MODEL_FILES = {
+    "ios": ("cisco", "ios", "indent", """hostname r1
+interface Gi0
+ description  up link
+ ip address 10.0.0.1 255.0.0.0
+ no shutdown
+ shutdown
+ speed auto
+ ip access-group IN in
+interface Lo9
+ip access-list extended IN
+ remark why
+ permit tcp any host 10.0.0.9 eq 443
+ip access-list extended BAD
+ permit tcp any any eq 70000
+ deny ip any any
+banner motd #"""),
+    "set": ("juniper", "junos", "set_path", """set firewall family inet filter F term a from source-prefix-list MG
+set firewall family inet filter F term a then accept
+set firewall family inet filter F term b then discard
+set firewall family inet filter G term a from hop-limit 3
+set firewall family inet filter G term a then accept
+set policy-options prefix-list MG 10.0.0.0/8
+set policy-options prefix-list MG nonsense
+set policy-options prefix-list UNUSED 10.1.0.0/16"""),
+    "brace": ("juniper", "junos", "brace", """policy-options {
+ prefix-list P {
+  10.2.0.0/16;
+ }
+}
+firewall {
+ family inet {
+  filter F {
+   term t {
+    from {
+     source-address {
+      10.0.0.0/8;
+      10.3.0.0/16;
+     }
+     destination-port [ 22 443 ];
+    }
+    then accept;
+   }
+  }
+  filter H {
+   term u {
+    from { protocol tcp; }
+   }
+  }
+ }
+}"""),
+    "none": ("cisco", "ios", "indent", ""),
+    "remarks": ("cisco", "ios", "indent", "! only\n!"),
+}
+
+
+def test_file_model(spark):
+    """Interfaces, lists, filters, prefix lists and what is left, of all syntaxes in one pass."""
+    df = detect.with_lines(spark.createDataFrame([(k, *v) for k, v in MODEL_FILES.items()], "k string, vendor string, os_family string, syntax_mode string, text string"))
+    model = {r.k: r for r in structures.file_model(df, ["k", "vendor", "os_family"], packs.PATTERNS).collect()}
+    assert set(model) == set(MODEL_FILES) and all(not model[k][c] for k in ("none", "remarks") for c in ("interfaces", "lists", "prefix_lists", "facts", "residue"))
+    gi, lo = model["ios"].interfaces
+    assert (gi.name, gi.description, gi.addresses, gi.enabled, [tuple(a) for a in gi.applied], gi.block_line) == ("Gi0", "up link", ["10.0.0.1"], False, [("IN", "in")], 2)
+    assert (lo.name, lo.enabled, lo.addresses, lo.evidence_lines) == ("Lo9", None, [], 1)
+    ok, bad = model["ios"].lists
+    assert (ok.acl_name, ok.failure, [(i.e.action, i.e.dst.cidrs, tuple(i.e.dst_port)) for i in ok["items"]]) == ("IN", None, [("permit", ["10.0.0.9/32"], (443, 443))])
+    assert tuple(bad.failure) == (14, "permit tcp any any eq 70000", "unknown_port")
+    assert [r.line_number for r in model["ios"].residue] == [1, 7, 13, 14, 15] and [f.hit.field for f in model["ios"].facts] == ["banner_present"]
+    f, g = model["set"].lists
+    assert [(i.e.action, i.e.src.kind, i.e.src.cidrs) for i in f["items"]] == [("permit", "object", ["10.0.0.0/8"]), ("deny", "any", [])] and f.failure is None
+    assert tuple(g.failure) == (4, "term a", "unread_clause") and [r.line_number for r in model["set"].residue] == [4, 5, 8]
+    f, h = model["brace"].lists
+    assert [(i.e.src.cidrs, i.e.dst_port.lo) for i in f["items"]] == [(["10.0.0.0/8", "10.3.0.0/16"], 22), (["10.0.0.0/8", "10.3.0.0/16"], 443)]
+    assert h.failure is not None and {x.name: x.members for x in model["brace"].prefix_lists} == {"P": ["10.2.0.0/16"]}
+    assert [(b.acl_name, [tuple(x)[1:3] for x in b.applied_to]) for b in structures.bindings(structures.file_model(df.where("k = 'ios'"), ["k", "vendor", "os_family"]), ["k"]).collect()] == [("IN", [("Gi0", "in")])]
+
+
+@pytest.mark.parametrize("name", ["p21_residue", "n06_unknown_lines", "n07_device_document", "x02_ios_entries", "x10_all_or_nothing", "x11_bindings"])
+def test_structures_take_one_pass(spark, name):
+    load_all()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Relation ["), plan.count("Join ")) == (1, 1, 0)
+
+
 def brute_kinds(entries):
     def covers(o, i):
         if o["est"] and not i["est"]:
