@@ -83,8 +83,27 @@ def outcomes(conditions: Column, prefix: str = "") -> Column:
     return F.transform(conditions, lambda c: outcome(c, *cols))
 
 
+def expected_text(c: Column) -> Column:
+    """Readable form of a condition struct."""
+    plain = lambda n: F.regexp_replace(n.cast("string"), r"\.0$", "")
+    shown = (
+        F.when(c["kind"] == "num", plain(c["n"]))
+        .when(c["kind"] == "str", F.concat(F.lit("'"), c["s"], F.lit("'")))
+        .when(c["kind"] == "bool", F.when(c["b"], "True").otherwise("False"))
+        .when(c["kind"] == "strlist", F.when(F.size(c["l"]) > 0, F.concat(F.lit("['"), F.array_join(c["l"], "', '"), F.lit("']"))).otherwise("[]"))
+        .when(c["kind"] == "numlist", F.concat(F.lit("["), F.array_join(F.transform(c["ln"], plain), ", "), F.lit("]")))
+        .otherwise("None")
+    )
+    return (
+        F.when(c["op"] == "is_true", "enabled")
+        .when(c["op"] == "is_false", "disabled")
+        .when(c["op"] == "non_empty", "at least one value configured")
+        .otherwise(F.concat_ws(" ", F.replace(c["op"], F.lit("_"), F.lit(" ")), shown))
+    )
+
+
 def describe(op: str, operand: object = None) -> str:
-    """Readable form of one condition."""
+    """Readable form of one condition, as ``expected_text`` has it."""
     fixed = {"is_true": "enabled", "is_false": "disabled", "non_empty": "at least one value configured"}
     return fixed.get(op) or f"{op.replace('_', ' ')} {operand!r}"
 

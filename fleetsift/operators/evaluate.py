@@ -1,66 +1,96 @@
 """Compliance evaluation: devices by applicable rules to findings with four verdicts.
 
-The rule dimension travels as one literal array column.  Each device row filters and explodes
-it, which gives exactly the applicable (device, rule) rows without any cross join; the only
-shuffle is the equi-join with the device's observations on (device_id, field).
+Rules are tables: one row per rule, its conditions as rows of (rule, ordinal, operator, typed operand), its references and declined mappings.  ``compiled`` brings a rule's conditions
+together on the rule's side, which is the small one.  A device looks its rules up by equality on platform scope (its vendor or any, its family or any), so there is no cross join and no bound on the
+number of rules; scopes that many devices share are salted.  The other join is the one with the device's observations on (device_id, field).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetsift.functions.conditions import condition, describe_all, outcomes
+from fleetsift.functions.conditions import CONDITION, condition, expected_text, outcomes
 from fleetsift.functions.tristate import strict_all
 from fleetsift.session import pin
 from fleetsift.sources.rules import BASE_RULES, VERDICTS, Rule
 
 ENGINE_VERSION = "0.1.0"
-MAX_RULES = 2_000
 TRAINABLE = ("no_match", "low_confidence", "uncalibrated_confidence", "unparsed_block")
+ANY = "*"
+#: Parts of the devices of one scope, each of which meets all rules of that scope.
+SCOPE_SALTS = 16
+REFS = "array<struct<framework:string,control_id:string>>"
+_RULE = ("rule_ord", "rule_id", "severity", "field", "vendors", "os_families", "on_absent_default", "on_absent_unsupported", "on_capability_unknown")
 
 
-def rule_array(rules: Sequence[Rule]) -> Column:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules is above the literal bound {MAX_RULES}")
-    strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_ord"),
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.field).alias("field"),
-                F.array(*[condition(*c) for c in r.conditions]).alias("conditions"),
-                F.lit(describe_all(r.conditions)).alias("expected"),
-                strings(r.vendors).alias("vendors"),
-                strings(r.os_families).alias("os_families"),
-                strings(r.frameworks).alias("rule_frameworks"),
-                F.lit(r.on_absent_default).alias("on_absent_default"),
-                F.lit(r.on_absent_unsupported).alias("on_absent_unsupported"),
-                F.lit(r.on_capability_unknown).alias("on_capability_unknown"),
-            )
-            for i, r in enumerate(rules)
-        ]
-    )
+@dataclass(frozen=True)
+class Rulebook:
+    """Rules as tables of any size.
 
+    ``rules``: rule_ord, rule_id, severity, field, vendors, os_families (arrays, ``*`` admits anything), on_absent_default, on_absent_unsupported, on_capability_unknown.
+    ``conditions``: rule_id, ordinal and the columns of a condition struct; ``refs``: rule_id, framework, control_id; ``gaps``: rule_id, framework, reason.
+    """
 
-def _admits(patterns: Column, value: Column) -> Column:
-    """A wildcard admits anything; a named list never admits an unknown value."""
-    return F.array_contains(patterns, "*") | F.coalesce(F.array_contains(patterns, value), F.lit(False))
+    rules: DataFrame
+    conditions: DataFrame
+    refs: DataFrame
+    gaps: DataFrame
 
 
-def applicable_rules(devices: DataFrame, rules: Sequence[Rule] = BASE_RULES, selection: Sequence[str] = ()) -> DataFrame:
-    """One row per (device, applicable rule); an empty selection means no framework filter."""
-    chosen = F.array(*[F.lit(s) for s in selection]).cast("array<string>")
+Rules = Rulebook | Sequence[Rule]
 
-    def keep(r: Column) -> Column:
-        cond = _admits(r["vendors"], F.col("vendor")) & _admits(r["os_families"], F.col("os_family"))
-        return cond & F.arrays_overlap(r["rule_frameworks"], chosen) if selection else cond
 
-    rows = devices.select("device_id", "vendor", "os_family", F.explode_outer(F.filter(rule_array(rules), keep)).alias("r"))
-    return rows.where(F.col("r").isNotNull()).select("device_id", "vendor", "os_family", "r.*")
+def _literal(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    cells = [
+        F.struct(
+            F.lit(i).cast("bigint").alias("rule_ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"),
+            strings(r.vendors).alias("vendors"), strings(r.os_families).alias("os_families"), F.lit(r.on_absent_default).alias("on_absent_default"),
+            F.lit(r.on_absent_unsupported).alias("on_absent_unsupported"), F.lit(r.on_capability_unknown).alias("on_capability_unknown"),
+            F.array(*[condition(*c) for c in r.conditions]).cast(f"array<{CONDITION}>").alias("conditions"),
+            F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(c).alias("control_id")) for f, c in r.refs]).cast(REFS).alias("refs"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
+def compiled(spark: SparkSession, rules: Rules) -> DataFrame:
+    """One row per rule with its ``conditions`` in order, ``expected`` text, ``refs`` and ``rule_frameworks``.
+
+    A rule without conditions is left out, as nothing could be judged by it; of a repeated ordinal every condition holds.
+    """
+    if isinstance(rules, Rulebook):
+        fields = [c.split(":")[0] for c in CONDITION[len("struct<") : -1].split(",")]
+        own = F.struct("ordinal", F.struct(*fields).cast(CONDITION).alias("c"))
+        conds = rules.conditions.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(own), lambda a, b: a["ordinal"] - b["ordinal"]), lambda x: x["c"]).alias("conditions"))
+        refs = rules.refs.groupBy("rule_id").agg(F.collect_list(F.struct("framework", "control_id")).cast(REFS).alias("refs"))
+        rows = rules.rules.select(*_RULE).join(conds, "rule_id").join(refs, "rule_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast(REFS)))
+    else:
+        rows = _literal(spark, rules)
+    named = F.array_sort(F.array_distinct(F.transform("refs", lambda r: r["framework"])))
+    return rows.withColumns({"expected": F.array_join(F.transform("conditions", expected_text), " and "), "rule_frameworks": named})
+
+
+def applicable_rules(devices: DataFrame, rules: Rules = BASE_RULES, selection: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """One row per (device, applicable rule); an empty selection means no framework filter, ``carry`` names more columns of the device.
+
+    A wildcard admits anything; a named list never admits an unknown value.  A rule lies under each of its scopes once, a device looks under the four that can hold it.
+    """
+    book = compiled(devices.sparkSession, rules)
+    if selection:
+        book = book.where(F.arrays_overlap("rule_frameworks", F.array(*[F.lit(s) for s in selection])))
+    scope = lambda c: F.when(F.array_contains(c, ANY), F.array(F.lit(ANY))).otherwise(F.array_distinct(F.array_compact(c)))
+    book = book.withColumn("_vendor", F.explode(scope("vendors"))).withColumn("_os", F.explode(scope("os_families")))
+    book = book.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))))
+    either = lambda c: F.explode(F.array_distinct(F.array_compact(F.array(F.col(c), F.lit(ANY)))))
+    # Platform may be a long expression (detection); it is looked at several times below.
+    rows = pin(devices, "_p", F.struct("vendor", "os_family")).select("device_id", "_p.vendor", "_p.os_family", *carry)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("device_id"), F.lit(SCOPE_SALTS)).cast("int")).withColumn("_vendor", either("vendor")).withColumn("_os", either("os_family"))
+    return rows.join(book.drop("vendors", "os_families"), ["_vendor", "_os", "_salt"]).drop("_vendor", "_os", "_salt")
 
 
 def absence_action(state: Column) -> Column:
@@ -98,7 +128,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 
 def evaluate_fleet(
-    devices: DataFrame, observations: DataFrame, rules: Sequence[Rule] = BASE_RULES, *, audit_id: str = "run", selection: Sequence[str] = ()
+    devices: DataFrame, observations: DataFrame, rules: Rules = BASE_RULES, *, audit_id: str = "run", selection: Sequence[str] = ()
 ) -> DataFrame:
     """Findings of every device and applicable rule, as one plan."""
     pairs = applicable_rules(devices, rules, selection)

@@ -1,7 +1,7 @@
 """Framework catalogs: coverage of a device, control lookup, mappings and selections.
 
-Catalogs are a handful of literals, so coverage is an array built inside the device row and
-exploded; nothing is joined to decide which catalogs describe which device.
+Catalog documents are a handful of literals, so coverage is an array built inside the device row and
+exploded; nothing is joined to decide which catalogs describe which device.  Their controls are a table of any size and are joined by (framework, control id).
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetsift.functions.conditions import outcome
-from fleetsift.operators.evaluate import applicable_rules
+from fleetsift.operators.evaluate import Rulebook, Rules, applicable_rules
 from fleetsift.sources.literals import Literal
-from fleetsift.sources.rules import CATALOGS, FRAMEWORKS, Catalog, Rule
+from fleetsift.sources.rules import CATALOGS, FRAMEWORKS, Catalog
 
 
 def coverage_state(c: Catalog) -> Column:
@@ -79,62 +79,36 @@ _CONTROLS = Literal(
 _EDITIONS = Literal("framework_index", "framework string, document string, edition string", [(c.framework, c.document, c.edition) for c in CATALOGS])
 
 
-def control_lookup(asked: DataFrame) -> DataFrame:
-    """Status of each asked control id and its citation text."""
+def control_lookup(asked: DataFrame, controls: DataFrame | None = None, editions: DataFrame | None = None) -> DataFrame:
+    """Status of each asked control id and its citation text; ``controls`` and ``editions`` as ``sources.catalogs`` reads them, the short built-in ones if not given."""
     spark = asked.sparkSession
-    rows = asked.join(_CONTROLS.frame(spark), ["framework", "control_id"], "left").join(_EDITIONS.frame(spark), "framework", "left")
+    known = (_CONTROLS.frame(spark) if controls is None else controls).select("framework", "control_id", "status")
+    cited = (_EDITIONS.frame(spark) if editions is None else editions).select("framework", "document", "edition")
+    rows = asked.join(known, ["framework", "control_id"], "left").join(cited, "framework", "left")
     return rows.select(
         *asked.columns, F.coalesce("status", F.lit("unknown")).alias("status"),
         F.concat("document", F.lit(", edition "), "edition", F.lit(", control "), "control_id").alias("citation"),
     )
 
 
-def _ref_map(rules: Sequence[Rule]) -> Column:
-    return F.create_map(
-        *[
-            x
-            for r in rules
-            for x in (
-                F.lit(r.rule_id),
-                F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(c).alias("control_id")) for f, c in r.refs]).cast(
-                    "array<struct<framework:string,control_id:string>>"
-                ),
-            )
-        ]
-    )
-
-
-def refs_for_device(devices: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def refs_for_device(devices: DataFrame, rules: Rules) -> DataFrame:
     """References of each applicable rule whose catalog covers the device, decided in the row."""
-    pairs = applicable_rules(devices, rules).select("device_id", "vendor", "os_family", "rule_id")
-    versions = devices.select("device_id", covering().alias("covering"))
-    rows = pairs.join(versions, "device_id")
-    kept = F.array_sort(F.filter(F.element_at(_ref_map(rules), F.col("rule_id")), lambda x: F.array_contains("covering", x["framework"])))
+    pairs = applicable_rules(devices.withColumn("covering", covering()), rules, carry=["covering"])
+    kept = F.array_sort(F.filter("refs", lambda x: F.array_contains("covering", x["framework"])))
     text = F.array_join(F.transform(kept, lambda x: F.concat_ws(" ", x["framework"], x["control_id"])), ",")
-    return rows.select("device_id", "rule_id", text.alias("refs")).where(F.col("refs") != "")
+    return pairs.select("device_id", "rule_id", text.alias("refs")).where(F.col("refs") != "")
 
 
-def selection_scope(devices: DataFrame, rules: Sequence[Rule], selection: Sequence[str]) -> DataFrame:
+def selection_scope(devices: DataFrame, rules: Rules, selection: Sequence[str]) -> DataFrame:
     """Effective and excluded frameworks of a selection, refusal, and the rules left out."""
     chosen = F.array(*[F.lit(s) for s in sorted(selection)])
     rows = devices.withColumn("effective", F.array_intersect(chosen, covering()))
-    rows = rows.withColumn("excluded", F.array_except(chosen, F.col("effective")))
-    admits = lambda names, col: F.lit(True) if "*" in names else F.coalesce(F.col(col).isin(*names), F.lit(False))
-    left_out = F.array_sort(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        admits(r.vendors, "vendor") & admits(r.os_families, "os_family") & (F.size("effective") > 0)
-                        & ~F.coalesce(F.arrays_overlap(F.array(*[F.lit(f) for f in r.frameworks]).cast("array<string>"), F.col("effective")), F.lit(False)),
-                        F.lit(r.rule_id),
-                    )
-                    for r in rules
-                ]
-            )
-        )
+    pairs = applicable_rules(rows, rules, carry=["effective"]).where((F.size("effective") > 0) & ~F.arrays_overlap("rule_frameworks", "effective"))
+    left_out = pairs.groupBy("device_id").agg(F.array_sort(F.collect_list("rule_id")).alias("left_out"))
+    return rows.join(left_out, "device_id", "left").select(
+        "device_id", "effective", F.array_except(chosen, F.col("effective")).alias("excluded"), (F.size("effective") == 0).alias("refused"),
+        F.coalesce("left_out", F.array().cast("array<string>")).alias("left_out"),
     )
-    return rows.select("device_id", "effective", "excluded", (F.size("effective") == 0).alias("refused"), left_out.alias("left_out"))
 
 
 def run_view(runs: DataFrame, devices: DataFrame, active_checksum: str) -> DataFrame:
@@ -147,9 +121,10 @@ def run_view(runs: DataFrame, devices: DataFrame, active_checksum: str) -> DataF
     )
 
 
-def mapping_problems(refs: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Duplicate references, frameworks both mapped and declined, ids that are not live."""
-    live = _CONTROLS.frame(refs.sparkSession).where(F.col("status") == "live").select("framework", "control_id")
+def mapping_problems(refs: DataFrame, gaps: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """Duplicate references, frameworks both mapped and declined, ids that are not live; ``controls`` as for ``control_lookup``."""
+    known = _CONTROLS.frame(refs.sparkSession) if controls is None else controls
+    live = known.where(F.col("status") == "live").select("framework", "control_id").distinct()
     counted = refs.groupBy("rule_id", "framework", "control_id").agg(F.count("*").alias("n"))
     subject = F.concat_ws(" ", "framework", "control_id").alias("subject")
     dup = counted.where(F.col("n") > 1).select("rule_id", subject, F.lit("duplicate_ref").alias("problem"))
@@ -160,32 +135,16 @@ def mapping_problems(refs: DataFrame, gaps: DataFrame) -> DataFrame:
     return dup.unionByName(both).unionByName(dead)
 
 
-def gap_reasons(devices: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def gap_reasons(devices: DataFrame, rules: Rules) -> DataFrame:
     """Declined mappings, shown only where the catalog covers the device."""
-    pairs = applicable_rules(devices, rules).select("device_id", "rule_id")
-    gaps = Literal("rule_gap", "rule_id string, framework string, reason string", [(r.rule_id, f, why) for r in rules for f, why in r.gaps])
-    versions = devices.select("device_id", covering().alias("covering"))
-    rows = pairs.join(gaps.frame(devices.sparkSession), "rule_id").join(versions, "device_id")
+    pairs = applicable_rules(devices.withColumn("covering", covering()), rules, carry=["covering"]).select("device_id", "rule_id", "covering")
+    gaps = rules.gaps if isinstance(rules, Rulebook) else Literal(
+        "rule_gap", "rule_id string, framework string, reason string", [(r.rule_id, f, why) for r in rules for f, why in r.gaps]
+    ).frame(devices.sparkSession)
+    rows = pairs.join(gaps, "rule_id")
     return rows.where(F.array_contains("covering", F.col("framework"))).select("device_id", "rule_id", "framework", "reason")
 
 
-def expected_text(c: Column) -> Column:
-    """Readable form of a condition struct."""
-    shown = (
-        F.when(c["kind"] == "num", F.regexp_replace(c["n"].cast("string"), r"\.0$", ""))
-        .when(c["kind"] == "str", F.concat(F.lit("'"), c["s"], F.lit("'")))
-        .when(c["kind"] == "bool", F.when(c["b"], "True").otherwise("False"))
-        .when(c["kind"].isin("strlist", "numlist"), F.concat(F.lit("['"), F.array_join(c["l"], "', '"), F.lit("']")))
-        .otherwise("None")
-    )
-    return (
-        F.when(c["op"] == "is_true", "enabled")
-        .when(c["op"] == "is_false", "disabled")
-        .when(c["op"] == "non_empty", "at least one value configured")
-        .otherwise(F.concat_ws(" ", F.replace(c["op"], F.lit("_"), F.lit(" ")), shown))
-    )
-
-
 def blind_conditions(conditions: DataFrame) -> DataFrame:
     """Conditions that are NULL on every sample shape: they would abstain on every device."""
     null = lambda t: F.lit(None).cast(t)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetsift.functions import conditions as cond
 from fleetsift.functions.tristate import strict_all
@@ -10,6 +12,8 @@ from fleetsift.operators import detect, evaluate as ev, fields as fo, frameworks
 from fleetsift.plans.detect import CFG, HITS_CTE, RANKED_CTE, SCORES_CTE, configs, quote
 from fleetsift.plans.parse import CAPABILITIES, DEFAULTS, FACTS_CTE, FIELDS_CTE, RESOLVED_CTE
 from fleetsift.plans.registry import query
+from fleetsift.session import checkpoint_dir
+from fleetsift.sources import catalogs
 from fleetsift.sources import derived as d
 from fleetsift.sources.rules import BASE_RULES, CATALOGS, FRAMEWORKS, VERDICTS, Rule
 
@@ -162,7 +166,7 @@ def _derived_conditions(spark: SparkSession, sf: str) -> DataFrame:
       WHEN 3 THEN '[''' || p_brand || ''']' ELSE 'None' END END AS expected FROM c""",
 )
 def c14_expected_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _derived_conditions(spark, sf).select("condition_id", fw.expected_text(F.col("c")).alias("expected"))
+    return _derived_conditions(spark, sf).select("condition_id", cond.expected_text(F.col("c")).alias("expected"))
 
 
 _BLIND = """CASE op WHEN 'equals' THEN z = 4 WHEN 'not_equals' THEN z = 4 WHEN 'gt' THEN z <> 0 WHEN 'gte' THEN z <> 0 WHEN 'lt' THEN z <> 0 WHEN 'lte' THEN z <> 0
@@ -298,6 +302,124 @@ def c23_needs_training(spark: SparkSession, sf: str) -> DataFrame:
     return ev.needs_training(findings(spark, sf)).select("device_id", "rule_id", "unknown_reason")
 
 
+# ---- rules and catalogs as tables -------------------------------------------------------
+
+_POLICIES = ("evaluate", "pass", "fail", "not_applicable", "unknown")
+
+
+def part_rules(spark: SparkSession, sf: str) -> ev.Rulebook:
+    """A rule for every part: one or two conditions on one of the fields, most for platforms that no device has."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    f = (p % 4).cast("int")
+    pick = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), (at + 1).cast("int"))
+    part = d.table(spark, sf, "part").select("p_partkey", "p_size", F.concat(F.lit("P-"), p).alias("rule_id"), f.alias("f"))
+    rules = part.select(
+        p.cast("bigint").alias("rule_ord"), "rule_id", F.lit("low").alias("severity"), pick(_FIELDS, f).alias("field"),
+        F.when(p % 3 == 0, F.array(F.lit("cisco"))).when(p % 3 == 1, F.array(F.lit("arista"), F.lit("cisco"))).otherwise(F.array(F.lit("*"), F.lit("cisco"))).alias("vendors"),
+        F.array(F.when(p % 200 < 4, "ios").when(p % 200 < 8, "nxos").when(p % 200 < 12, "*").otherwise(F.concat(F.lit("os"), p % 200))).alias("os_families"),
+        pick(_POLICIES, size % 5).alias("on_absent_default"), pick(_POLICIES, size % 3).alias("on_absent_unsupported"), F.lit("unknown").alias("on_capability_unknown"),
+    )
+
+    def cell(n: int, op: str | Column, kind: str = "none", b: bool | None = None, num: Column | None = None, s: Column | None = None) -> Column:
+        null = F.lit(None)
+        return F.struct(
+            F.lit(n).alias("ordinal"), (F.lit(op) if isinstance(op, str) else op).alias("op"), F.lit(kind).alias("kind"), F.lit(b).cast("boolean").alias("b"),
+            (null if num is None else num).cast("double").alias("n"), (null if s is None else s).cast("string").alias("s"),
+            F.array().cast("array<string>").alias("l"), F.array().cast("array<double>").alias("ln"),
+        )
+
+    first = (
+        F.when(f == 0, cell(1, "gte", "num", num=p % 3)).when(f == 1, cell(1, F.when(p % 8 < 4, "is_true").otherwise("is_false")))
+        .when(f == 2, cell(1, "equals", "str", s=F.lit("BUILDING"))).otherwise(cell(1, "contains", "str", s=F.concat(F.lit("10.0.0."), p % 3)))
+    )
+    second = F.when(f == 0, cell(2, "lte", "num", num=F.lit(2))).when(f == 1, cell(2, "equals", "bool", b=True)).otherwise(cell(2, "non_empty"))
+    conditions = part.select("rule_id", F.inline(F.array_compact(F.array(F.when(size % 2 == 0, second), first))))
+    refs = part.where(p % 2 == 0).select("rule_id", pick(("nist", "cis", "stig"), p % 3).alias("framework"), F.concat(F.lit("C-"), p).alias("control_id"))
+    gaps = part.where(p % 7 == 0).select("rule_id", F.lit("nist").alias("framework"), F.concat(F.lit("size "), "p_size").alias("reason"))
+    return ev.Rulebook(rules, conditions, refs, gaps)
+
+
+_PART_RULES = f"""{OBS_CTE}, pr AS (SELECT 'P-' || p_partkey AS rule_id, p_partkey AS p, p_size AS z, p_partkey % 4 AS f, [{', '.join(quote(x) for x in _FIELDS)}][(p_partkey % 4 + 1)::INT] AS field,
+   CASE p_partkey % 3 WHEN 0 THEN ['cisco'] WHEN 1 THEN ['arista', 'cisco'] ELSE ['*'] END AS vendors,
+   CASE WHEN p_partkey % 200 < 4 THEN 'ios' WHEN p_partkey % 200 < 8 THEN 'nxos' WHEN p_partkey % 200 < 12 THEN '*' ELSE 'os' || (p_partkey % 200) END AS os,
+   {_sql_list(_POLICIES)}[(p_size % 5 + 1)::INT] AS absent, {_sql_list(_POLICIES)}[(p_size % 3 + 1)::INT] AS unsupported FROM part),
+  pp AS (SELECT v.device_id, pr.*, o.state, o.unknown_reason AS obs_reason, o.ev, o.ref,
+     CASE o.state WHEN 'absent_default' THEN absent WHEN 'absent_unsupported' THEN unsupported ELSE 'unknown' END AS action,
+     CASE pr.f WHEN 0 THEN CASE WHEN vt = 'num' THEN vn >= p % 3 END WHEN 1 THEN CASE WHEN vt = 'bool' THEN vb = (p % 8 < 4) END WHEN 2 THEN CASE WHEN vt = 'str' THEN vs = 'BUILDING' END
+       ELSE CASE WHEN vt = 'list' THEN list_contains(vl, '10.0.0.' || (p % 3)) END END AS o1,
+     CASE WHEN z % 2 = 1 THEN true ELSE CASE pr.f WHEN 0 THEN CASE WHEN vt = 'num' THEN vn <= 2 END WHEN 1 THEN CASE WHEN vt = 'bool' THEN vb END
+       WHEN 2 THEN CASE WHEN vt = 'str' THEN length(vs) > 0 END ELSE CASE WHEN vt = 'list' THEN len(vl) > 0 END END END AS o2,
+     CASE pr.f WHEN 0 THEN 'gte ' || (p % 3) WHEN 1 THEN CASE WHEN p % 8 < 4 THEN 'enabled' ELSE 'disabled' END WHEN 2 THEN 'equals ''BUILDING''' ELSE 'contains ''10.0.0.' || (p % 3) || '''' END ||
+       CASE WHEN z % 2 = 1 THEN '' ELSE ' and ' || CASE pr.f WHEN 0 THEN 'lte 2' WHEN 1 THEN 'equals True' ELSE 'at least one value configured' END END AS expected
+   FROM pr JOIN dev v ON (pr.vendors[1] = '*' OR coalesce(list_contains(pr.vendors, v.vendor), false)) AND (pr.os = '*' OR coalesce(pr.os = v.os_family, false))
+   LEFT JOIN obs o ON o.device_id = v.device_id AND o.field = pr.field),
+  pj AS (SELECT *, CASE WHEN o1 IS NULL OR o2 IS NULL THEN NULL ELSE o1 AND o2 END AS outcome, coalesce(state = 'present' OR action = 'evaluate', false) AS judge,
+     coalesce(ev, 0) > 0 OR coalesce(ref <> '', false) AS proven FROM pp)"""
+
+
+@query(
+    "c18_rule_tables",
+    f"WITH {_PART_RULES} SELECT device_id, rule_id, expected, CASE WHEN state IS NULL THEN 'unknown' WHEN judge THEN CASE WHEN outcome IS NULL OR NOT proven THEN 'unknown' WHEN outcome THEN 'pass' ELSE 'fail' END "
+    "WHEN action IN ('pass', 'fail', 'not_applicable') THEN action ELSE 'unknown' END AS status FROM pj",
+)
+def c18_rule_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of rules that are rows: operators, operands, scopes and policies all come from a table."""
+    return ev.evaluate_fleet(devices(spark, sf), observations(spark, sf), part_rules(spark, sf)).select("device_id", "rule_id", "expected", "status")
+
+
+@query("c34_gap_tables", f"WITH {_PART_RULES} SELECT device_id, rule_id, 'nist' AS framework, 'size ' || z AS reason FROM pp WHERE p % 7 = 0")
+def c34_gap_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return fw.gap_reasons(devices(spark, sf), part_rules(spark, sf))
+
+
+def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Index files written from the parts, a document of each framework in files of some thousand ids, and read again; one file in ten lacks its edition."""
+    p = F.col("p_partkey")
+    rows = d.table(spark, sf, "part").select(
+        F.element_at(F.array(*[F.lit(x) for x in ("nist", "cis", "stig")]), (p % 3 + 1).cast("int")).alias("framework"), F.floor(p / 300).cast("int").alias("part"),
+        F.when(F.col("p_size") % 7 == 0, "withdrawn").otherwise("controls").alias("section"), F.concat(F.lit("C-"), p).alias("id"),
+    )
+    ids = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.concat(F.lit("- "), "id")))), "\n")
+    edition = F.when(F.col("part") % 10 == 4, "").otherwise("edition: '7.1'\n")
+    head = F.concat(F.lit("# made\nframework: "), "framework", F.lit('\ndocument: "Standard '), "framework", F.lit('"\n'), edition, F.lit("source_note: a: b\n  folded\ncovers:\n  vendor: cisco\n"))
+    text = rows.groupBy("framework", "part").agg(F.concat(head, F.lit("controls:\n"), ids("controls"), F.lit("\nwithdrawn:\n"), ids("withdrawn"), F.lit("\n")).alias("text"))
+    path = f"{checkpoint_dir(spark)}/catalogs-{uuid.uuid4().hex}"
+    text.withColumn("folder", F.concat_ws("-", "framework", "part")).select("folder", "text").write.partitionBy("folder").text(path)
+    return catalogs.read_catalogs(spark, path)
+
+
+_CATALOG_CTE = """ctl AS (SELECT ['nist', 'cis', 'stig'][(p_partkey % 3 + 1)::INT] AS framework, 'C-' || p_partkey AS control_id, CASE WHEN p_size % 7 = 0 THEN 'withdrawn' ELSE 'live' END AS status
+   FROM part WHERE (p_partkey // 300) % 10 <> 4),
+  asked AS (SELECT DISTINCT l_suppkey, l_partkey, ['nist', 'cis', 'stig', 'iso'][(l_partkey % 3 + 1 + CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END)::INT] AS framework, 'C-' || l_partkey AS control_id FROM lineitem)"""
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.col("l_partkey") % 3 + 1 + F.when(F.col("l_suppkey") % 10 == 0, 1).otherwise(0)
+    framework = F.element_at(F.array(*[F.lit(x) for x in ("nist", "cis", "stig", "iso")]), at.cast("int"))
+    return d.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", framework.alias("framework"), F.concat(F.lit("C-"), "l_partkey").alias("control_id")).distinct()
+
+
+@query(
+    "c26_catalog_files",
+    f"WITH {_CATALOG_CTE} SELECT a.*, coalesce(status, 'unknown') AS status, CASE WHEN a.framework <> 'iso' THEN 'Standard ' || a.framework || ', edition 7.1, control ' || a.control_id END AS citation "
+    "FROM asked a LEFT JOIN ctl c ON c.framework = a.framework AND c.control_id = a.control_id",
+)
+def c26_catalog_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookup over whole catalogs read from index files."""
+    found = catalog_files(spark, sf)
+    return fw.control_lookup(_asked(spark, sf), catalogs.controls(found), catalogs.editions(found))
+
+
+@query(
+    "c33_catalog_files",
+    f"WITH {_CATALOG_CTE}, ref AS (SELECT DISTINCT 'rule-' || l_suppkey AS rule_id, framework, control_id FROM asked) SELECT rule_id, framework || ' ' || control_id AS subject, 'control_not_live' AS problem "
+    "FROM ref WHERE NOT EXISTS (SELECT 1 FROM ctl c WHERE c.framework = ref.framework AND c.control_id = ref.control_id AND c.status = 'live')",
+)
+def c33_catalog_files(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _asked(spark, sf).select(F.concat(F.lit("rule-"), "l_suppkey").alias("rule_id"), "framework", "control_id")
+    return fw.mapping_problems(refs, refs.select("rule_id", "framework").limit(0), catalogs.controls(catalog_files(spark, sf)))
+
+
 # ---- frameworks -------------------------------------------------------------------------
 
 def _cov_sql(c) -> str:

@@ -12,10 +12,10 @@ from pyspark.sql import Row, functions as F
 
 from fleetsift.functions import conditions as cond, netaddr, secrets, shape
 from fleetsift.functions import text as tx
-from fleetsift.operators import acl, baseline, detect, ingest, learn, ledger, reads, remediation, scan, structures, tree
+from fleetsift.operators import acl, baseline, detect, evaluate, frameworks, ingest, learn, ledger, reads, remediation, scan, structures, tree
 from fleetsift.plans import load_all
 from fleetsift.plans.registry import QUERIES
-from fleetsift.sources import files, packs, sinks, tables
+from fleetsift.sources import catalogs, files, packs, sinks, tables
 from fleetsift.streaming import landing
 from tests.conftest import SF
 
@@ -195,6 +195,51 @@ def test_structures_take_one_pass(spark, name):
     assert (plan.count("MapInArrow"), plan.count("Relation ["), plan.count("Join ")) == (1, 1, 0)
 
 
+def test_hundred_thousand_rules_are_a_table(spark):
+    """Every applicable pair and its verdict, from a hundred thousand rules over thirty platforms and any."""
+    n = 100_000
+    ids = spark.range(n).select(F.col("id"), F.concat(F.lit("r"), "id").alias("rule_id"))
+    rules = ids.select(
+        F.col("id").alias("rule_ord"), "rule_id", F.lit("low").alias("severity"), F.lit("f").alias("field"),
+        F.when(F.col("id") % 100 == 0, F.array(F.lit("*"), F.lit("v1"))).otherwise(F.array(F.concat(F.lit("v"), F.col("id") % 30))).alias("vendors"), F.array(F.lit("*")).alias("os_families"),
+        F.lit("evaluate").alias("on_absent_default"), F.lit("fail").alias("on_absent_unsupported"), F.lit("unknown").alias("on_capability_unknown"),
+    )
+    null = lambda t: F.lit(None).cast(t)
+    conds = ids.select("rule_id", F.lit(1).alias("ordinal"), F.lit("gt").alias("op"), F.lit("num").alias("kind"), null("boolean").alias("b"), (F.col("id") % 7).cast("double").alias("n"), null("string").alias("s"), null("array<string>").alias("l"), null("array<double>").alias("ln"))
+    refs, gaps = ids.where("id % 2 = 0").select("rule_id", F.lit("nist").alias("framework"), F.lit("X").alias("control_id")), ids.limit(0).select("rule_id", F.lit("").alias("framework"), F.lit("").alias("reason"))
+    book = evaluate.Rulebook(rules, conds, refs, gaps)
+    devices = spark.createDataFrame([(f"d{i}", f"v{i}" if i < 30 else None, "o") for i in range(32)], "device_id string, vendor string, os_family string")
+    shape_ = "device_id string, field string, state string, unknown_reason string, value_type string, v_bool boolean, v_num double, v_str string, v_list array<string>, evidence_count int, default_ref string"
+    obs = spark.createDataFrame([(f"d{i}", "f", "present", None, "num", None, float(i % 7), None, None, 1, None) for i in range(32) if i != 5], shape_)
+    got = {(r.device_id, r.status): r.n for r in evaluate.evaluate_fleet(devices, obs, book).groupBy("device_id", "status").agg(F.count("*").alias("n")).collect()}
+    want = {}
+    for i in range(32):
+        for r in range(n):
+            if r % 100 == 0 or (i < 30 and r % 30 == i):
+                status = "unknown" if i == 5 else "pass" if i % 7 > r % 7 else "fail"
+                want[f"d{i}", status] = want.get((f"d{i}", status), 0) + 1
+    assert got == want
+    chosen = evaluate.applicable_rules(devices.where("device_id = 'd3'"), book, ["nist"])
+    assert chosen.count() == sum((r % 100 == 0 or r % 30 == 3) and r % 2 == 0 for r in range(n)) and evaluate.applicable_rules(devices, book, ["iso"]).isEmpty()
+
+
+def test_catalog_files(spark, tmp_path):
+    texts = {
+        "a.yaml": "# c\nframework: nist\ndocument: \"Doc: one\"\nedition: 5.2.0\nnote: x\n  document: folded\ncovers:\n  vendor: cisco\n  os_version: ^17\\.\ncontrols:\n- AC-01\n- AC-02(01)\nwithdrawn:\n- AC-13\n",
+        "b.yaml": "framework: cis\nedition: 1\ncontrols:\n- 1.1\n", "c.yaml": "document: d\nedition: 1\ncontrols:\n- 1.1\n",
+        "d.yaml": "framework: cis\ndocument: d\nedition: 1\ncontrols: []\n", "e.yaml": "framework: cis\r\ndocument: d\r\nedition: 2\r\ncontrols:\r\n  - 1.1\r\n  - 1.1\r\n", "f.yaml": "x",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    found = catalogs.read_catalogs(spark, f"file://{tmp_path}")
+    assert {r.file.rsplit("/", 1)[1]: r.reason for r in found.collect()} == {"a.yaml": None, "b.yaml": "no_document", "c.yaml": "no_framework", "d.yaml": "no_controls", "e.yaml": "repeated_control", "f.yaml": "no_framework"}
+    assert sorted(map(tuple, catalogs.controls(found).collect())) == [("nist", "AC-01", "live"), ("nist", "AC-02(01)", "live"), ("nist", "AC-13", "withdrawn")]
+    assert [tuple(r) for r in catalogs.editions(found).collect()] == [("nist", "5.2.0", "Doc: one", "cisco", None, "^17\\.")]
+    asked = spark.createDataFrame([("nist", "AC-02(01)"), ("nist", "AC-13"), ("cis", "1.1")], "framework string, control_id string")
+    looked = {(r.framework, r.control_id): (r.status, r.citation) for r in frameworks.control_lookup(asked, catalogs.controls(found), catalogs.editions(found)).collect()}
+    assert looked == {("nist", "AC-02(01)"): ("live", "Doc: one, edition 5.2.0, control AC-02(01)"), ("nist", "AC-13"): ("withdrawn", "Doc: one, edition 5.2.0, control AC-13"), ("cis", "1.1"): ("unknown", None)}
+
+
 def brute_kinds(entries):
     def covers(o, i):
         if o["est"] and not i["est"]:
