@@ -8,17 +8,17 @@ sample.  Prediction reads whole texts: every n-gram of a text adds its row of we
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: N-grams looked up at a time, so that a very long text takes no more memory than a short one.
 STEP = 1 << 18
 
@@ -39,6 +39,7 @@ def grams(text: str, dims: int) -> Iterator[np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode category L occurs: digits, fractions, enclosed and Roman numerals are none."""
     return text is not None and _LETTER.search(text) is not None
 
 
@@ -160,17 +161,21 @@ def _sample(docs: DataFrame, id_col: str, text: str, lang: str, per_language: in
     return bags.sort_values(["lang", "h"]).groupby("lang", sort=True).head(per_language).reset_index(drop=True)
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", dims: int = 1 << 16, per_language: int = 600, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, epochs: int = 3) -> Model:
-    """Fit a model to the rows of ``docs`` where ``learn`` holds and ``lang`` is not null.
+class NothingToLearn(ValueError):
+    """No labelled row has a letter."""
+
+
+def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", dims: int = 1 << 16, per_language: int = 600, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, epochs: int = 3) -> Model:
+    """Fit a model to the rows of ``docs`` where ``learnable`` holds and ``lang`` is not null.
 
     Document frequencies count all of them.  The classifier sees at most ``per_language`` rows of each language (a documented bound), of
-    which every fifth is kept for the temperature.  Raises when no row can be learnt from.
+    which every fifth is kept for the temperature.  Raises ``NothingToLearn`` when no row can be learnt from.
     """
-    usable = docs.filter(learn & F.col(lang).isNotNull()).select(id_col, text, lang)
+    usable = docs.filter(learnable & F.col(lang).isNotNull()).select(id_col, text, lang)
     df, n = document_frequencies(usable, text, dims)
     bags = _sample(usable, id_col, text, lang, per_language, dims)
     if bags.empty:
-        raise ValueError("no labelled text to learn from")
+        raise NothingToLearn("no labelled text to learn from")
     idf = np.log((1 + n) / (1 + df)) + 1.0
     languages = sorted(bags["lang"].unique())
     number = {k: i for i, k in enumerate(languages)}
@@ -220,8 +225,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """A model of the labelled rows that are not held out, None if no such row has a letter."""
+    try:
+        return train(docs, ~held_out(id_col), id_col, text, lang)
+    except NothingToLearn:
+        return None
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Train on the labelled rows that are not held out and predict every row; an empty or unlabelled table predicts ``und``."""
-    if docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).isEmpty():
+    model = learn(docs, id_col, text, lang)
+    if model is None:
         return docs.select(*[c for c in docs.columns if c not in names], F.lit(NO_LANGUAGE).alias(names[0]), F.lit(0.0).alias(names[1]))
-    return predict(docs, train(docs, ~held_out(id_col), id_col, text, lang), text, names)
+    return predict(docs, model, text, names)
+
+
+def least_score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.001) -> float:
+    """The score below which a language is no finding: half way between chance and what all but ``share`` of the held-out rows reach that are predicted rightly.
+
+    Chance is one over the learned languages, so the bound follows their number.  It is trusted as far as the model surely beats chance on the held-out rows (three
+    standard errors off its share of right answers): a model that does not, or that has no row to show it, rejects nothing by its score.
+    """
+    chance = 1 / len(model.languages)
+    found = predict(docs.filter(held_out(id_col) & F.col(lang).isNotNull()).select(text, lang), model, text, ("_pred", "_score")).filter(F.col("_pred") != NO_LANGUAGE)
+    right = F.col("_pred") == F.col(lang)
+    reached, skill, n = found.agg(F.percentile_approx(F.when(right, F.col("_score")), share, 10_000), F.avg(right.cast("double")), F.count("*")).first()
+    if reached is None or chance == 1:
+        return 0.0
+    sure = skill - 3 * (skill * (1 - skill) / n + 1 / n**2) ** 0.5
+    return chance + (reached - chance) / 2 * max(0.0, (sure - chance) / (1 - chance)) - 1e-9

@@ -9,6 +9,7 @@ likelihoods judges the candidates; spans of the strict forms stay in any case.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,7 +90,7 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     found = []
     for m in _AT.finditer(text) if "at" in text and ("[" in text or "(" in text) else ():
         start = m.start()
-        while start > 0 and text[start - 1] in _LOCAL and m.start() - start < 64:
+        while start > 0 and text[start - 1] in _LOCAL:  # such runs are disjoint: each ends at its own sign
             start -= 1
         if start < m.start() and (d := _DOTS.match(text, m.end())):
             found.append(("email", start, d.end()))
@@ -101,15 +102,32 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     busy = sorted((s, e) for _, s, e in taken)
     starts, out = np.array([s for s, _ in busy] + [1 << 60]), []
     ends = np.maximum.accumulate(np.array([0] + [e for _, e in busy]))
-    last: list[tuple[int, int]] = []
+    accepted: list[tuple[int, int]] = []  # sorted and disjoint, so that only the neighbours can touch a newcomer
     for kind, s, e in found:
-        i = int(np.searchsorted(starts, e))
-        if ends[i] <= s and not any(a < e and s < b for a, b in last[-3:]):
+        i, k = int(np.searchsorted(starts, e)), bisect_left(accepted, (s, e))
+        if ends[i] <= s and (k == 0 or accepted[k - 1][1] <= s) and (k == len(accepted) or accepted[k][0] >= e):
             out.append((kind, s, e))
-            last.append((s, e))
+            accepted.insert(k, (s, e))
     return out
 
 
+#: What the final classifier sees of a span besides the votes, and how many values each has.
+TRAITS = {"length": 4, "digits": 3, "before": 3, "after": 3, "word": 3}
+
+
+def traits(text: str, start: int, end: int) -> int:
+    """Traits of a span as one number: length (below 8, 16, 24 or more), share of digits (none, under half, more), the characters on both sides (none or
+    space, alphanumeric, other) and the word before (none, up to three characters, longer)."""
+    size, digits = end - start, len(_digits(text[start:end]))
+    beside = lambda c: 0 if not c or c.isspace() else 1 if c.isalnum() else 2
+    words = text[max(0, start - CONTEXT) : start].split()
+    values = (min(3, size // 8), 0 if not digits else 1 if 2 * digits < size else 2, beside(text[start - 1 : start]), beside(text[end : end + 1]), 0 if not words else 1 if len(words[-1]) <= 3 else 2)
+    code = 0
+    for v, n in zip(values, TRAITS.values(), strict=True):
+        code = code * n + v
+    return code
+
+
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> int:
     """One trit for each labeler (0 against, 1 no vote, 2 for), the first the highest."""
     span, before = text[start:end], text[max(0, start - CONTEXT) : start]
@@ -161,27 +179,42 @@ def reliabilities(votes_: np.ndarray, kinds: np.ndarray, weight: np.ndarray, rou
     return likely, chance, prior
 
 
-def _features(votes_: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(kinds), 1)), *[(votes_ == v).astype(float) for v in (0, 2)], (kinds[:, None] == np.arange(len(KINDS)))], axis=1)
+def _one_hot(codes: np.ndarray) -> np.ndarray:
+    parts, rest = [], codes
+    for n in reversed(TRAITS.values()):
+        parts.append((rest[:, None] % n == np.arange(n)).astype(float))
+        rest = rest // n
+    return np.concatenate(parts[::-1], axis=1)
+
+
+def _features(votes_: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ones((len(kinds), 1)), *[(votes_ == v).astype(float) for v in (0, 2)], (kinds[:, None] == np.arange(len(KINDS))), _one_hot(codes)], axis=1)
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
 class Classifier:
-    """Logistic classifier of candidates by votes and kind."""
+    """Logistic classifier of candidates by votes, kind and the traits of the span."""
 
     weights: np.ndarray
 
-    def likelihood(self, codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(_unpack(codes), kinds) @ self.weights, -30, 30)))
+    def scores(self, votes_: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return _features(_unpack(votes_), kinds, codes) @ self.weights
+
+    def likelihood(self, votes_: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return _logistic(self.scores(votes_, kinds, codes))
 
 
-def train(codes: np.ndarray, kinds: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 50) -> Classifier:
-    """Newton's method on the counted patterns, with the likelihoods of expectation-maximisation as soft labels."""
-    x = _features(_unpack(codes), kinds)
-    target, _, _ = reliabilities(_unpack(codes), kinds, weight)
+def train(votes_: np.ndarray, kinds: np.ndarray, codes: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 50) -> Classifier:
+    """Newton's method on the counted patterns, with the likelihoods of expectation-maximisation, which sees the votes alone, as soft labels."""
+    x = _features(_unpack(votes_), kinds, codes)
+    target, _, _ = reliabilities(_unpack(votes_), kinds, weight)
     w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    for _ in range(steps if len(kinds) else 0):
+        p = _logistic(x @ w)
         slope = x.T @ (weight * (p - target)) + penalty * w
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
@@ -189,8 +222,8 @@ def train(codes: np.ndarray, kinds: np.ndarray, weight: np.ndarray, penalty: flo
     return Classifier(w)
 
 
-SPAN = "array<struct<kind:int,start:int,end:int,strict:boolean,votes:int>>"
-_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("strict", pa.bool_()), ("votes", pa.int32())]))
+SPAN = "array<struct<kind:int,start:int,end:int,strict:boolean,votes:int,traits:int>>"
+_SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("strict", pa.bool_()), ("votes", pa.int32()), ("traits", pa.int32())]))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +236,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
                 body = x.as_py() or ""
                 strict = strict_spans(body)
                 both = [(s, True) for s in strict] + [(s, False) for s in loose_spans(body, strict)]
-                rows.append([{"kind": KINDS.index(k), "start": s, "end": e, "strict": f, "votes": votes(body, k, s, e, f)} for (k, s, e), f in both])
+                rows.append([{"kind": KINDS.index(k), "start": s, "end": e, "strict": f, "votes": votes(body, k, s, e, f), "traits": traits(body, s, e)} for (k, s, e), f in both])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _SPAN)], names=["doc_id", "candidates"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, f"doc_id long, candidates {SPAN}")
@@ -216,10 +249,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     each, a null id is kept, an empty table gives no rows, and other columns play no part.
     """
     rows = shared_table(candidates(docs, id_col, text), "pii-candidates")
-    counted = rows.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().toPandas()  # one row per pattern, 5 x 81 at most
-    judged = train(counted["votes"].to_numpy(np.int64), counted["kind"].to_numpy(np.int64), counted["count"].to_numpy(float)) if len(counted) else Classifier(np.zeros(2 + 2 * len(LABELERS) + len(KINDS) - 1))
-    codes = np.arange(3 ** len(LABELERS))
-    table = [F.array(*[F.lit(float(p)) for p in judged.likelihood(codes, np.full(len(codes), k))]) for k in range(len(KINDS))]
-    of = F.array(*table)
-    spans = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["strict"].alias("strict"), of[c["kind"]][c["votes"]].alias("likelihood")))
+    # One row per pattern: 5 kinds x 81 votes x 324 traits at most, whatever the corpus.
+    counted = rows.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.traits").count().toPandas()
+    judged = train(*[counted[c].to_numpy(np.int64) for c in ("votes", "kind", "traits")], counted["count"].to_numpy(float))
+    # The score is a sum: votes and kind, then traits; each part is a literal table.
+    n, m = 3 ** len(LABELERS), int(np.prod(list(TRAITS.values())))
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    zero = judged.scores(np.zeros(m, int), np.zeros(m, int), np.arange(m))
+    by_votes = F.array(*[numbers(judged.scores(np.arange(n), np.full(n, k), np.zeros(n, int))) for k in range(len(KINDS))])
+    likelihood = lambda c: 1 / (1 + F.exp(-(by_votes[c["kind"]][c["votes"]] + numbers(zero - zero[0])[c["traits"]])))
+    spans = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["strict"].alias("strict"), likelihood(c).alias("likelihood")))
     return rows.select("doc_id", F.array_sort(F.filter(spans, lambda s: s["strict"] | (s["likelihood"] >= least))).alias("found"))
