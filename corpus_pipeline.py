@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetsift.llm import exact, langid, mixing, packing, simhash
 from fleetsift.llm.common import documents, empty_if_null, shared_table
 
-#: A language less likely than this is no finding: with four languages chance alone gives a quarter.
-LEAST_SCORE = 0.3
 #: Positions of the mix that lie together in one file.
 STRETCH = 4096
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those without a letter, without a text or without a likely language go."""
-    found = langid.identify(docs, names=("_lang_pred", "_score"))
-    return found.filter((F.col("_lang_pred") != langid.NO_LANGUAGE) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that the model knows; those without a letter, without a text or without a likely language go.
+
+    What is likely follows from the calibrated scores of held-out documents and the number of learned languages (``langid.least_score``).
+    """
+    model = langid.learn(docs)
+    if model is None:
+        return docs.limit(0)
+    found = langid.predict(docs, model, names=("_lang_pred", "_score"))
+    return found.filter((F.col("_lang_pred") != langid.NO_LANGUAGE) & (F.col("_score") >= langid.least_score(docs, model))).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
