@@ -18,8 +18,8 @@ from fleetsift.llm.common import empty_if_null, shared_table
 from fleetsift.llm.transducer import Vocabulary, build, spans, stretches, text_bytes
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
-#: Terms a task remembers before it emits their counts.
-REMEMBERED = 1 << 18
+#: Terms a task remembers before it emits their counts, and bytes of text it looks at together.
+REMEMBERED, SLICE_BYTES = 1 << 18, 1 << 21
 #: Terms of a shard, about, and bytes of transducers that are sent to the tasks at a time.  A larger vocabulary takes more readings of the text, not more memory.
 SHARD_TERMS, ROUND_BYTES = 1 << 16, 64 << 20
 #: Ordinals of a block and sources of a tile: pairs are compared in (block, tile, tile).
@@ -114,21 +114,34 @@ def recount(docs: DataFrame, vocab: DataFrame, round_bytes: int = ROUND_BYTES) -
     return shared_table(found.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "divergence-counts"), places
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of some ``SLICE_BYTES`` of text at a time; a longer text is a slice of its own."""
+    ends = np.cumsum([t.as_buffer().size for t in batch.column("text")])
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _count(docs: DataFrame, shipped) -> DataFrame:
     """Counts by ordinal, added up in the tasks as far as ``REMEMBERED`` of them go."""
 
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        at, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return [at], [np.bincount(where, np.concatenate(counts), len(at)).astype(np.int64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(shipped.value)
         groups: dict[tuple[str, str], int] = {}
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for b in (part for batch in batches for part in _slices(batch)):
             pairs = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True))
             of_text = np.array([groups.setdefault(p, len(groups)) for p in pairs], np.int64)
             langs = np.array([p[0] for p in pairs], object)
             raw, bounds = text_bytes(b.column("text"))
             starts, ends = spans(raw, bounds)
-            text = np.searchsorted(bounds, starts, "right") - 1
-            text = np.minimum(text, len(pairs) - 1)
+            text = np.minimum(np.searchsorted(bounds, starts, "right") - 1, len(pairs) - 1)
             for lang in set(langs):
                 mine = np.flatnonzero((langs == lang)[text])
                 for cut in stretches(len(mine)):
@@ -136,17 +149,22 @@ def _count(docs: DataFrame, shipped) -> DataFrame:
                     ordinal = words.ordinals(raw, starts[at], ends[at], lang)
                     known = ordinal >= 0
                     more, n = np.unique(of_text[text[at[known]]] << 40 | ordinal[known], return_counts=True)
-                    keys, first = np.unique(np.concatenate([keys, more]), return_inverse=True)
-                    counts = np.bincount(first, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                    if len(keys) >= REMEMBERED:
-                        yield _counts(keys, counts, list(groups))
-                        keys, counts = keys[:0], counts[:0]
-        yield _counts(keys, counts, list(groups))
+                    keys.append(more)
+                    counts.append(n)
+                    held += len(more)
+            if held >= 2 * REMEMBERED:
+                keys, counts = merged(keys, counts)
+                held = len(keys[0])
+                if held >= REMEMBERED:
+                    yield _counts(keys, counts, list(groups))
+                    keys, counts, held = [keys[0][:0]], [counts[0][:0]], 0
+        yield _counts(*merged(keys, counts), list(groups))
 
     return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, ordinal long, n long")
 
 
-def _counts(keys: np.ndarray, counts: np.ndarray, groups: list[tuple[str, str]]) -> pa.RecordBatch:
+def _counts(found: list[np.ndarray], n: list[np.ndarray], groups: list[tuple[str, str]]) -> pa.RecordBatch:
+    keys, counts = found[0], n[0]
     of = keys >> 40
     columns = [pa.array([groups[g][i] for g in of.tolist()], pa.string()) for i in (0, 1)]
     return pa.RecordBatch.from_arrays([*columns, pa.array(keys & ((1 << 40) - 1)), pa.array(counts)], names=["lang", "source", "ordinal", "n"])
