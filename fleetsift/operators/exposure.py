@@ -14,7 +14,7 @@ RELEVANT = (
 
 
 def device_plane(devices: DataFrame, ifaces: DataFrame, lists: DataFrame) -> DataFrame:
-    """Per device: interface counts, reachable share of management interfaces, list count."""
+    """Per device: interface counts, reachable share of management interfaces, number of lists that were read (``readable``)."""
     mgmt = F.col("is_management")
     up = (F.col("n_addresses") > 0) & F.coalesce(F.col("enabled"), F.lit(True))
     agg = ifaces.groupBy("device_id").agg(
@@ -23,7 +23,7 @@ def device_plane(devices: DataFrame, ifaces: DataFrame, lists: DataFrame) -> Dat
         F.count_if(mgmt.isNull()).alias("unclassified"),
         F.count_if(mgmt & up).alias("reachable"),
     )
-    nlists = lists.groupBy("device_id").agg(F.count("*").alias("lists"))
+    nlists = lists.groupBy("device_id").agg(F.count_if("readable").alias("lists"))
     out = devices.select("device_id").join(agg, "device_id", "left").join(nlists, "device_id", "left")
     filled = out.fillna(0, ["interfaces", "management", "unclassified", "reachable", "lists"])
     return filled.withColumn(

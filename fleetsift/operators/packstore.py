@@ -24,9 +24,9 @@ def semver(version: Column) -> Column:
 def active_versions(versions: DataFrame, pins: DataFrame) -> DataFrame:
     """One row per pack: its active version, or what is wrong with the selection.
 
-    A pin wins over the status; two active versions and a pin without a version are errors.
+    A pin wins over the status; two active versions and a pin without a version are errors.  ``pins``: pack_id, version and whether it is ``pinned``; of several pins the smallest counts.
     """
-    pinned = pins.select("pack_id", F.col("version").alias("pinned"))
+    pinned = pins.groupBy("pack_id").agg(F.min(F.when(F.col("pinned"), F.col("version"))).alias("pinned")).where(F.col("pinned").isNotNull())
     joined = versions.join(pinned, "pack_id", "full_outer")
     chosen = F.when(F.col("pinned").isNotNull(), F.col("pinned") == F.col("version")).otherwise(F.col("status") == "active")
     agg = joined.groupBy("pack_id").agg(

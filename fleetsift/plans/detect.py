@@ -132,7 +132,7 @@ def d07_identity_projection(spark: SparkSession, sf: str) -> DataFrame:
 PACK_CTE = """pack_version AS (SELECT p_brand || '/' || p_type AS pack_id, '1.' || p_size || '.' || (p_partkey % 12) AS version,
   CASE WHEN p_partkey % 9 = 0 THEN 'active' WHEN p_partkey % 9 = 1 THEN 'validated' ELSE 'deprecated' END AS status FROM part),
 pin AS (SELECT s_nationkey AS n, 'Brand#' || s_nationkey || '/' || CASE WHEN s_suppkey % 2 = 0 THEN 'ECONOMY' ELSE 'STANDARD' END AS pack_id,
-  '1.' || (s_suppkey % 50) || '.' || (s_suppkey % 12) AS version FROM supplier WHERE s_acctbal < 0),
+  '1.' || (s_suppkey % 50) || '.' || (s_suppkey % 12) AS version FROM supplier WHERE s_acctbal < 0), -- the others are not pinned
 pins AS (SELECT pack_id, min(version) AS version FROM pin GROUP BY 1),
 pv AS (SELECT DISTINCT * FROM pack_version),
 chosen AS (SELECT v.pack_id, v.version FROM pv v LEFT JOIN pins p USING (pack_id)
@@ -149,12 +149,11 @@ def _pack_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ).distinct()
     kind = F.when(F.col("s_suppkey") % 2 == 0, "ECONOMY").otherwise("STANDARD")
     pins = (
-        d.table(spark, sf, "supplier").where(F.col("s_acctbal") < 0)
+        d.table(spark, sf, "supplier")
         .select(
             F.concat(F.lit("Brand#"), "s_nationkey", F.lit("/"), kind).alias("pack_id"),
-            F.concat(F.lit("1."), F.col("s_suppkey") % 50, F.lit("."), F.col("s_suppkey") % 12).alias("version"),
+            F.concat(F.lit("1."), F.col("s_suppkey") % 50, F.lit("."), F.col("s_suppkey") % 12).alias("version"), (F.col("s_acctbal") < 0).alias("pinned"),
         )
-        .groupBy("pack_id").agg(F.min("version").alias("version"))
     )
     return versions, pins
 

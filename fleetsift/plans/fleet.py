@@ -219,11 +219,11 @@ def x12_sequence_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 PLANE_CTE = """ifc AS (SELECT 'c-' || o_custkey AS device_id, CASE o_orderpriority WHEN '1-URGENT' THEN true WHEN '2-HIGH' THEN false WHEN '3-MEDIUM' THEN CASE WHEN o_custkey % 2 = 0 THEN true ELSE false END ELSE CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE false END END AS is_management,
    CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS enabled, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_addresses FROM orders),
-  lst AS (SELECT 'c-' || o_custkey AS device_id FROM orders WHERE o_totalprice > 420000),
+  lst AS (SELECT 'c-' || o_custkey AS device_id, o_totalprice > 420000 AS readable FROM orders),
   plane AS (SELECT d.device_id, coalesce(i.interfaces, 0) AS interfaces, coalesce(i.management, 0) AS management, coalesce(i.unclassified, 0) AS unclassified, coalesce(reachable, 0) AS reachable, coalesce(l.lists, 0) AS lists,
     CASE WHEN coalesce(management, 0) > 0 THEN reachable::DOUBLE / management ELSE 0.0 END AS reachability FROM dev d
     LEFT JOIN (SELECT device_id, count(*) AS interfaces, count(*) FILTER (is_management) AS management, count(*) FILTER (is_management IS NULL) AS unclassified,
-      count(*) FILTER (is_management AND n_addresses > 0 AND coalesce(enabled, true)) AS reachable FROM ifc GROUP BY 1) i USING (device_id) LEFT JOIN (SELECT device_id, count(*) AS lists FROM lst GROUP BY 1) l USING (device_id))"""
+      count(*) FILTER (is_management AND n_addresses > 0 AND coalesce(enabled, true)) AS reachable FROM ifc GROUP BY 1) i USING (device_id) LEFT JOIN (SELECT device_id, count(*) FILTER (readable) AS lists FROM lst GROUP BY 1) l USING (device_id))"""
 ASSESS_CTE = f"""{FINDINGS_CTE}, {PLANE_CTE}, assessed AS (SELECT f.device_id, f.rule_id, f.severity, f.field, p.*, CASE WHEN f.field NOT IN ({', '.join("'" + x + "'" for x in ex.RELEVANT)}) THEN 'not_exposure_relevant'
     WHEN p.interfaces = 0 THEN 'no_interface_data' WHEN management = 0 AND unclassified > 0 THEN 'indeterminate_interfaces' WHEN lists = 0 THEN 'no_acl_data' ELSE 'determined' END AS determinacy,
     round(least(1.0, reachability * CASE severity {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY_WEIGHT.items())} END), 4) AS sc FROM finding f JOIN plane p USING (device_id))"""
@@ -241,7 +241,8 @@ def plane(spark: SparkSession, sf: str) -> DataFrame:
         dev, mgmt.alias("is_management"), F.when(F.col("o_orderstatus") == "O", F.lit(True)).when(F.col("o_orderstatus") == "F", F.lit(False)).alias("enabled"),
         F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(1).alias("n_addresses"),
     )
-    return ex.device_plane(devices(spark, sf), ifaces, o.where(F.col("o_totalprice") > 420000).select(dev))
+    # Every order has a list; that of a small one could not be read.
+    return ex.device_plane(devices(spark, sf), ifaces, o.select(dev, (F.col("o_totalprice") > 420000).alias("readable")))
 
 
 def assessed(spark: SparkSession, sf: str) -> DataFrame:

@@ -385,13 +385,13 @@ def h07_domain_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "h08_contamination",
-    f"WITH {INDEX_CTE}, all_idx AS (SELECT text, origin FROM idx UNION ALL SELECT trim(text), 'd' || doc_id FROM cfg_line WHERE line_number = 1 AND doc_id % 7 = 0 AND trim(text) <> '') "
+    f"WITH {INDEX_CTE}, all_idx AS (SELECT text, origin FROM idx UNION ALL SELECT trim(text), 'd' || doc_id || ':' || line_number FROM cfg_line WHERE trim(text) <> '') "
     "SELECT text, origin FROM all_idx WHERE text IN (SELECT text FROM dl WHERE split <> 'dev') AND text NOT IN (SELECT text FROM dl WHERE split = 'dev')",
 )
 def h08_contamination(spark: SparkSession, sf: str) -> DataFrame:
-    """The index, and first lines of some documents of every split that somebody took for examples."""
-    first = d.doc_lines(spark, sf, F.col("doc_id") % 7 == 0).where((F.col("line_number") == 1) & (F.trim("text") != ""))
-    index = _index(spark, sf).select("text", "origin").unionByName(first.select(F.trim("text").alias("text"), F.concat(F.lit("d"), "doc_id").alias("origin")))
+    """The index, and all lines of all documents of every split, as if somebody had taken them for examples."""
+    taken = d.doc_lines(spark, sf).where(F.trim("text") != "")
+    index = _index(spark, sf).select("text", "origin").unionByName(taken.select(F.trim("text").alias("text"), F.concat(F.lit("d"), "doc_id", F.lit(":"), "line_number").alias("origin")))
     return hygiene.contaminated(index, _split_lines(spark, sf)).select("text", "origin")
 
 

@@ -183,10 +183,10 @@ def q04_first_owner(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("file_id")).agg(F.min_by(F.col("o_orderkey") % 5, "o_orderkey").alias("owner_id"))
 
 
-@query("q05_runs_list", "SELECT o_orderkey AS audit_id FROM orders WHERE o_custkey % 5 = 2")
+@query("q05_runs_list", "SELECT o_orderkey AS audit_id, o_custkey % 5 AS owner_id FROM orders")
 def q05_runs_list(spark: SparkSession, sf: str) -> DataFrame:
-    mine = d.table(spark, sf, "orders").where(F.col("o_custkey") % 5 == 2)
-    return reads.listing(mine, (F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).select(F.col("o_orderkey").alias("audit_id"))
+    runs = d.table(spark, sf, "orders").withColumn("owner_id", F.col("o_custkey") % 5)
+    return reads.listing(runs, (F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).select(F.col("o_orderkey").alias("audit_id"), "owner_id")
 
 
 _LATEST = "latest AS (SELECT o_custkey AS n, max(o_orderkey) FILTER (o_orderdate = md) AS audit_id FROM orders JOIN (SELECT o_custkey, max(o_orderdate) AS md FROM orders GROUP BY 1) USING (o_custkey) GROUP BY 1)"
@@ -399,10 +399,12 @@ def s20_run_sink(spark: SparkSession, sf: str) -> DataFrame:
     runs = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("audit_id"), F.col("o_orderdate").alias("run_date"), F.col("o_custkey").alias("started_by"))
     found = findings(spark, sf).withColumn("audit_id", F.regexp_extract("device_id", r"(\d+)$", 1).cast("bigint"))
     path = _folder(spark, "runs")
-    sinks.save_run(runs.withColumn("run_date", F.date_trunc("month", "run_date").cast("date")), found.select("finding_id", "rule_id", "status", "audit_id").join(
-        runs.select("audit_id", F.date_trunc("month", "run_date").cast("date").alias("run_date")), "audit_id"), path)
+    month = F.date_trunc("month", "run_date").cast("date")
+    rows = found.select("finding_id", "rule_id", "status", "audit_id").join(runs.select("audit_id", month.alias("run_date")), "audit_id")
+    for _ in range(2):  # as a job does that is repeated after it has written all
+        sinks.save_run(runs.withColumn("run_date", month), rows, path)
     dates = runs.select("audit_id", F.col("run_date").alias("day"))
-    return spark.read.parquet(f"{path}/finding").join(dates, "audit_id").select("finding_id", "rule_id", "status", "audit_id", F.col("day").alias("run_date"))
+    return sinks.read_runs(spark, path, "finding").join(dates, "audit_id").select("finding_id", "rule_id", "status", "audit_id", F.col("day").alias("run_date"))
 
 
 @query(
@@ -415,16 +417,19 @@ def s23_residue_sink(spark: SparkSession, sf: str) -> DataFrame:
     files = d.table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"))
     path, n, line = _folder(spark, "residue"), F.col("file_id"), F.col("line_number")
     sinks.replace_residue(lines.where(line % 3 == 0), files, path, 1)
-    sinks.replace_residue(lines.where((n % 4 == 0) & (line % 5 == 0)), files.where(n % 2 == 0), path, 2)
+    for _ in range(2):
+        sinks.replace_residue(lines.where((n % 4 == 0) & (line % 5 == 0)), files.where(n % 2 == 0), path, 2)
     return sinks.current_residue(spark, path).select("file_id", "line_number", "text")
 
 
-@query("s24_training_examples", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0")
+@query("s24_training_examples", "SELECT conv_id, turn, text, conv_id % 3 <> 0 AS confirmed FROM conversations WHERE role = 'user'")
 def s24_training_examples(spark: SparkSession, sf: str) -> DataFrame:
-    c = d.table(spark, sf, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % 3 != 0))
+    """Every user turn as an example, whether its decision was confirmed or not; the batch is written twice and read once."""
+    c = d.table(spark, sf, "conversations").where(F.col("role") == "user")
     path, day = _folder(spark, "examples"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 7).cast("int"))
-    sinks.append_examples(c.select("conv_id", "turn", "text", day.alias("decided_on")), path)
-    return reads.listing(spark.read.parquet(path), ("conv_id", "turn")).select("conv_id", "turn", "text")
+    for _ in range(2):
+        sinks.append_examples(c.select("conv_id", "turn", "text", (F.col("conv_id") % 3 != 0).alias("confirmed"), day.alias("decided_on")), path, "first")
+    return reads.listing(sinks.read_examples(spark, path), ("conv_id", "turn")).select("conv_id", "turn", "text", "confirmed")
 
 
 # ---- remediation and report ------------------------------------------------------------

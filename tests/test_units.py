@@ -429,6 +429,30 @@ def test_sinks_replace_and_refuse(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "runs/finding")).count() == 1
 
 
+def test_repeated_and_broken_writes_change_nothing(spark, tmp_path, monkeypatch):
+    runs, path = spark.createDataFrame([("r1", "2024-01-01", 1), ("r2", "2024-01-02", 2)], "audit_id string, run_date string, n int"), str(tmp_path / "runs")
+    found = runs.select("audit_id", "run_date", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("finding_id"))
+    read = lambda table: sorted(tuple(r) for r in sinks.read_runs(spark, path, table).select("audit_id", "run_date").collect())
+    whole = sinks._commit
+    monkeypatch.setattr(sinks, "_commit", lambda keys, where, attempt: whole(keys.limit(0), where, attempt))  # breaks off before the manifest
+    sinks.save_run(runs, found, path)
+    assert read("audit_run") == read("finding") == []
+    monkeypatch.setattr(sinks, "_commit", whole)
+    for some in (runs.where("n = 1"), runs, runs):
+        sinks.save_run(some, found.join(some.select("audit_id"), "audit_id"), path)
+        n = 1 if some is not runs else 2
+        assert len(read("audit_run")) == n and len(read("finding")) == 2 * n
+    path = str(tmp_path / "residue")
+    rows, one = spark.createDataFrame([("a", 1, "x")], "file_id string, line_number int, text string"), spark.createDataFrame([("a",)], "file_id string")
+    for version in (1, 2, 2):
+        sinks.replace_residue(rows, one, path, version)
+    assert sinks.current_residue(spark, path).count() == 1
+    path = str(tmp_path / "examples")
+    for batch in ("b1", "b2", "b1"):
+        sinks.append_examples(runs.withColumnRenamed("run_date", "decided_on"), path, batch)
+    assert sinks.read_examples(spark, path).count() == 4
+
+
 def test_landing_stream_stores_each_file_once(spark, tmp_path):
     folder, target = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
