@@ -67,34 +67,72 @@ def apply_order(plan: DataFrame) -> DataFrame:
     )
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that may lie on a cycle: nodes without an incoming or an outgoing edge go, round by round."""
+    size = edges.count()
+    while size:
+        core = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = cut_lineage(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left = edges.count()
+        if left == size:
+            break
+        size = left
+    return edges
+
+
+def _spread(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` (node, colour): every node takes the smallest colour that reaches it along ``edges``, until none changes."""
+    state = cut_lineage(state)
+    while True:
+        pushed = edges.join(state.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+        grown = cut_lineage(state.unionByName(pushed).groupBy("node").agg(F.min("colour").alias("colour")))
+        if grown.join(state, ["node", "colour"], "left_anti").isEmpty():
+            return grown
+        state = grown
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """``edges`` (src, dst) -> (node, component) of every node that lies on a cycle; a component is named by its smallest id.
+
+    Trimming, then colouring forwards and marking backwards: nodes take the smallest id that reaches them, and what reaches that id again inside its colour is its
+    component.  Components and edges between colours go, and the rest is coloured anew.  Rounds are bounded by path lengths, never by the number of paths.  A node that needs only itself is on no cycle.
+    """
+    live = _trimmed(cut_lineage(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
+    found = live.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while not live.isEmpty():
+        nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colours = _spread(nodes.withColumn("colour", F.col("node")), live)
+        ends = live.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        inside = cut_lineage(ends.where(F.col("a") == F.col("b")).select("src", "dst"))
+        # Backwards from each colour's own node; edges stay inside a colour, so the mark is the colour.
+        marked = _spread(colours.where(F.col("node") == F.col("colour")), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        sizes = marked.groupBy("colour").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        found = found.unionByName(marked.join(sizes, "colour").select("node", F.col("colour").alias("component")))
+        rest = inside.join(marked.select(F.col("node").alias("src")), "src", "left_anti").join(marked.select(F.col("node").alias("dst")), "dst", "left_anti")
+        live = _trimmed(cut_lineage(rest.select("src", "dst")))
+    return found
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Dependency cycles, each once, as a path from its smallest id.
+    """A dependency cycle for each component: the shortest through its smallest id, of several the first by its ids.
 
-    First everything that cannot lie on a cycle is peeled away: nodes without an incoming or an
-    outgoing edge, round by round.  Paths then grow only inside that core, from the smallest id.
-    A path visits no node twice, so that rounds end at the latest with the number of nodes in the core.
+    One walk per component, in which each node is reached once; a dense component has exponentially many cycles, and mending this one is where its order can begin.
     """
-    core = cut_lineage(edges.where(F.col("src") != F.col("dst")).distinct())
-    size = core.count()
-    while True:
-        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        core = cut_lineage(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        left = core.count()
-        if left == size or left == 0:
-            break
-        size = left
-    paths = core.where(F.col("dst") > F.col("src")).select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
-    step = core.select(F.col("src").alias("last"), F.col("dst").alias("nxt"))
-    found = None
+    of = cut_lineage(cyclic_components(edges))
+    inner = edges.join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
+    inner = cut_lineage(inner.where((F.col("component") == F.col("_c")) & (F.col("src") != F.col("dst"))).select("component", "src", "dst").distinct())
+    front = of.where(F.col("node") == F.col("component")).select("component", "node", F.array("node").alias("path"))
+    reached, closed = front.select("component", "node"), None
     while True:
-        grown = paths.join(step, "last")
-        closed = grown.where(F.col("nxt") == F.col("first")).select(F.concat("path", F.array("first")).alias("path"))
-        found = closed if found is None else found.unionByName(closed)
-        paths = cut_lineage(
-            grown.where((F.col("nxt") > F.col("first")) & ~F.array_contains("path", F.col("nxt"))).select("first", F.col("nxt").alias("last"), F.concat("path", F.array("nxt")).alias("path"))
+        grown = cut_lineage(front.join(inner.withColumnRenamed("src", "node"), ["component", "node"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
+        back = grown.where(F.col("node") == F.col("component")).groupBy("component").agg(F.min("path").alias("path"))
+        closed = back if closed is None else closed.unionByName(back)
+        front = cut_lineage(
+            grown.join(back.select("component"), "component", "left_anti").join(reached, ["component", "node"], "left_anti").groupBy("component", "node").agg(F.min("path").alias("path"))
         )
-        if paths.isEmpty():
-            return found.select(F.array_join("path", " -> ").alias("cycle"))
+        if front.isEmpty():
+            return closed.select(F.array_join("path", " -> ").alias("cycle"))
+        reached = cut_lineage(reached.unionByName(front.select("component", "node")))
 
 
 def consistency(snippets: DataFrame) -> DataFrame:

@@ -493,6 +493,24 @@ def r03_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return rm.cycles(edges)
 
 
+_SKIP = "CASE WHEN n % 12 = 0 THEN n - 11 ELSE n + 1 END"
+
+
+@query(
+    "r03_components",
+    f"""WITH RECURSIVE e AS (SELECT n AS a, {_SKIP} AS b FROM (SELECT p_partkey AS n FROM part) WHERE n % 5 <> 0 UNION SELECT p_partkey, p_partkey - p_partkey % 3 FROM part WHERE p_partkey % 3 <> 0 AND p_size % 2 = 0),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""",
+)
+def r03_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings of twelve parts with gaps, and links back inside them: components of several cycles."""
+    n = F.col("p_partkey")
+    ring = F.when(n % 5 != 0, F.when(n % 12 == 0, n - 11).otherwise(n + 1))
+    back = F.when((n % 3 != 0) & (F.col("p_size") % 2 == 0), n - n % 3)
+    edges = d.table(spark, sf, "part").select(n.alias("src"), F.explode(F.array_compact(F.array(ring, back))).alias("dst"))
+    return rm.cyclic_components(edges)
+
+
 @query("r04_library_consistency", f"SELECT 'dangling_dependency' AS problem, {_N.format('p_partkey')} AS snippet_id, 'missing' AS dependency FROM part WHERE p_partkey % 97 = 0")
 def r04_library_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return rm.consistency(_library(spark, sf))

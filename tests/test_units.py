@@ -388,6 +388,25 @@ def test_bucketed_scans_cross_gaps(spark):
     assert got == {("a", 0): None, ("a", 1): 0, ("a", 5): 1, ("a", 25): 5, ("a", 26): 25, ("a", 90): 26, ("b", 3): None}
 
 
+def test_components_of_dense_and_random_graphs(spark):
+    full = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}") for i in range(30) for j in range(30)], "src string, dst string")
+    assert {r.component for r in remediation.cyclic_components(full).collect()} == {"n00"} and [r.cycle for r in remediation.cycles(full).collect()] == ["n00 -> n01 -> n00"]
+    rng = random.Random(8)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)]
+    reach = {n: {n} for n in range(40)}
+    for _ in range(40):
+        for a, b in edges:
+            for seen in reach.values():
+                if a in seen:
+                    seen.add(b)
+    want = {(n, min(m for m in range(40) if m in reach[n] and n in reach[m])) for n in range(40) if any(m != n and m in reach[n] and n in reach[m] for m in range(40))}
+    df = spark.createDataFrame(edges, "src int, dst int")
+    assert {(r.node, r.component) for r in remediation.cyclic_components(df).collect()} == want
+    for cycle in (r.cycle.split(" -> ") for r in remediation.cycles(df).collect()):
+        assert cycle[0] == cycle[-1] and all((int(a), int(b)) in edges for a, b in zip(cycle, cycle[1:], strict=False)) and (int(cycle[0]), int(cycle[0])) in want
+    assert remediation.cycles(df.limit(0)).collect() == []
+
+
 def test_cycles_and_order(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("f", "e")], "src string, dst string")
     assert sorted(r.cycle for r in remediation.cycles(edges).collect()) == ["a -> b -> c -> a", "e -> f -> e"]
