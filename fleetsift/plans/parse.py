@@ -77,15 +77,14 @@ def p04_line_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p05_literal_blocks",
-    "WITH " + d.CONFIG_CTE + " SELECT k, CASE WHEN k % 3 = 0 THEN 3 END AS opened_after, CASE WHEN k % 3 = 0 THEN 1 END AS lines_swallowed FROM device_config WHERE pr = '1-URGENT' AND k % 3 = 0",
+    f"WITH {CFG} SELECT k, max(line_number) FILTER (tpl = 24) + 1 AS opened_after, max(line_number) - max(line_number) FILTER (tpl = 24) - 1 AS lines_swallowed FROM cfgl "
+    "WHERE pr = '1-URGENT' AND k % 3 = 0 GROUP BY k",
 )
 def p05_literal_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """A banner that never closes swallows the rest of its file and is reported."""
-    base = d.device_config(spark, sf).where(F.col("pr") == "1-URGENT")
-    body = F.when(F.col("k") % 3 == 0, F.concat(F.lit("version 1\nbanner motd #\nopen "), "k")).otherwise(
-        F.concat(F.lit("version 1\nbanner motd #\nclosed "), "k", F.lit("\n#"))
-    )
-    files = detect.with_lines(base.withColumn("text", body))
+    """All rendered files; in every third the banner's end is gone, so that it swallows the rest and is reported."""
+    base = d.device_config(spark, sf)
+    text = F.when(F.col("k") % 3 == 0, F.regexp_replace("text", r"(?m)^#$\R", "")).otherwise(F.col("text"))
+    files = detect.with_lines(base.withColumn("text", text))
     return tree.tree_errors(tree.build_tree(files, ["k"]), ["k"]).select("k", "opened_after", "lines_swallowed")
 
 
