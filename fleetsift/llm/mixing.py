@@ -1,12 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with ``a`` of every ``period`` slots gets its block ``i`` (from 0) released at slot ``floor(i period / a)`` and due by ``ceil((i+1) period / a)``.
-In each slot the released block with the earliest deadline goes next.  As the shares add up to the period no deadline is missed, and in every
+A source of weight ``w`` of a total ``W`` gets its block ``i`` (from 0) released at slot ``floor(i W / w)`` and due by ``ceil((i+1) W / w)``.
+In each slot the released block with the earliest deadline goes next.  As the shares add up to one no deadline is missed, and in every
 prefix each source is less than one block away from its target.
 
 Weights are kept as they are: releases and deadlines come from whole-number arithmetic on the exact values of the given floats, without rounding, for any number of sources.  The schedule has a row per
-block of the mix and is made in one task by a heap, as each slot depends on those before; documents meet it by equi-joins.  If a ``period`` is asked for, weights are kept to whole slots of it instead, one
-at least: all lags are zero after a period, so that the schedule of one period repeats and every document finds its place by arithmetic.
+block of the mix and is made in one task by a heap that holds a block per source, as each slot depends on those before; its rows stream out, and documents meet them by equi-joins.
 """
 
 from __future__ import annotations
@@ -16,44 +15,12 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fleetsift.llm.common import shared_table
 from fleetsift.operators.scan import dense_sequence
 
 
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of each source in a period: one at least, the rest by largest remainder, ties by name."""
-    if not 0 < len(weights) <= period:
-        raise ValueError(f"{len(weights)} sources do not fit a period of {period} slots")
-    total = sum(weights[k] for k in sorted(weights))
-    spare = period - len(weights)
-    exact = {k: spare * (weights[k] / total) for k in sorted(weights)}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out.values())]:
-        out[k] += 1
-    return out
-
-
-def period_slots(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of one period that each source gets, by earliest deadline among released blocks; ties by name."""
-    period = sum(share.values())
-    waiting = [(0, k, 0) for k in sorted(share)]
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {k: [] for k in share}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // share[k]), k, i))
-        due, k, i = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block is late")
-        out[k].append(slot)
-        if i + 1 < share[k]:
-            heapq.heappush(waiting, ((i + 1) * period // share[k], k, i + 1))
-    return out
-
-
 def schedule(weights: Mapping[str, float], needed: Mapping[str, int]) -> Iterator[tuple[str, int, int]]:
     """(source, block, slot) from slot 0 until every source has its ``needed`` blocks, by the exact weights: earliest deadline among released blocks, ties by name."""
     if not all(0 < w < float("inf") for w in weights.values()):
@@ -95,11 +62,11 @@ def _scheduled(batches: Iterator[pa.RecordBatch], weights: Mapping[str, float] |
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], names=names)
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.8, block: int = 64, period: int | None = None, id_col: str = "doc_id", source: str = "source", names: tuple[str, str, str] = ("epoch", "slot", "position")) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.8, block: int = 64, id_col: str = "doc_id", source: str = "source", names: tuple[str, str, str] = ("epoch", "slot", "position")) -> DataFrame:
     """The rows of ``docs`` in the order of the mix, each as often as its source's target asks for.
 
     ``weights`` gives each source's target (every source that occurs needs one above zero); without it the target is the source's number
-    of documents to the ``power``.  Targets are kept exactly, or to a ``period``-th if one is given, which then bounds the number of sources.  The mix is as long as it must be for every document to occur:
+    of documents to the ``power``.  Targets are kept exactly.  The mix is as long as it must be for every document to occur:
     the source that is scarcest against its target is read once, others again from their start (``epoch`` 1, 2, ...), the last block being filled up
     likewise.  Added columns: ``epoch``, ``slot`` (of the block) and ``position``, from 0 without gaps; a column of that name is replaced.  Within a source documents come in the order of
     the MD5 of their id.  A null source is a source of its own (``weights`` key "").  An empty table gives an empty mix.
@@ -108,46 +75,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     own = [c for c in docs.columns if c not in names]
     rows = docs.select(F.struct(*own).alias("_row"), key.alias("_key"), F.col(id_col).alias("_id"), F.md5(F.col(id_col).cast("string")).alias("_order"))
-    bucket = F.conv(F.substring("_order", 1, 2), 16, 10).cast("int")
+    bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
     numbered = dense_sequence(rows, "_key", F.coalesce(bucket, F.lit(-1)), ["_order", "_id"], "_rank")
-    if period is None:
-        sizes = shared_table(rows.groupBy("_key").agg(F.count("*").alias("_n")), "mix-sizes")
-        made = sizes.repartition(1).mapInArrow(lambda it: _scheduled(it, weights, power, block), "_key string, _turn long, _slot long")
-        slots = shared_table(made, "mix-slots")
-        plan = sizes.join(slots.groupBy("_key").agg((block * F.count("*")).alias("_total")), "_key")
-        placed = _epochs(numbered.join(plan, "_key")).withColumn("_turn", F.floor(_at() / block)).join(slots, ["_key", "_turn"])
-        where = F.col("_slot")
-    else:
-        placed, where = _in_periods(rows, numbered, weights, power, block, period)
-    return placed.select("_row", "_epoch", where.alias("_slot"), (where * block + _at() % block).alias("_position")).select(
+    sizes = shared_table(rows.groupBy("_key").agg(F.count("*").alias("_n")), "mix-sizes")
+    made = sizes.repartition(1).mapInArrow(lambda it: _scheduled(it, weights, power, block), "_key string, _turn long, _slot long")
+    slots = shared_table(made, "mix-slots")
+    # Written, so that Spark knows how small it is: a row per source.
+    plan = shared_table(sizes.join(slots.groupBy("_key").agg((block * F.count("*")).alias("_total")), "_key"), "mix-plan")
+    last = F.floor((F.col("_total") - 1 - F.col("_rank")) / F.col("_n")).cast("int")
+    placed = numbered.join(plan, "_key").withColumn("_epoch", F.explode(F.sequence(F.lit(0), last)))
+    place = F.col("_rank") + F.col("_epoch") * F.col("_n")
+    placed = placed.withColumn("_turn", F.floor(place / block)).join(slots, ["_key", "_turn"])
+    return placed.select("_row", "_epoch", "_slot", (F.col("_slot") * block + place % block).alias("_position")).select(
         "_row.*", F.col("_epoch").alias(epoch), F.col("_slot").cast("long").alias(slot), F.col("_position").cast("long").alias(position)
     )
-
-
-def _at() -> Column:
-    return F.col("_rank") + F.col("_epoch") * F.col("_n")
-
-
-def _epochs(placed: DataFrame) -> DataFrame:
-    return placed.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("_total") - 1 - F.col("_rank")) / F.col("_n")).cast("int"))))
-
-
-def _in_periods(rows: DataFrame, numbered: DataFrame, weights: Mapping[str, float] | None, power: float, block: int, period: int) -> tuple[DataFrame, Column]:
-    """The numbered rows once per epoch, and the slot of each."""
-    sizes = {k: n for k, n in rows.groupBy("_key").count().limit(period + 1).collect()}  # one row per source, checked below
-    if not sizes:
-        return numbered.select("*", F.lit(0).alias("_epoch"), F.lit(1).cast("long").alias("_n")), F.lit(0)
-    target = {k: float(n) ** power if weights is None else float(weights[k[1:]]) for k, n in sizes.items()}
-    share = shares(target, period)
-    slots = period_slots(share)
-    last = 0
-    for k, n in sizes.items():
-        turns, i = divmod(-(-n // block) - 1, share[k])
-        last = max(last, turns * period + slots[k][i])
-    turns, rest = divmod(last + 1, period)
-    total = {k: block * (turns * share[k] + sum(s < rest for s in slots[k])) for k in sizes}
-    plan = rows.sparkSession.createDataFrame([(k, n, share[k], total[k], slots[k]) for k, n in sizes.items()], "_key string, _n long, _share long, _total long, _slots array<int>")
-    # The plan has one row per source, at most ``period``, and ``period`` slots in all.
-    turn = F.floor(_at() / block)
-    where = F.floor(turn / F.col("_share")) * period + F.element_at("_slots", (turn % F.col("_share") + 1).cast("int"))
-    return _epochs(numbered.join(F.broadcast(plan), "_key")), where

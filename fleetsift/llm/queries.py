@@ -61,36 +61,30 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = """
 WITH RECURSIVE
 d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS k FROM documents),
-n AS (SELECT k, count(*) AS n FROM d GROUP BY k),
-w AS (SELECT list(k ORDER BY k) AS ks, list_reduce(list(pow(n::DOUBLE, 0.8) ORDER BY k), lambda a, b: a + b) AS total, count(*) AS m FROM n),
-x AS (SELECT k, n, (1000 - m) * (pow(n::DOUBLE, 0.8) / total) AS exact FROM n, w),
-y AS (SELECT k, n, 1 + floor(exact)::BIGINT AS low, row_number() OVER (ORDER BY floor(exact) - exact, k) AS rk, 1000 - sum(1 + floor(exact)::BIGINT) OVER () AS spare FROM x),
-a AS (SELECT k, n, low + CASE WHEN rk <= spare THEN 1 ELSE 0 END AS share, row_number() OVER (ORDER BY k) AS j FROM y),
-al AS (SELECT list(share ORDER BY j) AS sh FROM a),
+-- A weight is a double of 1 at least: times two to the 52nd it is a whole number.
+n AS (SELECT k, n, (n + 63) // 64 AS need, row_number() OVER (ORDER BY k) AS j, (pow(n::DOUBLE, 0.8) * 4503599627370496)::HUGEINT AS w FROM (SELECT k, count(*) AS n FROM d GROUP BY k)),
+al AS (SELECT list(w ORDER BY j) AS ws, list(need ORDER BY j) AS needs, sum(w)::HUGEINT AS total FROM n HAVING count(*) > 0),
 -- One slot a step: the released block with the earliest deadline, ties by name; a code holds deadline and source.
-s(t, done, code) AS (
-  SELECT -1::BIGINT, list_transform(sh, lambda v: 0::BIGINT), 0::BIGINT FROM al
+s(t, done, j) AS (
+  SELECT -1::BIGINT, list_transform(ws, lambda v: 0::HUGEINT), 0::HUGEINT FROM al
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda v, i: CASE WHEN i = c % 100000 THEN v + 1 ELSE v END), c
-  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(sh) + 1), lambda j: done[j] < sh[j] AND (done[j] * 1000) // sh[j] <= t + 1),
-        lambda j: (((done[j] + 1) * 1000 + sh[j] - 1) // sh[j]) * 100000 + j)) AS c FROM s, al WHERE t < 999)
+  SELECT t + 1, list_transform(done, lambda v, i: CASE WHEN i = c % 1000000 THEN v + 1 ELSE v END), c % 1000000
+  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda j: (done[j] * total) // ws[j] <= t + 1),
+        lambda j: (((done[j] + 1) * total + ws[j] - 1) // ws[j]) * 1000000 + j)) AS c
+        FROM s, al WHERE len(list_filter(range(1, len(ws) + 1), lambda j: done[j] < needs[j])) > 0)
 ),
-p AS (SELECT j, t AS slot, row_number() OVER (PARTITION BY j ORDER BY t) - 1 AS i FROM (SELECT t, code % 100000 AS j FROM s WHERE t >= 0)),
-z AS (SELECT max((((n + 63) // 64 - 1) // share) * 1000 + slot) + 1 AS slots FROM a JOIN p USING (j) WHERE p.i = ((n + 63) // 64 - 1) % share),
-g AS (SELECT j, k, n, share, 64 * ((slots // 1000) * share + (SELECT count(*) FROM p WHERE p.j = a.j AND p.slot < slots % 1000)) AS total FROM a, z),
+p AS (SELECT j, t AS slot, row_number() OVER (PARTITION BY j ORDER BY t) - 1 AS i FROM s WHERE t >= 0),
+g AS (SELECT k, j, n, 64 * count(*) AS total FROM n JOIN p USING (j) GROUP BY k, j, n),
 r AS (SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rk FROM d),
-e AS (SELECT doc_id, source, j, share, n, rk, unnest(range(0, (total - 1 - rk) // n + 1)) AS epoch FROM r JOIN g USING (k)),
+e AS (SELECT doc_id, source, j, n, rk, unnest(range(0, (total - 1 - rk) // n + 1)) AS epoch FROM r JOIN g USING (k)),
 q AS (SELECT *, rk + epoch * n AS nth FROM e)
-SELECT doc_id, source, epoch::INTEGER AS epoch, ((nth // 64) // share) * 1000 + slot AS slot, (((nth // 64) // share) * 1000 + slot) * 64 + nth % 64 AS position
-FROM q JOIN p ON p.j = q.j AND p.i = (nth // 64) % share
+SELECT doc_id, source, epoch::INTEGER AS epoch, slot, slot * 64 + nth % 64 AS position FROM q JOIN p ON p.j = q.j AND p.i = nth // 64
 """
 
 
 @query("op4_pfair_mixing", OP4_SQL)
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the thousandths that the SQL has; more sources than those, which the SQL has no result for, by their exact weights."""
-    docs = documents(spark, sf_dir).select("doc_id", "source")
-    return mixing.mix(docs, period=1000 if docs.select("source").distinct().limit(1001).count() <= 1000 else None)
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
 @query("op5_exact_dedup", OP5_SQL)

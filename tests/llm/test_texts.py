@@ -96,35 +96,36 @@ def test_cut_points():
 def test_schedule_stays_within_a_block():
     rng = np.random.default_rng(2)
     for _ in range(30):
-        share = mixing.shares({f"s{i}": float(w) for i, w in enumerate(rng.exponential(size=rng.integers(1, 25)) + 0.01)}, 200)
-        assert sum(share.values()) == 200
-        slots = mixing.period_slots(share)
-        assert sorted(s for v in slots.values() for s in v) == list(range(200))
-        for k, v in slots.items():
-            done = np.zeros(201, int)
-            done[np.array(v) + 1] = 1
-            assert (abs(done.cumsum() - share[k] / 200 * np.arange(201)) < 1).all()
+        weights = {f"s{i}": float(w) for i, w in enumerate(rng.exponential(size=rng.integers(1, 25)) + 0.01)}
+        made = list(mixing.schedule(weights, {k: 1 + i % 9 for i, k in enumerate(weights)}))
+        assert [slot for _, _, slot in made] == list(range(len(made)))
+        for i, (k, w) in enumerate(weights.items()):
+            mine = [(block, slot) for key, block, slot in made if key == k]
+            assert [block for block, _ in mine] == list(range(len(mine))) and len(mine) > i % 9
+            done = np.zeros(len(made) + 1, int)
+            done[np.array([slot for _, slot in mine]) + 1] = 1
+            assert (abs(done.cumsum() - w / sum(weights.values()) * np.arange(len(made) + 1)) < 1).all()
+    with pytest.raises(ValueError):
+        list(mixing.schedule({"a": 0.0, "b": 1.0}, {"a": 1, "b": 1}))
 
 
 def test_mix(spark):
     rows = awkward_rows()
     names = ("epoch", "slot", "position")
-    got = mixing.mix(awkward(spark, rows), block=2, period=50).collect()
+    got = mixing.mix(awkward(spark, rows), block=2).collect()
     assert sorted(r.position for r in got) == list(range(len(got)))
     first = Counter((r.doc_id, r.text) for r in got if r.epoch == 0)
     assert first == Counter((r[0], r[1]) for r in rows)
     assert all(r.slot == r.position // 2 for r in got) and set(names) < set(got[0].asDict())
-    share = mixing.shares({k: v**0.8 for k, v in Counter(r[3] or "" for r in rows).items()}, 50)
+    weight = {k: v**0.8 for k, v in Counter(r[3] or "" for r in rows).items()}
     blocks = [next(iter({r.source or "" for r in got if r.slot == s})) for s in range(len(got) // 2)]
-    for k, a in share.items():
+    for k, w in weight.items():
         done = np.cumsum([b == k for b in blocks])
-        assert (abs(done - a / 50 * np.arange(1, len(blocks) + 1)) < 1).all()
-    weighted = mixing.mix(awkward(spark, rows).withColumn("position", F.lit("mine")), {"s0": 1, "s1": 1, "s2": 1, "": 1}, block=1, period=40)
+        assert (abs(done - w / sum(weight.values()) * np.arange(1, len(blocks) + 1)) < 1).all()
+    weighted = mixing.mix(awkward(spark, rows).withColumn("position", F.lit("mine")), {"s0": 1, "s1": 1, "s2": 1, "": 1}, block=1)
     tally = Counter(r.source for r in weighted.collect())
     assert max(tally.values()) - min(tally.values()) <= 1
     assert mixing.mix(nothing(spark)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(awkward(spark, rows), period=2)
 
 
 def test_mix_keeps_the_given_weights(spark):
