@@ -1,15 +1,17 @@
-"""Links between near-equal embeddings: by a robust-pruned flat graph in a shard, by comparison where a label is larger than a shard.
+"""Links between near-equal embeddings: a robust-pruned flat graph, built on overlapping shards and searched by range from medoids.
 
-Equal vectors of a label are one class.  A label of up to ``shard`` classes is one shard.  Its graph is built by inserting batches of vectors: a greedy search from the shard's medoids proposes
-neighbours, robust pruning keeps those that no kept neighbour is much nearer to.  Then every vector is a query: greedy search from the medoids, after which everything within range is expanded
-until nothing new is in range.  Pairs are verified in double precision.
+Equal vectors of a label are one class.  A label is cut into cells: as long as a cell has too many vectors at home, a bounded sample of them become pivots and each goes home to its nearest pivot.  The cells
+overlap in two ways.  Every vector is also a member of the graphs of the next nearest cells (``overlap``).  And it asks, besides its own, every cell where one within range of it can be at home: it is then on the
+cell's side of the plane between its pivot and any other, so that it is no farther than the range from that side.
 
-A larger label is cut into cells: as long as a cell has too many vectors at home, a bounded sample of them become pivots and each goes home to its nearest pivot.  A vector also visits every
-cell where one within range of it can be at home: such a vector is on the cell's side of the plane between its pivot and any other, so that the visitor is no farther than the range from that side.
-Vectors of a cell meet its visitors in blocks, by equi-joins on (cell, block), and all pairs of a block are compared.  No link of such a label is missed; blocks return a count per vector and links that span
-their components, so that a group of near-equal vectors of any size needs no list of its pairs.
+1. Build.  The graph of a cell is made by inserting batches of its members: a greedy search from medoids proposes neighbours, robust pruning keeps those that no kept neighbour is much nearer to.
+2. Unite.  The lists that a vector got in several cells are united, in a table of one row per vector.
+3. Search.  Those at home in a cell, with their united lists, meet those that ask in blocks, by equi-joins on (cell, block).  For each that asks a greedy search runs from the medoids; what it finds and
+   what its own list names is expanded, if in range, until nothing new is in range.
+4. Verify.  Hits are checked in double precision.  A block yields a count per vector and links that span its components, so that a group of near-equal vectors of any size needs no list of its pairs.
 
-A bounded sample of classes is held against brute force, those of few links and those of many each by themselves; if less than the required share of their links was found, the search is repeated with a wider beam.
+A link ends in one cell only, that where its other end is at home, so that counts add up.  A label that fits a cell has one; there is no other path.  A bounded sample of classes is held against brute force,
+those of few links and those of many each by themselves; if less than the required share of their links was found, the search is repeated with a wider beam.
 """
 
 from __future__ import annotations
@@ -27,14 +29,13 @@ from fleetsift.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold``: least cosine of a link.  ``shard``: classes of a label that are searched by one graph; four times as many in a cell or block of a larger label.  ``overlap``: without
-    effect, as larger labels are compared and not searched in overlapping shards; still accepted.  ``degree`` and
+    """``threshold``: least cosine of a link.  ``shard``: classes at home in a cell, and those that ask it in a block.  ``overlap``: cells whose graphs a vector is a member of.  ``degree`` and
     ``beam``: neighbours of a node, and candidates kept by a search; ``medoids``: where searches begin.  ``alpha``: slack of pruning.  ``slack``: how far below the threshold a node is still
     expanded.  ``audited``: classes in the audit.  ``recall``: share of their links to be found.
     """
 
     threshold: float = 0.98
-    shard: int = 8192
+    shard: int = 4096
     overlap: int = 2
     degree: int = 16
     beam: int = 32
@@ -166,35 +167,8 @@ def connect(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, s: Settings,
     return edges
 
 
-def in_range(x: np.ndarray, edges: np.ndarray, both: tuple[np.ndarray, np.ndarray], entries: np.ndarray, queries: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(row of the query, node) for what greedy search along ``edges`` and then expansion of everything in range reach.
-
-    ``both`` has the edges in both directions (first place of each node, nodes): an expansion also goes against them.
-    """
-    nodes, sims = greedy(x, edges, entries, queries, s.beam)
-    least, (place, ends) = s.threshold - s.slack, both
-    row, col = np.nonzero(sims >= least)
-    node = nodes[row, col]
-    # What the beam saw and let go of may be in range all the same: only hits count as seen.
-    seen = np.zeros((len(queries), len(x)), bool)
-    seen[row, node] = True
-    rows, hits = [row], [node]
-    while len(row):
-        count = place[node + 1] - place[node]
-        near = ends[np.repeat(place[node] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        source = np.repeat(row, count)
-        fresh = ~seen[source, near]
-        pairs = np.unique(source[fresh] * len(x) + near[fresh])
-        source, near = pairs // len(x), pairs % len(x)
-        seen[source, near] = True
-        keep = np.concatenate([np.zeros(0, bool), *(np.einsum("ed,ed->e", queries[source[i : i + 65536]], x[near[i : i + 65536]]) >= least for i in range(0, len(near), 65536))])
-        row, node = source[keep], near[keep]
-        rows.append(row)
-        hits.append(node)
-    return np.concatenate(rows), np.concatenate(hits)
-
-
 def two_way(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges in both directions: (first place of each node, nodes)."""
     n = len(edges)
     a, b = np.repeat(np.arange(n), edges.shape[1]), edges.ravel()
     a, b = a[b >= 0], b[b >= 0]
@@ -202,29 +176,71 @@ def two_way(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, np.cumsum(np.bincount(pairs // n, minlength=n))), pairs % n
 
 
-def shards(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(cid, shard, vector) of the labels that fit a shard, and (cid, n, shard, vector, home) of larger ones: at home in one cell, a visitor in every other where a link can end."""
-    state = classes.select("cid", "n", F.xxhash64("label", F.size("vector")).alias("shard"), "vector", F.lit(True).alias("home"), F.lit(0).alias("level"))
-    state = shared_table(state, "shards-0")
-    split = state.groupBy("shard").agg(F.count("*").alias("_size")).filter(F.col("_size") > s.shard).select("shard")
-    whole = state.join(split, "shard", "left_anti").select("cid", "shard", "vector")
-    state, done, level, most = state.join(split, "shard", "left_semi"), [], 0, 4 * s.shard
+def neighbours(front: np.ndarray, both: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(query, node) for the nodes next to those of ``front``, in either direction of an edge."""
+    place, ends = both
+    out = np.zeros_like(front)
+    row, node = np.nonzero(front)
+    if len(row) < front.shape[1]:
+        count = place[node + 1] - place[node]
+        out[np.repeat(row, count), ends[np.repeat(place[node] - np.cumsum(count) + count, count) + np.arange(count.sum())]] = True
+        return out
+    # Many: every node asks its neighbours, a bit per query.
+    linked = np.flatnonzero(place[1:] > place[:-1])
+    if len(linked):
+        bits = np.packbits(front.T, axis=1)
+        near = np.bitwise_or.reduceat(bits[ends], place[linked], axis=0)
+        out[:, linked] = np.unpackbits(near, axis=1, count=len(front)).T.astype(bool)
+    return out
+
+
+def in_range(x: np.ndarray, edges: np.ndarray, both: tuple[np.ndarray, np.ndarray], entries: np.ndarray, queries: np.ndarray, known: np.ndarray, s: Settings) -> np.ndarray:
+    """(query, node): what greedy search along ``edges``, and then expansion along ``both`` of everything in range, find in range; ``known``: nodes of each query's own list, looked at too (-1: none)."""
+    nodes, sims = greedy(x, edges, entries, queries, s.beam)
+    nodes, sims = np.concatenate([nodes, known], axis=1), np.concatenate([sims, np.where(known < 0, -np.inf, np.einsum("qd,qkd->qk", queries, x[known]))], axis=1)
+    least = s.threshold - s.slack
+    row, col = np.nonzero(sims >= least)
+    # What the beam saw and let go of may be in range all the same: only hits count as seen.
+    front = np.zeros((len(queries), len(x)), bool)
+    front[row, nodes[row, col]] = True
+    hits, seen = front.copy(), front.copy()
+    while front.any():
+        near = neighbours(front, both) & ~seen
+        seen |= near
+        row, node = np.nonzero(near)
+        if len(row) > 65536:
+            front = near & (queries @ x.T >= least)
+        else:
+            close = np.einsum("ed,ed->e", queries[row], x[node]) >= least
+            front = np.zeros_like(near)
+            front[row[close], node[close]] = True
+        hits |= front
+    return hits
+
+
+#: What tells a cell: label, dimension, and the numbers of the cells it was cut from.
+CELL = ["label", "dims", "cell"]
+
+
+def cells(classes: DataFrame, s: Settings) -> DataFrame:
+    """(cid, n, label, dims, cell, vector, home, member, asks): each class in the cells where it is at home, a member of the graph, or asks."""
+    yes = F.lit(True)
+    state = classes.select("cid", "n", "label", F.size("vector").alias("dims"), F.lit("").alias("cell"), "vector", yes.alias("home"), yes.alias("member"), yes.alias("asks"))
+    done, level = [], 0
     while True:
-        state = shared_table(state, f"cells-{level}")
-        large = state.filter("home").groupBy("shard").agg(F.count("*").alias("_size")).filter(F.col("_size") > most)
+        large = state.filter("home").groupBy(*CELL).agg(F.count("*").alias("_size")).filter(F.col("_size") > s.shard)
         if large.isEmpty():
-            return whole, _union([*done, state]).select("cid", "n", "shard", "vector", "home")
+            return _union([*done, state])
         # Pivots: 16 at most of a sample of some 64 vectors of a cell.
-        count = F.least(F.lit(16), F.ceil(2 * F.col("_size") / most)).cast("int")
+        count = F.least(F.lit(16), F.ceil(2 * F.col("_size") / s.shard)).cast("int")
         hashed = F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(1 << 30))
-        drawn = state.filter("home").join(large, "shard").filter(hashed < F.lit(float(1 << 30)) * F.greatest(F.lit(64.0), 4.0 * count) / F.col("_size"))
-        pivots = drawn.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(hashed.alias("h"), "vector"))).alias("p"), F.max(count).alias("k"))
-        pivots = pivots.select("shard", F.slice("p.vector", 1, F.col("k")).alias("pivots"))
-        parted = state.join(pivots, "shard", "left")
+        drawn = state.filter("home").join(large, CELL).filter(hashed < F.lit(float(1 << 30)) * F.greatest(F.lit(64.0), 4.0 * count) / F.col("_size"))
+        pivots = drawn.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct(hashed.alias("h"), "vector"))).alias("p"), F.max(count).alias("k"))
+        pivots = shared_table(pivots.select(*CELL, F.slice("p.vector", 1, F.col("k")).alias("pivots")), f"pivots-{level}")
+        parted = state.join(pivots, CELL, "left").select(*state.columns, "pivots")
         done.append(parted.filter("pivots is null").drop("pivots"))
-        columns = parted.filter("pivots is not null").select("cid", "n", "shard", "vector", "home", "level", "pivots")
-        state = columns.mapInArrow(lambda it, t=s.threshold, n=level: _deal(it, t, n), "cid long, n long, shard long, vector array<double>, home boolean, level int")
-        level += 1
+        made = parted.filter("pivots is not null").mapInArrow(lambda it: _deal(it, s), state.schema)
+        state, level = shared_table(made, f"cells-{level}"), level + 1
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -234,55 +250,56 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _deal(batches: Iterator[pa.RecordBatch], threshold: float, level: int) -> Iterator[pa.RecordBatch]:
-    """Each vector at home goes home to its nearest pivot; all visit the other cells that they can have a link into."""
-    names, reach = ["cid", "n", "shard", "vector", "home", "level"], np.sqrt(max(0.0, 2 - 2 * threshold) + 1e-12)
+def _deal(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Each vector at home goes home to its nearest pivot and joins the graphs of the next ones; those that ask do so where they can have a link."""
+    reach = np.sqrt(max(0.0, 2 - 2 * s.threshold) + 1e-12)
     for b in batches:
-        if not b.num_rows:
-            continue
-        shard, cid, home = b.column(2).to_numpy(), b.column(0).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
-        take, to, stays = [], [], []
-        for value in np.unique(shard):
-            rows = np.flatnonzero(shard == value)
-            p = unit(b.column(6)[int(rows[0])].values)
-            sims = unit(b.column(3).take(pa.array(rows))) @ p.T
+        cid, home, member, asks = (b.column(name).to_numpy(zero_copy_only=False) for name in ("cid", "home", "member", "asks"))
+        of: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(b.column(name).to_pylist() for name in CELL), strict=True)):
+            of.setdefault(key, []).append(i)
+        for (_, _, cell), places in of.items():
+            rows = np.array(places)
+            p = unit(b.column("pivots")[places[0]].values)
+            sims = unit(b.column("vector").take(pa.array(rows))) @ p.T
             # Equal similarities are told apart by the id, so that a cell of one direction is split too.
             sims += 1e-12 * ((cid[rows, None] * 2654435761 + np.arange(len(p)) * 40503) % 1009)
             apart = np.linalg.norm(p[:, None] - p[None], axis=2)
             # Of cell c: for every other pivot j, no farther than the range from the side of c. The last term is far above the rounding and what tells ties apart.
-            enters = np.stack([(sims - sims[:, [c]] <= reach * apart[c] + 1e-8).all(axis=1) for c in range(len(p))], axis=1)
-            own = np.zeros_like(enters)
-            own[np.arange(len(rows)), sims.argmax(axis=1)] = True
-            own &= home[rows, None]
-            row, cell = np.nonzero(enters | own)
-            take.append(rows[row])
-            stays.append(own[row, cell])
-            with np.errstate(over="ignore"):
-                to.append((np.int64(value) * np.int64(6364136223846793005) + (cell + 1 + 64 * (level + 1)) * np.int64(1442695040888963407)).astype(np.int64))
-        index = pa.array(np.concatenate(take))
-        columns = [b.column(0).take(index), b.column(1).take(index), pa.array(np.concatenate(to)), b.column(3).take(index), pa.array(np.concatenate(stays)), pa.array(np.full(len(index), level + 1, np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _search_shard(members: pa.Table, s: Settings) -> pa.Table:
-    """Pairs (u, v), u < v, whose cosine in double precision reaches the threshold."""
-    cid, exact = members["cid"].to_numpy(), unit(members["vector"].combine_chunks())
-    order = np.argsort(cid)
-    cid, exact = cid[order], exact[order]
-    x = exact.astype(np.float32)
-    edges, entries = build(x, s)
-    both = two_way(edges)
-    us, vs = [], []
-    for at in range(0, len(x), 512):
-        row, node = in_range(x, edges, both, entries, x[at : at + 512], s)
-        row = row + at
-        us.append(np.minimum(row, node)[row != node])
-        vs.append(np.maximum(row, node)[row != node])
-    pairs = np.unique(np.concatenate(us) * len(cid) + np.concatenate(vs))
-    u, v = pairs // len(cid), pairs % len(cid)
-    cosine = np.concatenate([np.zeros(0), *(np.einsum("ed,ed->e", exact[u[i : i + 65536]], exact[v[i : i + 65536]]) for i in range(0, len(u), 65536))])
-    ok = cosine >= s.threshold
-    return pa.table([pa.array(cid[u[ok]]), pa.array(cid[v[ok]])], names=["u", "v"])
+            enters = np.stack([(sims - sims[:, [c]] <= reach * apart[c] + 1e-8).all(axis=1) for c in range(len(p))], axis=1) & asks[rows, None]
+            rank = np.argsort(np.argsort(-sims, axis=1), axis=1)
+            own, joins = (rank == 0) & home[rows, None], (rank < np.where(home[rows, None], s.overlap, 1)) & member[rows, None]
+            row, part = np.nonzero(enters | own | joins)
+            taken = b.take(pa.array(rows[row])).drop_columns(["pivots"])
+            new = {"cell": np.array([f"{cell}.{c}" for c in range(len(p))], object)[part], "home": own[row, part], "member": joins[row, part], "asks": enters[row, part]}
+            yield pa.RecordBatch.from_arrays([pa.array(new[name]) if name in new else taken.column(name) for name in taken.schema.names], names=taken.schema.names)
+
+
+def _dealt(rows: DataFrame, s: Settings, first: int = 0) -> DataFrame:
+    """Rows (cell, home, here, ...) in blocks.
+
+    Those that are ``here`` (at home, to be found) go to each block of their cell from ``first``, or the last; others that are at home to block 0, and the rest to one of the blocks from 1.
+    """
+    blocks = rows.groupBy(*CELL).agg(F.ceil(F.count(F.when(~F.col("home"), 1)) / s.shard).cast("int").alias("_blocks"))
+    one = F.lit(1) + F.pmod(F.xxhash64("cid", F.lit("block")), F.col("_blocks")).cast("int")
+    to = F.when(F.col("here"), F.sequence(F.least(F.lit(first), "_blocks"), F.col("_blocks"))).when(F.col("home"), F.array(F.lit(0))).otherwise(F.array(one))
+    return rows.join(blocks, CELL).withColumn("block", F.explode(to)).drop("_blocks")
+
+
+def _build_block(table: pa.Table, s: Settings) -> pa.Table:
+    """Edges (u, v) of the graph of the members."""
+    order = np.argsort(table["cid"].to_numpy())
+    cid, x = table["cid"].to_numpy()[order], unit(table["vector"].combine_chunks())[order].astype(np.float32)
+    edges, _ = build(x, s)
+    u, place = np.nonzero(edges >= 0)
+    return pa.table([pa.array(cid[u]), pa.array(cid[edges[u, place]])], names=["u", "v"])
+
+
+def united(dealt: DataFrame, s: Settings) -> DataFrame:
+    """(cid, near): the neighbours of each class in the graphs of all the cells it is a member of; ``degree`` a graph and few more."""
+    members = _dealt(dealt.filter("member").select("cid", *CELL, "vector", "home", F.col("home").alias("here")), s, first=1)
+    edges = members.groupBy(*CELL, "block").applyInArrow(lambda t: _build_block(t, s), "u long, v long")
+    return edges.groupBy(F.col("u").alias("cid")).agg(F.collect_set("v").alias("near"))
 
 
 def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,49 +314,72 @@ def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare_block(table: pa.Table, s: Settings) -> pa.Table:
-    """(u, v, others, k): for every vector that asks, with v null, its links to vectors at home here, as rows and as classes; then links (u, v) that span the components."""
-    target, cid, n = table["target"].to_numpy(), table["cid"].to_numpy(), table["n"].to_numpy()
-    x = unit(table["vector"].combine_chunks())
-    ids, place = np.unique(cid, return_inverse=True)
+def _lists(near: pa.Array, cid: np.ndarray) -> np.ndarray:
+    """United lists as places among ``cid`` (ascending), -1 where there is none; neighbours at home elsewhere are left out.  Two columns at the end are empty."""
+    count = near.value_lengths().fill_null(0).to_numpy()
+    source, ends = np.repeat(np.arange(len(near)), count), near.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(cid, ends), len(cid) - 1)
+    here = cid[place] == ends
+    source, place = source[here], place[here]
+    kept = np.bincount(source, minlength=len(near))
+    out = np.full((len(near), int(kept.max(initial=0)) + 2), -1)
+    out[source, np.arange(len(source)) - np.repeat(np.cumsum(kept) - kept, kept)] = place
+    return out
+
+
+def _search_block(table: pa.Table, s: Settings) -> pa.Table:
+    """(u, v, others, k): for every class that asks, with v null, its links to classes at home here, as rows and as classes; then links (u, v) that span the components."""
+    target = table["here"].to_numpy()
     here, asks = np.flatnonzero(target), np.flatnonzero(~target)
+    cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
+    here, asks = here[np.argsort(cid[here])], asks[np.argsort(cid[asks])]
+    ids, place = np.unique(cid, return_inverse=True)
     root, others, k = np.arange(len(ids)), np.zeros(len(asks), np.int64), np.zeros(len(asks), np.int64)
-    for i in range(0, len(asks), 1024):
-        q = asks[i : i + 1024]
-        for j in range(0, len(here), 4096):
-            h = here[j : j + 4096]
-            near = (x[q] @ x[h].T >= s.threshold) & (cid[q, None] != cid[None, h])
-            k[i : i + len(q)] += near.sum(axis=1)
-            others[i : i + len(q)] += np.where(near, n[None, h], 0).sum(axis=1) if near.any() else 0
-            a, b = np.nonzero(near & (root[place[q], None] != root[None, place[h]]))
-            root = _join_up(root, place[q[a]], place[h[b]])
+    if len(here) and len(asks):
+        exact = unit(table["vector"].combine_chunks())
+        x = exact[here].astype(np.float32)
+        near_ids = table["near"].combine_chunks()
+        edges, entries, known = _lists(near_ids.take(pa.array(here)), cid[here]), medoids(x, s.medoids), _lists(near_ids.take(pa.array(asks)), cid[here])
+        own = np.minimum(np.searchsorted(cid[here], cid[asks]), len(here) - 1)
+        known[:, -1] = np.where(cid[here[own]] == cid[asks], own, -1)
+        # What only neighbours at home elsewhere led to is tied in.
+        edges = connect(x, edges, entries, replace(s, degree=edges.shape[1] - 2), np.ones(len(here), bool))
+        both = two_way(edges)
+        # Those at home ask each other: what one of two found, both have.
+        mutual = np.zeros((len(here), len(here)), bool) if table["block"][0].as_py() == 0 else None
+        for i in range(0, len(asks), 256):
+            q = asks[i : i + 256]
+            near = in_range(x, edges, both, entries, exact[q].astype(np.float32), known[i : i + len(q)], s) & (cid[q, None] != cid[None, here])
+            a, b = np.nonzero(near)
+            if len(a) > 65536:
+                near &= exact[q] @ exact[here].T >= s.threshold
+            else:
+                near[a, b] = np.einsum("ed,ed->e", exact[q[a]], exact[here[b]]) >= s.threshold
+            a, b = np.nonzero(near)
+            apart = root[place[q[a]]] != root[place[here[b]]]
+            root = _join_up(root, place[q[a[apart]]], place[here[b[apart]]])
+            if mutual is None:
+                k[i : i + len(q)], others[i : i + len(q)] = near.sum(axis=1), near @ n[here]
+            else:
+                mutual[i : i + len(q)] |= near
+                mutual[:, i : i + len(q)] |= near.T
+        if mutual is not None:
+            k, others = mutual.sum(axis=1), np.concatenate([mutual[i : i + 256] @ n[here] for i in range(0, len(here), 256)])
     found, linked = np.flatnonzero(k), np.flatnonzero(root != np.arange(len(ids)))
     u, v = np.concatenate([cid[asks[found]], ids[linked]]), np.concatenate([np.full(len(found), -1), ids[root[linked]]])
     pad = np.zeros(len(linked), np.int64)
     return pa.table([pa.array(u), pa.array(v, mask=v < 0), pa.array(np.concatenate([others[found], pad])), pa.array(np.concatenate([k[found], pad]))], names=["u", "v", "others", "k"])
 
 
-def compare(cells: DataFrame, s: Settings) -> DataFrame:
-    """(u, v, others, k) of all blocks, see ``_compare_block``: those at home in a cell go to each of its blocks, those that ask (at home or visiting) to one."""
-    blocks = cells.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(4 * s.shard)).cast("int").alias("_blocks"))
-    dealt = cells.join(blocks, "shard")
-    ask = dealt.select("cid", "n", "vector", "shard", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("_blocks")).cast("int").alias("block"), F.lit(False).alias("target"))
-    here = dealt.filter("home").select("cid", "n", "vector", "shard", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(True).alias("target"))
-    return ask.unionByName(here).groupBy("shard", "block").applyInArrow(lambda t: _compare_block(t, s), "u long, v long, others long, k long")
-
-
-def search(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+def search(dealt: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) from which components follow, and (u, others, k): the rows and classes that each class is linked with."""
-    whole, cells = shards(classes, s)
-    found = whole.groupBy("shard").applyInArrow(lambda t: _search_shard(t, s), "u long, v long")
-    links = shared_table(found.distinct(), "embedding-links")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    counts = both.join(classes.select(F.col("cid").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others"), F.count("*").alias("k"))
-    if cells.isEmpty():
-        return links, counts
-    compared = shared_table(compare(cells, s), "embedding-blocks")
-    many = compared.filter("v is null").groupBy("u").agg(F.sum("others").alias("others"), F.sum("k").alias("k"))
-    return links.unionByName(compared.filter("v is not null").select("u", "v").distinct()), counts.unionByName(many)
+    lists = shared_table(united(dealt, s), "embedding-graph")
+    here = dealt.filter("home").select("cid", "n", *CELL, "vector", "home", F.lit(True).alias("here"))
+    ask = dealt.filter("asks").select("cid", "n", *CELL, "vector", "home", F.lit(False).alias("here"))
+    found = _dealt(here.unionByName(ask).join(lists, "cid", "left"), s).groupBy(*CELL, "block").applyInArrow(lambda t: _search_block(t, s), "u long, v long, others long, k long")
+    found = shared_table(found, "embedding-links")
+    counts = found.filter("v is null").groupBy("u").agg(F.sum("others").alias("others"), F.sum("k").alias("k"))
+    return found.filter("v is not null").select("u", "v").distinct(), counts
 
 
 def audit(classes: DataFrame, counts: DataFrame, s: Settings, few: int = 16) -> list[tuple[int, int]]:
@@ -387,9 +427,9 @@ def near_vectors(table: DataFrame, settings: Settings = Settings(), id_col: str
     grouped = good.groupBy("label", "vector").agg(F.min("_id").alias("least"), F.count("*").alias("n"))
     # Written before use: the numbers of the classes must not change when a task runs again.
     classes = shared_table(grouped.withColumn("cid", F.monotonically_increasing_id()), "embedding-classes")
-    s = settings
+    s, dealt = settings, cells(classes, settings)
     while True:
-        links, linked = search(classes, s)
+        links, linked = search(dealt, s)
         audited = audit(classes, linked, s)
         if all(found >= s.recall * there for found, there in audited) or s.beam >= 8 * settings.beam:
             break

@@ -139,3 +139,14 @@ def test_embedding_links_of_a_split_label_are_whole(spark, shard, rows):
     classes = graph.near_vectors(df, graph.Settings(shard=shard))
     want = sorted(zip(ids, near.sum(axis=1).tolist(), brute_components(ids, near), strict=True))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in classes.collect()) == want
+
+
+def test_a_dense_label_larger_than_a_shard_at_the_default_settings(spark):
+    """Links of some vectors of a near-equal group that is cut into cells, counted by brute force; no pair is listed."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=32) + rng.normal(size=(4500, 32)) * 0.05
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r.vec_id: r for r in graph.near_vectors(spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")).collect()}
+    assert len(got) == len(x) and {r.component_id for r in got.values()} == {0}
+    for i in range(0, len(x), 45):
+        assert got[i].n_links == (unit @ unit[i] >= 0.98).sum() - 1
