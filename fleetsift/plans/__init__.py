@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ingest", "detect", "parse", "comply", "fleet", "learn", "ledger")
+MODULES: tuple[str, ...] = ("ingest", "detect", "parse", "comply", "fleet", "learn", "ledger", "corpus")
 
 
 def load_all() -> None:
