@@ -28,3 +28,22 @@ def bucketed_lag(rows: DataFrame, key: str, seq: str, cols: list[str], size: int
     carried = last.select(key, "_b", F.lag("_last").over(W.partitionBy(key).orderBy("_b")).alias("_carry"))
     out = inside.join(carried, [key, "_b"], "left").withColumn("_p", F.coalesce("_p", "_carry"))
     return out.select(*rows.columns, *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in cols])
+
+
+def most_frequent(counted: DataFrame, key: str, count: str, n: int = 1000) -> DataFrame:
+    """The ``n`` keys of the greatest counts: any other key has less than one row in ``n``."""
+    return counted.where(F.col(key).isNotNull()).orderBy(F.col(count).desc(), key).limit(n).select(key)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, frequent: DataFrame, salts: int = 32, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key, where a few keys may hold most rows of ``many``.
+
+    Rows of the ``frequent`` keys (a bounded number of keys, see ``most_frequent``, which is why they may be broadcast) are dealt to ``salts`` parts
+    and meet as many copies of their one row; all other keys are joined as they are.  Rows without a key are dealt out too and find nothing.
+    """
+    hot = F.broadcast(frequent.select(key, F.lit(True).alias("_hot")))
+    part = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), part).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = one.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

@@ -234,8 +234,7 @@ def s15_cache_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("s16_line_readback", f"WITH {d.DOC_LINES_CTE} SELECT doc_id, line_number, text FROM cfg_line")
 def s16_line_readback(spark: SparkSession, sf: str) -> DataFrame:
     lines = d.doc_lines(spark, sf).select("doc_id", "line_number", tx.line_hash(F.col("text")).alias("line_sha256"))
-    cache = ops.line_cache(d.doc_lines(spark, sf)).select("line_sha256", "text")
-    return lines.join(cache, "line_sha256").select("doc_id", "line_number", "text")
+    return ops.read_back(lines, ops.line_cache(d.doc_lines(spark, sf))).select("doc_id", "line_number", "text")
 
 
 @query(

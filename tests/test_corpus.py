@@ -7,8 +7,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsift.operators import scoring
-from fleetsift.sources import labels, records
+from fleetsift.operators import ingest, scan, scoring
+from fleetsift.sources import labels, records, sinks
 
 CONFIG = "hostname a\nip ssh version 2\nno ip http server\n"
 SHA = hashlib.sha256(CONFIG.encode()).hexdigest()
@@ -151,3 +151,38 @@ def test_values_are_of_one_kind(spark):
              (("list", "a", ["a"]), ("list", "a", ["a"]), True), (None, ("int", "2", None), False), (("bool", "true", None), None, False)]
     rows = spark.createDataFrame([(i, e, s) for i, (e, s, _) in enumerate(cases)], f"i int, e {kind}, s {kind}")
     assert [r.same for r in rows.orderBy("i").select(scoring.same_value(F.col("e"), F.col("s")).alias("same")).collect()] == [c[2] for c in cases]
+
+
+def test_a_line_in_half_the_rows_is_dealt_out(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("line_number"), F.when(F.col("id") % 2 == 0, "!").otherwise(F.concat(F.lit("l"), "id")).alias("text"))
+    lines = rows.select("doc_id", "line_number", F.sha2("text", 256).alias("line_sha256"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "8"), strict=True):
+            spark.conf.set(k, v)
+        got = ingest.read_back(lines, ingest.line_cache(rows))
+        sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 40_000 and len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+        assert got.join(rows, ["doc_id", "line_number", "text"]).count() == 40_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_salted_join_is_the_plain_join(spark):
+    many = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 50 + ["b", "c", None, None, "d", "d"])], "i int, k string")
+    one = spark.createDataFrame([("a", 1), ("b", 2), ("d", None), (None, 9)], "k string, v int")
+    frequent = scan.most_frequent(many.groupBy("k").count(), "k", "count", 2)
+    assert sorted(r.k for r in frequent.collect()) == ["a", "d"]
+    for how in ("inner", "left"):
+        want = sorted((r.i, r.k, r.v) for r in many.join(one, "k", how).collect())
+        assert sorted((r.i, r.k, r.v) for r in scan.salted_join(many, one, "k", frequent, 4, how).collect()) == want
+        assert sorted((r.i, r.k, r.v) for r in scan.salted_join(many, one, "k", frequent.limit(0), 4, how).collect()) == want
+
+
+def test_pointers_meet_their_text(spark):
+    lines = spark.createDataFrame([(1, 1, "x"), (1, 2, "!"), (2, 1, "!")], "doc_id int, line_number int, text string")
+    hashed = lines.select(F.col("doc_id").alias("file_id"), "line_number", F.sha2("text", 256).alias("line_sha256"))
+    pointers = spark.createDataFrame([("f1", 0, 1, 2, 2), ("f2", 0, 1, 2, 2), ("f2", 1, 2, 1, 1), ("f3", 0, 9, 1, 1), ("f4", 0, 1, 5, 5)], "finding_id string, ordinal int, file_id int, line_start int, line_end int")
+    got = sinks.rehydrate(pointers, hashed, ingest.line_cache(lines.where("text = '!'")))
+    assert sorted((r.finding_id, r.ordinal, r.text) for r in got.collect()) == [("f1", 0, "!"), ("f2", 0, "!"), ("f2", 1, "!")]
