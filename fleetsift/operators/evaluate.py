@@ -150,6 +150,19 @@ def evaluate_fleet(
     )
 
 
+def citations(devices: DataFrame, observations: DataFrame, rules: Rules = BASE_RULES, *, audit_id: str = "run") -> DataFrame:
+    """Findings that pass or fail by lines of a file: finding_id, device_id, rule_id, status and ``evidence``, the matched lines in the order of the file.
+
+    ``devices`` carry the ``file_id`` they were read from, ``observations`` their ``evidence`` (line, raw_line).  Verdicts and citations come of one join.
+    """
+    pairs = applicable_rules(devices, rules, carry=["file_id"])
+    rows = verdicts(pairs.join(observations.drop("vendor", "os_family"), ["device_id", "field"], "left"))
+    cited = F.array_sort(F.transform("evidence", lambda e: F.struct(e["line"].alias("line"), F.col("file_id").alias("file_id"))))
+    return rows.where(F.col("status").isin("pass", "fail") & (F.size("evidence") > 0)).select(
+        F.concat_ws(":", F.lit(audit_id), "device_id", "rule_id").alias("finding_id"), "device_id", "rule_id", "status", cited.alias("evidence")
+    )
+
+
 def verdict_summary(findings: DataFrame, *keys: str) -> DataFrame:
     """Counts of the four verdicts, zeros included, from one conditional aggregate."""
     return findings.groupBy(*keys).agg(

@@ -23,7 +23,8 @@ SAMPLE = (
     "s01_batch_scan s02_archive_expand s06_batch_limit s10_duplicate_detect s14_line_cache d03_rank_threshold d06_identity p01_indent_tree "
     "p02_brace_tree p18_field_assembly x01_interfaces x02_ios_entries x06_junos_brace_filters x08_port_parse n01_absence "
     "c07_in c13_all_of c18_verdicts c29_selection_scope a12_observations e05_rank b05_outliers t05_cluster t11_top_k "
-    "h01_scrub_line v04_field_metrics l04_chain_append l05_chain_verify q06_latest_run dq1_field_invariants r02_apply_order r03_cycles"
+    "h01_scrub_line v04_field_metrics l04_chain_append l05_chain_verify q06_latest_run dq1_field_invariants r02_apply_order r03_cycles "
+    "s19_label_files s21_match_evidence v13_score_all"
 ).split()
 
 
