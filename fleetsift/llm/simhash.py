@@ -113,7 +113,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     spread = distinct.select("fp")
     probes = spread.mapInArrow(lambda it: _keys(it, False), "key int, fp long").select("key", F.col("fp").alias("u"))
     lists = spread.mapInArrow(lambda it: _keys(it, True), "key int, fp long").select("key", F.col("fp").alias("v"))
-    near = probes.join(lists, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
+    # Merged at every size: Spark takes a list of keys for as large as the fingerprints it is made from, and would broadcast it.
+    near = probes.join(lists.hint("merge"), "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance))
     return near.select("u", "v").distinct()
 
 

@@ -56,6 +56,14 @@ def test_golay_keys_lose_no_link(spark, distance):
     assert got == want and (want or distance == 0)
 
 
+def test_lists_of_keys_are_never_broadcast(spark, tmp_path, capsys):
+    """What Spark takes for small has 85 keys a fingerprint."""
+    spark.range(100).select(F.xxhash64("id").alias("fp"), F.col("id").alias("least")).write.parquet(f"{tmp_path}/classes")
+    simhash.fingerprint_links(spark.read.parquet(f"{tmp_path}/classes")).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)]
