@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,21 @@ def test_lists_of_keys_are_never_broadcast(spark, tmp_path, capsys):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_near_copies_stage_broadcasts_no_key_lists(spark, monkeypatch, capsys):
+    plans, write = {}, simhash.shared_table
+
+    def seen(df, name):
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "shared_table", seen)
+    rows = awkward_rows()
+    kept = corpus_pipeline.simhash_near_dedup(spark, awkward(spark, rows), "")
+    assert sorted({r.doc_id for r in kept.collect()}) == sorted({i for i, _, c in brute_near(rows) if i == c})
+    assert "SortMergeJoin" in plans["simhash-links"] and "Broadcast" not in plans["simhash-links"]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)]
