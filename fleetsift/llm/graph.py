@@ -81,7 +81,10 @@ def greedy(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.nd
         near = edges[nodes[active, pick]]
         fresh = (near >= 0) & ~seen[active[:, None], near]
         seen[active[:, None], np.where(fresh, near, nodes[active, pick][:, None])] = True
-        s = np.where(fresh, np.einsum("ad,ard->ar", queries[active], x[near]), -np.inf)
+        # Most neighbours have been seen: only the others are compared.
+        row, col = np.nonzero(fresh)
+        s = np.full(near.shape, -np.inf, x.dtype)
+        s[row, col] = np.einsum("ed,ed->e", queries[active[row]], x[near[row, col]])
         all_nodes = np.concatenate([nodes[active], np.where(fresh, near, -1)], axis=1)
         all_sims = np.concatenate([sims[active], s], axis=1)
         all_open = np.concatenate([open_[active], fresh], axis=1)
@@ -95,19 +98,17 @@ def prune(x: np.ndarray, centre: np.ndarray, found: np.ndarray, degree: int, alp
     v = x[found]
     far = 2 - 2 * np.einsum("md,mcd->mc", x[centre], v)
     far[(found < 0) | (found == centre[:, None])] = np.inf
-    order = np.argsort(far, axis=1)
-    far, found, v = np.take_along_axis(far, order, 1), np.take_along_axis(found, order, 1), np.take_along_axis(v, order[:, :, None], 1)
     between = 2 - 2 * np.matmul(v, v.transpose(0, 2, 1))
-    alive, rows = np.isfinite(far), np.arange(len(centre))
-    alive[:, 1:] &= found[:, 1:] != found[:, :-1]
-    out = np.full((len(centre), degree), -1)
+    rows, out = np.arange(len(centre)), np.full((len(centre), degree), -1)
+    # ``left``: how far those are that may still be kept.
+    left = far.copy()
     for k in range(degree):
-        if not alive.any():
+        j = left.argmin(axis=1)
+        some = np.isfinite(left[rows, j])
+        if not some.any():
             break
-        j, some = alive.argmax(axis=1), alive.any(axis=1)
         out[some, k] = found[rows, j][some]
-        alive &= alpha * alpha * between[rows, j] > far
-        alive[rows, j] = False
+        left[(alpha * alpha * between[rows, j] <= far) | (found == found[rows, j][:, None])] = np.inf
     return out
 
 
@@ -127,12 +128,17 @@ def build(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
         closest = np.lexsort((-np.einsum("ed,ed->e", x[source], x[target]), target))
         source, target = source[closest], target[closest]
         hit, first, count = np.unique(target, return_index=True, return_counts=True)
-        back = np.full((len(hit), s.beam), -1)
         place = np.arange(len(target)) - np.repeat(first, count)
-        ok = place < s.beam
-        back[np.repeat(np.arange(len(hit)), count)[ok], place[ok]] = source[ok]
-        if len(hit):
-            edges[hit, : s.degree] = prune(x, hit, np.concatenate([edges[hit, : s.degree], back], axis=1), s.degree, s.alpha)
+        # Most get few edges: nodes are pruned together with others that got about as many.
+        few = 0
+        for most in sorted({min(2, s.beam), min(8, s.beam), s.beam}):
+            some = (count > few) & ((count <= most) | (most == s.beam))
+            ok, row = np.repeat(some, count) & (place < most), np.cumsum(some) - 1
+            back = np.full((some.sum(), most), -1)
+            back[np.repeat(row, count)[ok], place[ok]] = source[ok]
+            if len(back):
+                edges[hit[some], : s.degree] = prune(x, hit[some], np.concatenate([edges[hit[some], : s.degree], back], axis=1), s.degree, s.alpha)
+            few = most
         inserted[batch] = True
         edges = connect(x, edges, entries, s, inserted)
         at, size = at + size, min(256, size * 2)

@@ -174,3 +174,33 @@ def test_a_dense_label_larger_than_a_shard_at_the_default_settings(spark):
     assert len(got) == len(x) and {r.component_id for r in got.values()} == {0}
     for i in range(0, len(x), 45):
         assert got[i].n_links == (unit @ unit[i] >= 0.98).sum() - 1
+
+
+def test_pruning_keeps_what_a_plain_loop_keeps():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    centre, found = np.arange(40), rng.integers(-1, 60, size=(40, 24))
+    got = graph.prune(x, centre, found, 6, 1.2)
+    for c, candidates, kept in zip(centre, found, got, strict=True):
+        want, far = [], lambda a, b: 2 - 2 * float(x[a] @ x[b])
+        for v in sorted({int(v) for v in candidates} - {-1, int(c)}, key=lambda v: far(c, v)):
+            if len(want) < 6 and all(1.44 * far(w, v) > far(c, v) for w in want):
+                want.append(v)
+        assert kept.tolist() == want + [-1] * (6 - len(want))
+
+
+def test_building_a_graph_compares_few_empty_places(monkeypatch):
+    """Most nodes get few edges back from a batch; the room for many is not paid for by each of them."""
+    x = np.random.default_rng(8).normal(size=(1500, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    places, prune = [], graph.prune
+
+    def counted(x, centre, found, degree, alpha):
+        places.append((found.size, (found >= 0).sum()))
+        return prune(x, centre, found, degree, alpha)
+
+    monkeypatch.setattr(graph, "prune", counted)
+    graph.build(x, graph.Settings())
+    size, filled = np.array(places).sum(axis=0)
+    assert filled > 0.75 * size
