@@ -24,5 +24,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merge_with_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined on ``key`` to ``totals``, an aggregate with one row per key; merged at every size, so that it never passes through the driver.
+
+    The key's hash is a second key: with it Spark deals the aggregate anew, and only what was just dealt lets adaptive execution split the
+    rows of a frequent key.
+    """
+    again = F.xxhash64(key)
+    return rows.withColumn("_again", again).join(totals.withColumn("_again", again).hint("merge"), [key, "_again"]).drop("_again")
+
+
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))

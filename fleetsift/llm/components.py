@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetsift.llm.common import shared_table
+from fleetsift.llm.common import merge_with_totals, shared_table
 
 
 def _stars(near: DataFrame) -> DataFrame:
     """``near`` (u, v): every v of u is linked to the smallest of u and its neighbours, and so is u."""
     least = near.groupBy("u").agg(F.min("v").alias("m"))
-    return near.join(least, "u").withColumn("m", F.least("u", "m"))
+    return merge_with_totals(near, least, "u").withColumn("m", F.least("u", "m"))
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetsift.llm.common import shared_table
+from fleetsift.llm.common import merge_with_totals, shared_table
 from fleetsift.llm.components import components
 
 #: Generator polynomial of the binary Golay code of length 23, segment widths (sum 64).
@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = shared_table(fingerprints(docs, id_col, text), "simhash")
     classes = shared_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     linked = components(shared_table(fingerprint_links(classes, distance), "simhash-links"), "simhash-components")
-    roots = classes.join(linked, classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # All of these have a row per document or fingerprint: merged at every size, so that none of them passes through the driver.
+    roots = classes.join(linked.hint("merge"), classes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = roots.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = merge_with_totals(roots, ids, "root").select("fp", "component_id")
+    return rows.join(of_class.hint("merge"), "fp").select("doc_id", "fp", "component_id")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetsift.llm import exact, graph, simhash, substring
+from fleetsift.llm import components as components_module, exact, graph, simhash, substring
 from fleetsift.llm.components import components
 from tests.llm.helpers import awkward, awkward_rows, brute_components, brute_exact, brute_near, brute_repeats, nothing
 
@@ -80,6 +80,25 @@ def test_near_copies_stage_broadcasts_no_key_lists(spark, monkeypatch, capsys):
     assert "SortMergeJoin" in plans["simhash-links"] and "Broadcast" not in plans["simhash-links"]
 
 
+def test_near_copies_stage_passes_no_table_through_the_driver(spark, monkeypatch, capsys):
+    """Each of its tables has a row per document, fingerprint or link; Spark would broadcast those under its threshold."""
+    plans, write = [], simhash.shared_table
+
+    def seen(df, name):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "shared_table", seen)
+    monkeypatch.setattr(components_module, "shared_table", seen)
+    kept = corpus_pipeline.simhash_near_dedup(spark, awkward(spark), "")
+    kept.explain()
+    kept.collect()
+    kept.explain()  # as it ran
+    plans.append(capsys.readouterr().out)
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rnd.randint(200, 300), rnd.randint(200, 300)) for _ in range(60)]
