@@ -216,7 +216,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
             scores.append(float(p.max()))
         return pa.StructArray.from_arrays([pa.array(names_, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    found = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("_row"), run(F.col(text)).alias("_found"))
+    # Exploded as by ``session.pin``: a filter on the result would otherwise predict each text again, in a second Python worker per task.
+    once = F.explode_outer(F.array(run(F.col(text))))
+    found = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("_row"), once.alias("_found"))
     return found.select("_row.*", F.col("_found.lang").alias(names[0]), F.col("_found.score").alias(names[1]))
 
 

@@ -49,6 +49,21 @@ def test_language_scores_are_those_of_plain_counts(spark):
         assert rows[t][0] == model.languages[int(p.argmax())] and abs(rows[t][1] - p.max()) < 1e-6
 
 
+def test_language_is_predicted_once_under_filters(spark):
+    """A second prediction takes a second Python worker per task, with all that it keeps."""
+    dims = 1 << 10
+    model = langid.Model(["x", "y"], np.random.default_rng(5).normal(size=(dims, 2)).astype(np.float32), np.zeros(2), 1.0)
+    texts = ["one two three", "un deux trois", "123", "", None, "eins zwei"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = langid.predict(docs, model)
+    for rows in (found, found.filter("lang_pred <> 'und'"), found.filter("lang_pred <> 'und' AND score >= 0.5").select("doc_id", "lang_pred", "score")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    said = {r.doc_id: (r.lang_pred, r.score) for r in found.collect()}
+    assert len(said) == len(texts) and {i for i, (k, _) in said.items() if k == "und"} == {2, 3, 4}
+    assert {r.doc_id: (r.lang_pred, r.score) for r in found.filter("lang_pred <> 'und'").collect()} == {i: x for i, x in said.items() if x[0] != "und"}
+
+
 def test_language_stage_rejects_unlearned_languages(spark):
     """A language that no label names, and symbols, go; documents of the learned ones stay."""
     rnd = random.Random(2)
