@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 
-from fleetsift.sources import derived as d
+from pyspark.sql import functions as F
+
+from fleetsift.sources import derived as d, records
 
 
 def test_files_of_one_row_group_are_rendered_by_as_many_tasks_as_there_are_cores(spark, tmp_path):
@@ -19,3 +21,18 @@ def test_files_of_one_row_group_are_rendered_by_as_many_tasks_as_there_are_cores
         assert sorted(r.k for r in files.select("k").collect()) == list(range(1, 200))
     finally:
         spark.conf.set("spark.fleetsift.spread", was)
+
+
+def test_records_of_a_batch_are_told_apart_in_slices():
+    texts = ["x" * 400, None, "", "y" * 900, "z" * 300, "w"]
+    cut = list(records.slices(texts, 500))
+    assert [t for some in cut for t in some] == texts
+    assert [len(some) for some in cut] == [4, 2]
+    assert list(records.slices([], 500)) == []
+
+
+def test_files_keep_their_own_records_whatever_the_slices(spark):
+    pad = "x" * 300_000
+    files = spark.range(12).coalesce(1).select("id", F.when(F.col("id") == 5, None).otherwise(F.concat(F.lit("name: n"), "id", F.lit(f"\npad: {pad}\n"))).alias("text"))
+    read = files.select("id", records.text_of(records.records(F.col("text"))["head"], "name").alias("name")).collect()
+    assert {r.id: r.name for r in read} == {i: None if i == 5 else f"n{i}" for i in range(12)}
