@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from fleetsift.operators import acl
 from fleetsift.sources import derived as d, records
 
 
@@ -36,3 +38,39 @@ def test_files_keep_their_own_records_whatever_the_slices(spark):
     files = spark.range(12).coalesce(1).select("id", F.when(F.col("id") == 5, None).otherwise(F.concat(F.lit("name: n"), "id", F.lit(f"\npad: {pad}\n"))).alias("text"))
     read = files.select("id", records.text_of(records.records(F.col("text"))["head"], "name").alias("name")).collect()
     assert {r.id: r.name for r in read} == {i: None if i == 5 else f"n{i}" for i in range(12)}
+
+
+ENTRY = (
+    "acl_id int, seq int, action string, proto string, proto_num int, src_kind string, dst_kind string, sc array<string>, dc array<string>, "
+    "sp_lo int, sp_hi int, dp_lo int, dp_hi int, established boolean, disabled boolean"
+)
+
+
+def _entries(spark):
+    """Lists of many lengths with repeated, null and unresolved entries."""
+    rng, rows = random.Random(11), []
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "10.1.1.0/24", "10.1.1.5/32", "2001:db8::/32"]
+    for acl_id in (None, *range(1, 13)):
+        for seq in range(1 if acl_id is None else acl_id * 4):
+            any_of = lambda: rng.choice([*[("any", [])] * 6, ("object", []), ("cidr", rng.sample(nets, 1)), ("cidr", rng.sample(nets, 2))])
+            (sk, sc), (dk, dc), lo = any_of(), any_of(), rng.choice([0, 22, 80])
+            row = (acl_id, rng.choice([None, seq, seq, seq]), rng.choice(["permit", "deny", "permit", "deny", None]), rng.choice(["ip", "ip", "tcp", "TCP", "six"]), rng.choice([None, 6]), sk, dk, sc, dc,
+                   0, rng.choice([1023, 65535]), lo, 65535 if lo == 0 else lo + 10, rng.choice([False, False, True, None]), False)
+            rows += [row] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame(rows, ENTRY)
+    return df.withColumn("src", acl.networks(F.col("src_kind"), F.col("sc"))).withColumn("dst", acl.networks(F.col("dst_kind"), F.col("dc"))).drop("sc", "dc")
+
+
+def test_short_and_long_access_lists_are_judged_alike(spark):
+    rows = _entries(spark).cache()
+    plain = lambda df: sorted(map(str, df.collect()))
+    for run in (lambda n: acl.classify(rows, n).drop("src", "dst"), lambda n: acl.causes(rows, "shadowed", n), lambda n: acl.causes(rows, "redundant", n), lambda n: acl.covering_counts(rows, n)):
+        in_rows, by_shape, both = (plain(run(n)) for n in (1000, 0, 20))
+        assert in_rows and in_rows == by_shape == both
+
+
+def test_entries_dealt_out_by_list_do_not_move_again(spark):
+    rows = _entries(spark).where("acl_id is not null").repartition(7, "acl_id")
+    for df in (acl.classify(rows), acl.causes(rows, "shadowed"), acl.causes(rows, "redundant"), acl.covering_counts(rows)):
+        plan = df.where("acl_id is not null")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2, plan  # the dealing out itself, and that of entries of no list
