@@ -8,7 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from fleetsift.operators import acl
-from fleetsift.sources import derived as d, records
+from fleetsift.operators.ingest import line_cache
+from fleetsift.sources import derived as d, records, sinks
 
 
 def test_files_of_one_row_group_are_rendered_by_as_many_tasks_as_there_are_cores(spark, tmp_path):
@@ -74,3 +75,14 @@ def test_entries_dealt_out_by_list_do_not_move_again(spark):
     for df in (acl.classify(rows), acl.causes(rows, "shadowed"), acl.causes(rows, "redundant"), acl.covering_counts(rows)):
         plan = df.where("acl_id is not null")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") - plan.count("BroadcastExchange") <= 2, plan  # the dealing out itself, and that of entries of no list
+
+
+def test_cited_text_is_looked_up_from_what_was_kept_of_the_pointers(spark):
+    """The broadcasts of frequent keys may time out: nothing that the pointers are made of may stand below them."""
+    pointers = spark.range(40).select(F.concat(F.lit("f"), "id").alias("finding_id"), F.lit(0).alias("ordinal"), (F.col("id") % 3).alias("file_id"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    lines = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, 1, None), (3, 1, "b")], "file_id bigint, line_number int, text string")
+    hashed = lines.select("file_id", "line_number", F.sha2("text", 256).alias("line_sha256"))
+    cache = line_cache(lines.where("text is not null").withColumnRenamed("file_id", "doc_id")).withColumn("line_sha256", F.sha2("text", 256))
+    read = sinks.rehydrate(pointers, hashed, cache)
+    assert "Range (" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.finding_id, r.text) for r in read.collect()) == sorted((f"f{i}", "a") for i in range(40) if i % 3 < 2)
