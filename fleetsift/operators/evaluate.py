@@ -58,6 +58,11 @@ def _literal(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*cells)))
 
 
+def _merged(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of a rule table for a join that is merged: Spark takes such tables for small by their compressed size, and a broadcast would gather them in the driver."""
+    return rows.hint("merge") if isinstance(rules, Rulebook) else rows
+
+
 def compiled(spark: SparkSession, rules: Rules) -> DataFrame:
     """One row per rule with its ``conditions`` in order, ``expected`` text, ``refs`` and ``rule_frameworks``.
 
@@ -68,21 +73,26 @@ def compiled(spark: SparkSession, rules: Rules) -> DataFrame:
         own = F.struct("ordinal", F.struct(*fields).cast(CONDITION).alias("c"))
         conds = rules.conditions.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(own), lambda a, b: a["ordinal"] - b["ordinal"]), lambda x: x["c"]).alias("conditions"))
         refs = rules.refs.groupBy("rule_id").agg(F.collect_list(F.struct("framework", "control_id")).cast(REFS).alias("refs"))
-        rows = rules.rules.select(*_RULE).join(conds, "rule_id").join(refs, "rule_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast(REFS)))
+        rows = rules.rules.select(*_RULE).join(_merged(conds, rules), "rule_id").join(_merged(refs, rules), "rule_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast(REFS)))
     else:
         rows = _literal(spark, rules)
     named = F.array_sort(F.array_distinct(F.transform("refs", lambda r: r["framework"])))
     return rows.withColumns({"expected": F.array_join(F.transform("conditions", expected_text), " and "), "rule_frameworks": named})
 
 
-def applicable_rules(devices: DataFrame, rules: Rules = BASE_RULES, selection: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+def applicable_rules(devices: DataFrame, rules: Rules = BASE_RULES, selection: Sequence[str] = (), carry: Sequence[str] = (), declined: DataFrame | None = None) -> DataFrame:
     """One row per (device, applicable rule); an empty selection means no framework filter, ``carry`` names more columns of the device.
 
+    ``declined`` (rule_id, framework, reason) leaves the rules that it names, with its rows as ``gaps``: they meet on the rules' side, before the devices.
+
     A wildcard admits anything; a named list never admits an unknown value.  A rule lies under each of its scopes once, a device looks under the four that can hold it.
     """
     book = compiled(devices.sparkSession, rules)
     if selection:
         book = book.where(F.arrays_overlap("rule_frameworks", F.array(*[F.lit(s) for s in selection])))
+    if declined is not None:
+        gaps = declined.groupBy("rule_id").agg(F.collect_list(F.struct("framework", "reason")).alias("gaps"))
+        book = book.join(_merged(gaps, rules), "rule_id")
     scope = lambda c: F.when(F.array_contains(c, ANY), F.array(F.lit(ANY))).otherwise(F.array_distinct(F.array_compact(c)))
     book = book.withColumn("_vendor", F.explode(scope("vendors"))).withColumn("_os", F.explode(scope("os_families")))
     book = book.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1))))
@@ -90,7 +100,7 @@ def applicable_rules(devices: DataFrame, rules: Rules = BASE_RULES, selection: S
     # Platform may be a long expression (detection); it is looked at several times below.
     rows = pin(devices, "_p", F.struct("vendor", "os_family")).select("device_id", "_p.vendor", "_p.os_family", *carry)
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("device_id"), F.lit(SCOPE_SALTS)).cast("int")).withColumn("_vendor", either("vendor")).withColumn("_os", either("os_family"))
-    return rows.join(book.drop("vendors", "os_families"), ["_vendor", "_os", "_salt"]).drop("_vendor", "_os", "_salt")
+    return rows.join(_merged(book.drop("vendors", "os_families"), rules), ["_vendor", "_os", "_salt"]).drop("_vendor", "_os", "_salt")
 
 
 def absence_action(state: Column) -> Column:

@@ -137,11 +137,11 @@ def mapping_problems(refs: DataFrame, gaps: DataFrame, controls: DataFrame | Non
 
 def gap_reasons(devices: DataFrame, rules: Rules) -> DataFrame:
     """Declined mappings, shown only where the catalog covers the device."""
-    pairs = applicable_rules(devices.withColumn("covering", covering()), rules, carry=["covering"]).select("device_id", "rule_id", "covering")
     gaps = rules.gaps if isinstance(rules, Rulebook) else Literal(
         "rule_gap", "rule_id string, framework string, reason string", [(r.rule_id, f, why) for r in rules for f, why in r.gaps]
     ).frame(devices.sparkSession)
-    rows = pairs.join(gaps, "rule_id")
+    pairs = applicable_rules(devices.withColumn("covering", covering()), rules, carry=["covering"], declined=gaps)
+    rows = pairs.select("device_id", "rule_id", "covering", F.inline("gaps"))
     return rows.where(F.array_contains("covering", F.col("framework"))).select("device_id", "rule_id", "framework", "reason")
 
 

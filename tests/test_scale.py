@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fleetsift.operators import acl
+from fleetsift.operators import acl, evaluate as ev, frameworks as fw
 from fleetsift.operators.ingest import line_cache
 from fleetsift.sources import derived as d, records, sinks
 
@@ -86,3 +86,23 @@ def test_cited_text_is_looked_up_from_what_was_kept_of_the_pointers(spark):
     read = sinks.rehydrate(pointers, hashed, cache)
     assert "Range (" not in read._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.finding_id, r.text) for r in read.collect()) == sorted((f"f{i}", "a") for i in range(40) if i % 3 < 2)
+
+
+def _rulebook(spark):
+    """Three rules for any platform; the second has two gaps, one of them twice, the third no condition."""
+    null = "CAST(NULL AS {})".format
+    rules = spark.range(1, 4).selectExpr("id AS rule_ord", "concat('R', id) AS rule_id", "'low' AS severity", "'f' AS field", "array('*') AS vendors", "array('*') AS os_families",
+                                         "'pass' AS on_absent_default", "'pass' AS on_absent_unsupported", "'unknown' AS on_capability_unknown")
+    conditions = spark.range(1, 3).selectExpr("concat('R', id) AS rule_id", "1 AS ordinal", "'is_true' AS op", "'none' AS kind", f"{null('boolean')} AS b", f"{null('double')} AS n",
+                                              f"{null('string')} AS s", "CAST(array() AS array<string>) AS l", "CAST(array() AS array<double>) AS ln")
+    refs = spark.createDataFrame([("R1", "nist", "AC-1")], "rule_id string, framework string, control_id string")
+    gaps = spark.createDataFrame([("R2", "nist", "a"), ("R2", "nist", "a"), ("R2", "none", "b"), ("R3", "nist", "c"), (None, "nist", "d")], "rule_id string, framework string, reason string")
+    return ev.Rulebook(rules, conditions, refs, gaps)
+
+
+def test_rule_tables_are_not_broadcast(spark):
+    devices = spark.createDataFrame([("d1", "cisco", "ios", "17.1"), ("d2", None, None, None)], "device_id string, vendor string, os_family string, os_version string")
+    found = fw.gap_reasons(devices, _rulebook(spark))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    nist = {r.device_id for r in fw.coverage(devices).where("framework = 'nist' AND coverage = 'covered'").collect()}
+    assert nist and sorted(map(tuple, found.collect())) == sorted((d, "R2", "nist", "a") for d in nist for _ in range(2))
