@@ -106,3 +106,10 @@ def test_rule_tables_are_not_broadcast(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     nist = {r.device_id for r in fw.coverage(devices).where("framework = 'nist' AND coverage = 'covered'").collect()}
     assert nist and sorted(map(tuple, found.collect())) == sorted((d, "R2", "nist", "a") for d in nist for _ in range(2))
+
+
+def test_findings_of_rule_tables_are_made_without_broadcasting_the_rules(spark):
+    devices = spark.range(3).select(F.concat(F.lit("d"), "id").alias("device_id"), F.lit("cisco").alias("vendor"), F.lit("ios").alias("os_family"))
+    pairs = ev.applicable_rules(devices, _rulebook(spark))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.device_id, r.rule_id) for r in pairs.select("device_id", "rule_id").collect()) == sorted((f"d{i}", f"R{k}") for i in range(3) for k in (1, 2))
